@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import formatted_conversations
+from .decontaminate import contamination, contamination_digest
+from .exact_dedup import exact_duplicates
+from .mixing import mixed
 from .near_dedup import near_duplicates
+from .sharding import Tree, sharded
+from .token_output import token_round_trip
+from .warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,3 +32,117 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents with the class of its near-duplicates."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents against every item of benchmark."""
+    return contamination_digest(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), places=False))
+
+
+ORACLE_SQL["op2_benchmark_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bk AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM bk)),
+ks AS (SELECT DISTINCT k FROM win),
+grams AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
+hit AS (SELECT doc_id, item_id, i, k FROM grams JOIN win USING (k, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@_query
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of conversations, and conversation -7 whose texts hold marks of templates."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return formatted_conversations(spark, rows.union(more))
+
+
+ORACLE_SQL["op3_chat_formatting"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@_query
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its group of equal texts."""
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op4_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@_query
+def op5_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents mixed to weights that follow the sources' sizes to the power 0.7, one epoch in all."""
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op5_mixing_to_target_weights"] = """
+WITH RECURSIVE s AS (SELECT source, sum(length(coalesce(text, '')) + 1) AS size FROM documents GROUP BY source),
+w AS (SELECT source, size, pow(CAST(size AS DOUBLE), 0.7) AS weight FROM s),
+r AS (SELECT source, weight / sum(weight) OVER () * (CAST(sum(size) OVER () AS DOUBLE) * 1.0) / size AS rate FROM w),
+q AS (SELECT source, greatest(1, CAST(ceil(rate / 16.0) AS INT)) AS pieces, rate / greatest(1, CAST(ceil(rate / 16.0) AS INT)) AS m FROM r),
+steps AS (
+  SELECT source, pieces, m, 0 AS k, exp(-m) AS p, exp(-m) AS upto FROM q
+  UNION ALL SELECT source, pieces, m, k + 1, p * m / (k + 1), upto + p * m / (k + 1) FROM steps WHERE k < CAST(floor(m + 12 * sqrt(m) + 20) AS INT)),
+draws AS (SELECT d.doc_id, d.source, unnest(range(1, pieces + 1)) AS piece FROM documents d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+u AS (SELECT doc_id, source, CAST(CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || piece), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS x FROM draws),
+times AS (SELECT u.doc_id, count(*) AS n FROM u JOIN steps ON u.source IS NOT DISTINCT FROM steps.source AND steps.upto <= u.x GROUP BY u.doc_id),
+copies AS (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM times)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(copy AS BIGINT) AS copy, md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || copy || '|shuffle') AS shuffle_key
+FROM copies JOIN documents d ON d.doc_id IS NOT DISTINCT FROM copies.doc_id
+"""
+
+#: 24 shards in two regions of three racks; one more in the last rack.
+TREE = Tree.even(2, 3, 4)
+
+
+@_query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents in shards 0 to 23, and where it is with one shard more."""
+    return sharded(_table(spark, sf_dir, "documents"), TREE, TREE.grown(1, 2))
+
+
+@_query
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents as token ids in shard files, read back."""
+    return token_round_trip(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    """The public byte-level BPE file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages as a WARC record, read back."""
+    return archive_round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op9_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id > min(page_id) OVER g THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > min(page_id) OVER g THEN min(page_id) OVER g END AS refers_to
+FROM p WINDOW g AS (PARTITION BY digest)
+"""
