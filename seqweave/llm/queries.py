@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import toxicity
 from .chat import formatted_conversations
 from .decontaminate import contamination, contamination_digest
 from .exact_dedup import exact_duplicates
@@ -146,3 +148,16 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 100 AND page_id > min(page_id) OVER g THEN min(page_id) OVER g END AS refers_to
 FROM p WINDOW g AS (PARTITION BY digest)
 """
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """A model from the labels that are not held out."""
+    return toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+
+
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every row of documents."""
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
