@@ -15,6 +15,10 @@ from ._words import Words, mix, shingles
 
 #: Words of a shingle, least similarity, slots of a signature, slots of a band. A pair at 0.8 is found with 1 - (1 - 0.8**5)**25 = 0.99995.
 SHINGLE, LEAST, SLOTS, BAND = 5, 0.8, 128, 5
+#: Members of a bucket from which on its texts are compared in blocks of about BLOCK texts; ids that are broadcast at most.
+LARGE, BLOCK, BROADCAST = 64, 512, 2_000_000
+#: What rounding may take from a similarity.
+_ROUNDING = 1e-9
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
@@ -122,12 +126,63 @@ def _alike(shingle: int, least: float):
             for block in blocks(batch, "text_a"):
                 a, b = block.column("a").to_pylist(), block.column("b").to_pylist()
                 ta, tb = block.column("text_a"), block.column("text_b")
-                near = [probability_jaccard(of(y, tb[k].as_py()), of(x, ta[k].as_py())) >= least for k, (x, y) in enumerate(zip(a, b, strict=True))]
+                near = [probability_jaccard(of(y, tb[k].as_py()), of(x, ta[k].as_py())) >= least - _ROUNDING for k, (x, y) in enumerate(zip(a, b, strict=True))]
                 yield pa.RecordBatch.from_arrays([block.column("a"), block.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return kernel
 
 
+def _overlaps(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs of a block of sets: the number of common elements, and the weight that they have in the first, of 1."""
+    n = len(sets)
+    h, owner = np.concatenate([h for h, _ in sets]), np.repeat(np.arange(n), [len(h) for h, _ in sets])
+    share = np.concatenate([w / w.sum() if len(w) else w for _, w in sets])
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+    common, weight = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, 2048):
+        at = np.flatnonzero((column >= low) & (column < low + 2048))
+        one, part = np.zeros((n, 2048), np.float32), np.zeros((n, 2048), np.float32)
+        one[owner[at], column[at] - low] = 1
+        part[owner[at], column[at] - low] = share[at]
+        common += one @ one.T
+        weight += part @ one.T
+    return common, weight
+
+
+def _linked_blocks(shingle: int, least: float):
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, comp = (table.column(c).to_numpy() for c in ("node", "comp"))
+        data, offsets = raw(table.column("text"))
+        sets = shingles(Words(data, offsets), shingle)
+        common, weight = _overlaps(sets)
+        size = np.array([len(h) for h, _ in sets], np.float64)
+        plain = np.array([not len(w) or w.max() == 1 for _, w in sets])
+        sure = common / np.maximum(size[:, None] + size - common, 1)
+        both = plain[:, None] & plain
+        # the probability Jaccard is at most the weight of the common elements in either set
+        able = np.where(both, sure >= least - _ROUNDING, np.minimum(weight, weight.T) >= least - 1e-4)
+        i, j = np.nonzero(np.triu(able, 1) & (comp[:, None] != comp))
+        parent = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        found = []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = root(int(comp[x])), root(int(comp[y]))
+            if a != b and (both[x, y] or probability_jaccard(sets[x], sets[y]) >= least - _ROUNDING):
+                parent[a] = b
+                found.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return kernel
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b): (node, comp), comp the least node that the node is connected to. Nodes without links are left out.
 
@@ -150,7 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of ASCII letters, digits and non-ASCII characters, ASCII lower-cased; shingles of so many words weigh as
     often as they occur. Documents of equal words are one class without further ado; of the rest, every pair of distinct
-    texts that shares a band is compared with its exact probability Jaccard unless both are already in one class.
+    texts that shares a band is compared with its exact probability Jaccard unless both are already in one class: first
+    all members of a bucket with its least, then members of different classes, in large buckets block by block.
     Null and empty texts, and texts without words, are alike only if the texts are identical (null counts as empty).
     Rows that share an id are one document. Other columns are not read. An empty table gives an empty result.
     """
@@ -163,23 +219,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     members = written(banded.join(buckets, "key"), "members")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = written(ids.distinct(), "ids")
+        return written(base.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_semi"), "texts")
+
     def linked(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = written(base.join(ids, "doc_id", "left_semi"), "texts")
+        texts = texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
         left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         return written(pairs.join(left, "a").join(right, "b").mapInArrow(_alike(shingle, least), "a long, b long"), "near")
 
     stars = written(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     links = linked(stars)
     comps = components(links)
-    # of a bucket that is still in several classes, the pairs across classes
+    # in a bucket that is still in several classes, texts of different classes are compared
     placed = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    open_ = written(placed.join(split, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("other"))
-    across = open_.withColumnRenamed("node", "a").join(other, "key").where("other < comp").select("a", "b").distinct()
+    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    open_ = written(placed.join(split, "key"), "open")
+    few = open_.where(F.col("n") < LARGE)
+    other = few.select("key", F.col("node").alias("b"), F.col("comp").alias("other"))
+    across = few.withColumnRenamed("node", "a").join(other, "key").where("other < comp").select("a", "b").distinct()
     known = stars.select("a", "b").union(stars.select("b", "a"))
     more = linked(written(across.join(known, ["a", "b"], "left_anti"), "pairs"))
+    many = open_.where(F.col("n") >= LARGE)
+    if not many.isEmpty():
+        number = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+        dealt = many.withColumn("block", F.pmod(F.xxhash64("node", "key"), number).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), number - 1)))
+        dealt = dealt.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "node", "comp")
+        texts = texts_of(many.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node")
+        more = more.union(written(dealt.join(texts, "node").groupBy("key", "low", "high").applyInArrow(_linked_blocks(shingle, least), "a long, b long"), "near"))
     if not more.isEmpty():
         comps = components(links.union(more))
     return (
