@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import secret_scan, toxicity
 from .chat import formatted_conversations
 from .decontaminate import contamination, contamination_digest
 from .exact_dedup import exact_duplicates
@@ -161,3 +161,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in documents with the forest's score."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), secret_scan.fit(secret_scan.made_up_findings(spark)))
