@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kmers import small_batches
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _score(seqs: pd.Series) -> pd.Series:
     out = np.zeros(len(seqs), np.int64)
     for i, s in enumerate(seqs):

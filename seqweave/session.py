@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, the submitter makes the session."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -22,6 +22,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=conf or {})
         .getOrCreate()
     )
 

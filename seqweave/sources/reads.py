@@ -103,8 +103,9 @@ def read_sets(spark: SparkSession, sets: list[tuple[str, str]]) -> DataFrame:
 
 
 def first_token(path: str) -> str:
+    """The first word of a file, after blank lines and comments."""
     with open_text(path) as f:
-        return (f.readline().split() or [""])[0]
+        return next((x.split()[0] for x in f if x.strip() and not x.startswith("#")), "")
 
 
 def _exists(path: str) -> bool:
