@@ -17,14 +17,17 @@ from ..session import ship
 BATCH_ROWS = 1000
 #: Bytes of text that a kernel works on at once.
 BLOCK_BYTES = 1 << 20
+#: The folders of sessions that name none.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a folder made here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="seqweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="seqweave-")
+        _own[app] = base
     return f"{base.rstrip('/')}/seqweave/{name}-{uuid.uuid4().hex}"
 
 
