@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import blocks, raw, shared_dir, small_batches, written
-from ._words import Hashes, mix
+from ._words import Hashes
 
 #: Token ids of a grammar at most; a shard of more has several grammars, so that a writer's memory is bounded.
 BLOCK_TOKENS = 1 << 21
@@ -353,9 +353,11 @@ def _tokenised(path: str, end_id: int, bounds: np.ndarray):
                 at = at + np.arange(len(at))
                 doc = block.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 low, high = np.searchsorted(bounds, doc, "left"), np.searchsorted(bounds, doc, "right")
-                # a bound that repeats is an id of many rows: its rows are spread over the shards between
-                shard = low + (mix((at[1:] - at[:-1]).astype(np.uint64) + ids[at[:-1]]) % (high - low + 1).astype(np.uint64)).astype(np.int64)
                 wide = enc.dtype.itemsize
+                # a bound that repeats is an id of many rows: its rows are spread over the shards between by their contents
+                shard, bytes_ = low.astype(np.int64), memoryview(np.ascontiguousarray(ids, enc.dtype)).cast("B")
+                for k in np.flatnonzero(high > low + 1).tolist():
+                    shard[k] += zlib.crc32(bytes_[at[k] * wide : at[k + 1] * wide]) % (high[k] - low[k] + 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc), pa.array(shard.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((at * wide).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(ids, enc.dtype))])],
                     ["doc_id", "shard", "ids"],
@@ -431,7 +433,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     """Writes shard files in ascending order of ids and returns their manifest (shard, path, n_docs, n_tokens, n_bytes, start).
 
     Each document's ids end with end_id; null and empty texts have only that. Null ids come first. Rows that share an id
-    stand side by side in an order that their ids decide; of an id with very many rows, several shards share the rows.
+    stand side by side in an order that their tokens decide; of an id with very many rows, several shards share the rows
+    (rows that repeat whole stay together).
     shards: spark.sql.shuffle.partitions if not given; set either so that a shard has some hundred MB at most. A file is
     named by its attempt, and only the manifest says which count, so tasks may be run again. Other columns are not read.
     """
