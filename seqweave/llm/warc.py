@@ -118,7 +118,7 @@ def _write(folder: str):
         writer, file, n = None, f"{uuid.uuid4().hex}.warc.zst", 0  # an attempt that is run again has a file of its own
         for batch in batches:
             for block in blocks(batch, "html"):
-                writer = writer or Writer(system.open_output_stream(f"{name}/{file}"))
+                writer = writer or Writer(system.open_output_stream(f"{name}/{file}", compression=None))
                 for r in block.to_pylist():
                     payload = r["html"].encode() if r["refers_to"] is None else None
                     writer.add(record(r["page_id"], r["url"], payload, r["digest"], r["size"], r["refers_to"]))
@@ -135,7 +135,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column("path").to_pylist():
             system, name = pafs.FileSystem.from_uri(path)
-            with system.open_input_stream(name) as source:
+            with system.open_input_stream(name, compression=None) as source:
                 rows = []
                 for head, block in records(source):
                     digest = head["warc-payload-digest"].partition(":")[2]
