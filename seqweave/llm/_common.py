@@ -28,6 +28,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="seqweave-")
         _own[app] = base
+    if "://" not in base:  # the file system that Spark takes it to be on, spelt out for Python workers
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = base.replace("file:/", "file:///", 1) if "://" not in base else base
     return f"{base.rstrip('/')}/seqweave/{name}-{uuid.uuid4().hex}"
 
 

@@ -129,7 +129,6 @@ class WordEncoder:
             sizes = np.zeros(len(h), np.int64)
             at = np.zeros(len(h), np.int64)
             todo = np.arange(len(h))
-            pools = []
             while len(todo):  # pieces that share a slot take turns
                 hit = self.key[slot[todo]] == h[todo]
                 if not hit.all():
@@ -139,7 +138,6 @@ class WordEncoder:
                 got = todo[hit]
                 sizes[got], at[got] = self.size[slot[got]], self.at[slot[got]]
                 todo = todo[~hit]
-            del pools
             total = int(sizes.sum())
             ends = np.cumsum(sizes)
             ids = self.pool[np.repeat(at - (ends - sizes), sizes) + np.arange(total)]
@@ -408,8 +406,7 @@ def _write(folder: str, path: str, options: dict):
             out.write(np.array(place, "<u8").tobytes() + struct.pack("<Q8s", len(place) - 1, MAGIC))
             n = out.tell()
             out.close()
-            uri = folder.split("://")[0] + "://" + file if "://" in folder and folder.startswith("file") else folder + "/" + file.rsplit("/", 1)[1]
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [uri], "n_docs": [totals[0]], "n_tokens": [totals[1]], "n_bytes": [n]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [folder + "/" + file.rsplit("/", 1)[1]], "n_docs": [totals[0]], "n_tokens": [totals[1]], "n_bytes": [n]})
 
     return kernel
 
