@@ -43,7 +43,7 @@ class WordEncoder:
     hash in a table of fixed size.
     """
 
-    SLOTS, POOL = 1 << 20, 1 << 23
+    SLOTS, POOL = 1 << 22, 1 << 24
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,39 +57,45 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.key = np.zeros(self.SLOTS, np.uint64)
-        self.at = np.zeros(self.SLOTS, np.int64)
-        self.size = np.zeros(self.SLOTS, np.int64)
+        self.at = np.zeros(self.SLOTS, np.int32)
+        self.size = np.zeros(self.SLOTS, np.int32)
         self.pool = np.zeros(self.POOL, self.dtype)
         self.used = 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of single pieces; those that neither start with a line end nor are blank are encoded many at once, a line end between them."""
-        texts = [w.decode() for w in words]
-        out: list[np.ndarray | None] = [None] * len(words)
-        alone = [k for k, x in enumerate(texts) if not x.strip()] if self.line is not None else list(range(len(words)))
-        for k, ids in zip(alone, self.whole([texts[k] for k in alone]), strict=True):
-            out[k] = np.array(ids, self.dtype)
-        many = [k for k in range(len(words)) if out[k] is None]
-        for i in range(0, len(many), 500):
-            part = many[i : i + 500]
-            ids = np.array(self.whole(["\n".join(texts[k] for k in part)])[0], self.dtype)
-            for k, x in zip(part, np.split(ids, np.flatnonzero(ids == self.line)), strict=True):
-                out[k] = x[1:] if k != part[0] else x
-        return out
+    def pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after another, and how many each has. No piece holds a line end: they are encoded many at once, a line end after each."""
+        size = end - start
+        to = np.cumsum(size + 1)
+        text = np.full(int(to[-1]), 10, np.uint8)
+        inside = np.ones(len(text), bool)
+        inside[to - 1] = False
+        text[inside] = data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        cuts = np.append(to[999:-1:1000], to[-1]).tolist()
+        texts = [text[a:b].tobytes().decode() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        ids = np.concatenate([np.array(x, self.dtype) for x in self.whole(texts)])
+        ends = np.flatnonzero(ids == self.line)
+        if len(ends) != len(start):
+            raise ValueError("the tokenizer doesn't keep line ends apart")
+        return ids[ids != self.line], np.diff(ends, prepend=-1) - 1
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
         _, first = np.unique(h, return_index=True)
-        ids = self.pieces([data[a:b].tobytes() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-        sizes = np.array([len(x) for x in ids])
-        if self.used + sizes.sum() > self.POOL:
-            self.clear()
-        flat = np.concatenate(ids)
+        blank = _CLASS[data[end[first] - 1]] >= 4  # a piece that ends with white space is white space
+        many, alone = (first[~blank], first[blank]) if self.line is not None else (first[:0], first)
+        flat, sizes = self.pieces(data, start[many], end[many]) if len(many) else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        if len(alone):
+            coded = self.whole([data[a:b].tobytes().decode() for a, b in zip(start[alone].tolist(), end[alone].tolist(), strict=True)])
+            flat = np.concatenate([flat, *(np.array(x, self.dtype) for x in coded)])
+            sizes = np.concatenate([sizes, [len(x) for x in coded]])
+            many = np.concatenate([many, alone])
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(flat) + len(self.pool) // 2, self.dtype)])
         self.pool[self.used : self.used + len(flat)] = flat
-        slot = (h[first] & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        self.key[slot], self.size[slot] = h[first], sizes
+        slot = (h[many] & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        self.key[slot], self.size[slot] = h[many], sizes
         self.at[slot] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
 
