@@ -28,10 +28,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
         known = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
         sizes = sizes.join(F.broadcast(known), F.col("source").cast("string").eqNullSafe(F.col("name")), "left").drop("name")
         weight = F.coalesce("weight", F.lit(0.0))
-    sizes = sizes.select("source", "size", weight.alias("weight"))
-    total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    joined = sizes.join(F.broadcast(total))  # one row
-    return joined.select("source", "size", F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * (F.col("all_size") * F.lit(float(epochs))) / F.col("size")).otherwise(0.0).alias("rate"))
+    sizes = written(sizes.select("source", "size", weight.alias("weight")), "sizes")
+    total = sizes.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    if not total["weight"]:
+        return sizes.select("source", "size", F.lit(0.0).alias("rate"))
+    return sizes.select("source", "size", (F.col("weight") / F.lit(total["weight"]) * F.lit(float(total["size"]) * epochs) / F.col("size")).alias("rate"))
 
 
 def _steps(rate: Column) -> Column:
