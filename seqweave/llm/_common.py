@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -42,6 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """The id of a row, or a hash of its text where the id is null: such rows are one document if their texts are equal."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def without(docs: DataFrame, id_col: str, text_col: str, rejected) -> DataFrame:
+    """docs, all columns, without the rows whose key is in rejected(docs with the key, name of the key)."""
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    return keyed.join(rejected(keyed, "__key").distinct(), "__key", "left_anti").select(docs.columns)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Holds Arrow batches at BATCH_ROWS rows and lets workers import the kernels."""
     ship(spark)

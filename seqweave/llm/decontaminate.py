@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ._common import blocks, raw, small_batches, written
+from ._common import blocks, raw, small_batches, without, written
 from ._words import WORD_TABLE
 
 #: Words of a window; windows of an automaton at most. A larger benchmark takes several automata, one after another.
@@ -142,9 +142,12 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without any window of the benchmark, with all their columns."""
-    hit = contamination(docs, items, id_col, text_col, places=False, **options).where(F.size("items") > 0).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hit, id_col, "left_anti").select(docs.columns)
+    """The rows of docs without any window of the benchmark, with all their columns. Rows that share an id go together; of rows without, those with equal texts."""
+
+    def hit(keyed: DataFrame, key: str) -> DataFrame:
+        return contamination(keyed, items, key, text_col, places=False, **options).where(F.size("items") > 0).select(F.col("doc_id").alias(key))
+
+    return without(docs, id_col, text_col, hit)
 
 
 def items_digest(items: list[int]) -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, raw, small_batches, written
+from ._common import blocks, raw, small_batches, without, written
 from ._words import Words, mix, shingles
 
 #: Words of a shingle, least similarity, slots of a signature, slots of a band. A pair at 0.8 is found with 1 - (1 - 0.8**5)**25 = 0.99995.
@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts that shares a band is compared with its exact probability Jaccard unless both are already in one class: first
     all members of a bucket with its least, then members of different classes, in large buckets block by block.
     Null and empty texts, and texts without words, are alike only if the texts are identical (null counts as empty).
-    Rows that share an id are one document. Other columns are not read. An empty table gives an empty result.
+    Rows that share an id are one document; rows without an id are classed by equal words only, under a null class if no
+    such row has an id. Other columns are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -254,11 +255,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(same, "content")
         .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("class_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each class of near-duplicates (the least id), all its columns and its first copy if rows repeat."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """docs with one document of each class of near-duplicates (the least id), with all its columns. Rows that share an id stay or go together; rows without one have a hash of their text for it."""
+    return without(docs, id_col, text_col, lambda keyed, key: near_duplicates(keyed, key, text_col, **options).where("not kept").select(F.col("doc_id").alias(key)))

@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, raw, small_batches, written
+from ._common import blocks, raw, small_batches, without, written
 from ._words import Hashes, edges, mix
 
 #: Labelled rows that a model is fitted on, about (a bounded sample by hash of the id).
@@ -276,6 +276,5 @@ def held_out(key: Column) -> Column:
 
 
 def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of docs that are not predicted to be toxic, with all their columns. Ids that any row is rejected by are rejected."""
-    bad = scored(docs, model, id_col, text_col, cut).where("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    """The rows of docs that are not predicted to be toxic, with all their columns. Rows that share an id go together; of rows without, those with equal texts."""
+    return without(docs, id_col, text_col, lambda keyed, key: scored(keyed, model, key, text_col, cut).where("predicted = 1").select(F.col("doc_id").alias(key)))

@@ -38,7 +38,7 @@ def test_stages_match_brute_force(spark):
     mixed = stage("mixing", rest)
     assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(r["doc_id"] for r in mixing.mixed(rest).collect())
     out = stage("tokens", mixed)
-    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out.collect()) == brute_tokens([(r["doc_id"], r["text"]) for r in mixed.collect()])
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out.collect()), key=repr) == brute_tokens([(r["doc_id"], r["text"]) for r in mixed.collect()])
 
 
 def test_stages_of_an_empty_table(spark):
@@ -46,3 +46,16 @@ def test_stages_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "empty")
         assert docs.count() == 0
+
+
+def test_null_ids_are_judged_by_their_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(2).collect()]
+    odd = spark.createDataFrame([(None, x, None, None, None) for x in (items[0], items[1], "fine words", "fine words", None, "")] + [(900, "other words", None, None, None)], docs.schema)
+    named = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((r["text"] for r in df.collect()), key=repr)
+    assert texts(named["decontamination"](spark, odd, SF)) == sorted(["fine words", "fine words", None, "", "other words"], key=repr)
+    single = named["near_dedup"](spark, odd, SF)
+    assert len(texts(single)) == 7 and single.columns == docs.columns  # equal texts without ids stay or go together
+    assert named["toxicity"](spark, odd, SF).count() <= 7 and named["mixing"](spark, odd, SF).columns == docs.columns
+    assert named["tokens"](spark, odd, SF).count() == 7
