@@ -224,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     draw = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n))
     marks = marks.where(draw("fit", 1_000_000) < int(share * 1_000_000))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    known = base.join(marks, "doc_id").withColumn("fold", draw("fold", 2).cast("int")).withColumn("held", draw("held", 5) == 0)
+    # about `rows` ids at most, so that texts aren't shuffled to find the labelled ones
+    known = base.join(F.broadcast(marks), "doc_id").withColumn("fold", draw("fold", 2).cast("int")).withColumn("held", draw("held", 5) == 0)
     known = written(known.repartition(max(1, min(24, have // 500))), "labelled")
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in known.groupBy("fold", "toxic").count().collect()}
     all_rows = np.array([[sizes.get((f, t), 0) for t in (0, 1)] for f in (0, 1)], float)
