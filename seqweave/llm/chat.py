@@ -26,8 +26,9 @@ def fold(events: DataFrame) -> DataFrame:
     delta); `edit` replaces the text so far; `regenerate` empties it and what follows builds it anew. An edit or a
     regeneration also drops the messages that began after that message and before that event: the conversation goes on
     from there. Events of a message go by (seq, event, text), nulls first; null texts are empty, null and unknown events
-    are deltas, a null role is empty. Events without a message id belong to one message of the conversation. Messages are folded one by one, whole
-    conversations never meet in memory; where later turns are dropped, only ids and numbers of a conversation are sorted.
+    are deltas, a null role is empty. Events without a message id belong to one message of the conversation, those without
+    a conversation to one conversation. Messages are folded one by one, whole conversations never meet in memory; where
+    later turns are dropped, only ids and numbers of a conversation are sorted.
     """
     own = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("event", F.lit("delta")).alias("event"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"))))
     messages = events.groupBy("conv_id", "message").agg(own.alias("log"))
@@ -38,8 +39,8 @@ def fold(events: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(rest, lambda e: F.when(e["event"] == "regenerate", "").otherwise(e["text"])), "")
     messages = messages.select("conv_id", F.col("log")[0]["seq"].alias("start"), "message", F.col("log")[0]["role"].alias("role"), text.alias("text"), F.when(F.col("last") > 0, F.get("log", F.col("last") - 1)["seq"]).alias("fork"))
     before = Window.partitionBy("conv_id").orderBy("start", "message").rowsBetween(Window.unboundedPreceding, -1)
-    forked = events.where(F.col("event").isin("edit", "regenerate")).select("conv_id").distinct()
-    gone = messages.drop("text", "role").join(forked, "conv_id", "left_semi").withColumn("cut", F.max("fork").over(before)).where("cut > start").select("conv_id", "message")
+    forked = events.where(F.col("event").isin("edit", "regenerate")).select(F.col("conv_id").alias("forked")).distinct()
+    gone = messages.drop("text", "role").join(forked, F.col("conv_id").eqNullSafe(F.col("forked")), "left_semi").withColumn("cut", F.max("fork").over(before)).where("cut > start").select("conv_id", "message")
     kept = messages.join(gone, messages.conv_id.eqNullSafe(gone.conv_id) & messages.message.eqNullSafe(gone.message), "left_anti")
     return kept.select("conv_id", "start", "message", "role", "text")
 

@@ -72,7 +72,7 @@ def test_events_fold_into_messages(spark):
     log = [
         (1, 1, "delta", "u1", "user", "Hi"), (1, 2, "delta", "a1", "assistant", "Hel"), (1, 3, "delta", "a1", None, "lo"), (1, 4, "regenerate", "a1", None, None), (1, 5, "delta", "a1", None, "Good "), (1, 6, "delta", "a1", None, "day"),
         (1, 7, "delta", "u2", "user", "Bye"), (1, 8, "delta", "a2", "assistant", "See you"), (1, 9, "edit", "u2", None, "And then?"), (1, 10, "delta", "a3", "assistant", "Nothing"),
-        (2, 1, None, None, "user", "lone"), (2, 1, None, None, "user", "ly"), (None, 1, "delta", "x", "user", None),
+        (2, 1, None, None, "user", "lone"), (2, 1, None, None, "user", "ly"), (None, 1, "delta", "x", "user", None), (None, 2, "delta", "y", "assistant", "gone"), (None, 3, "edit", "x", None, None),
     ]
     got = {(r["conv_id"], r["message"]): (r["start"], r["role"], r["text"]) for r in chat.fold(events(spark, log)).collect()}
     assert got == {(1, "u1"): (1, "user", "Hi"), (1, "a1"): (2, "assistant", "Good day"), (1, "u2"): (7, "user", "And then?"), (1, "a3"): (10, "assistant", "Nothing"), (2, None): (1, "user", "lonely"), (None, "x"): (1, "user", "")}
