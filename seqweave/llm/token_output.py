@@ -39,8 +39,8 @@ class WordEncoder:
     """Encodes blocks of texts with a byte-level BPE tokenizer, each distinct piece once as long as it is remembered.
 
     A text of plain letters, digits, blanks and signs is split into the tokenizer's pieces by byte classes; all other
-    texts (apostrophes, characters beyond Latin-1 letters) go to the tokenizer whole. Pieces are remembered by a 64-bit
-    hash in a table of fixed size.
+    texts (apostrophes, characters beyond Latin-1 letters, the content of an added token such as <|endoftext|>) go to
+    the tokenizer whole. Pieces are remembered by a 64-bit hash in a table of fixed size.
     """
 
     SLOTS, POOL = 1 << 22, 1 << 24
@@ -49,7 +49,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         split = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("\n", "\nab\n ab\n1")]
         self.line = split[0][0] if len(split[0]) == 1 and split[1].count(split[0][0]) == 3 else None
@@ -100,7 +100,7 @@ class WordEncoder:
         self.used += len(flat)
 
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Which texts hold only ASCII without apostrophes and Latin-1 letters (two bytes, 0xC3 first, but no multiplication and division sign)."""
+        """Which texts hold only ASCII without apostrophes and Latin-1 letters (two bytes, 0xC3 first, but no multiplication and division sign), and no added token."""
         odd = data == 0x27
         high = data >= 0x80
         if high.any():
@@ -108,6 +108,13 @@ class WordEncoder:
             after = np.zeros(len(data), bool)
             after[1:] = lead[:-1]
             odd |= high & ~lead & ~(after & (data != 0x97) & (data != 0xB7))
+        if self.added:
+            joined = data.tobytes()
+            for content in self.added:
+                at = joined.find(content)
+                while at >= 0:  # one that lies across two texts only sends the first of them to the tokenizer
+                    odd[at] = True
+                    at = joined.find(content, at + 1)
         seen = np.concatenate([[0], np.cumsum(odd)])
         return seen[offsets[1:]] == seen[offsets[:-1]]
 

@@ -38,6 +38,20 @@ def test_encoder_equals_the_tokenizer():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
+def test_special_tokens_are_read_as_the_bare_library_reads_them(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "no <|endoftext| here", "<|endof", "text|>", "it's <|endoftext|>", "plain words"] + some_texts()
+    bare = Tokenizer.from_file(tokenizer_path())
+    want = [bare.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [87, 220, 50256, 331]
+    ids, at = token_output.WordEncoder(tokenizer_path()).encode(*raw(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_output.token_round_trip(spark, frame, tokenizer_path()).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == [(k, len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4").tobytes())) for k, w in enumerate(want)]
+
+
 @pytest.mark.parametrize(("vocab", "limit"), [(50_257, 15_279), (70_000, 1 << 20), (4, 6)])
 def test_grammar_round_trip(vocab, limit):
     r = np.random.default_rng(2)
