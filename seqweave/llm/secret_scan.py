@@ -12,10 +12,24 @@ from pyspark.sql import functions as F
 
 from ._common import written
 
-#: A candidate: 16 or more characters of keys in a row, with a digit, not inside a longer word.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}(?![.@][A-Za-z0-9])"
+#: Names whose values are candidates whatever they look like, and what may stand between a name and its value.
+_NAME = r"(?i:passwords?|passwd|passphrase|passcode|pwd|pass|secrets?|secret_key|token|apikey|api[_-]key|key|auth|authorization|bearer|credentials?|private|access)"
+_TO = r"[\"'`\]]{0,2}\s{0,3}(?:=>|:=|[:=]{1,3})\s{0,3}"
+#: What a candidate is, at each place the first of: the path of a Slack webhook; a token of dotted parts behind its issuer's
+#: prefix; a quoted or bare value of a secret's name; what follows Bearer or Basic; password or user of a URL; 16 or more
+#: characters of keys in a row, not inside a longer word (a part of a path or a dotted name counts for itself).
+#: The forest rejects; the pattern leaves out only what has no such shape.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9])(?:(?<=hooks\.slack\.com/services/)[A-Za-z0-9/_-]++"
+    r"|(?<![A-Za-z0-9])(?:eyJ[A-Za-z0-9_-]++|ya29|SG)(?:\.[A-Za-z0-9_-]++){1,8}+"
+    rf"|(?<=[\"'`])(?<={_NAME}{_TO}[\"'`])[^\"'`\r\n]++"
+    rf"|(?<=[:=>\s])(?<=[:=>]|[:=>]\s{1,3})(?<={_NAME}{_TO})(?!(?i:bearer|basic)\s)[^\s\"'`,;&<>()\[\]{{}}:=][^\s\"'`,;&<>()\[\]{{}}]*+(?<![.:])"
+    r"|(?<=[Bb]earer\s|BEARER\s|[Bb]asic\s)(?=[A-Za-z0-9._~+/-]*+[0-9=])[A-Za-z0-9._~+/-]++={0,2}+(?<!\.)"
+    r"|(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/@]++(?=@)|(?<=://)[^\s/:@]++(?=@)"
+    r"|(?:(?<![A-Za-z0-9+/_.@-])(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{16,}+|(?<=[.@/])(?=[+_-]*+[A-Za-z0-9])[A-Za-z0-9+_-]{16,}+)={0,2}+)"
+)
 #: Characters before and after a candidate that features see; a finding counts from this score on; made-up training rows.
-CONTEXT, CUT, EXAMPLES = 40, 0.5, 6_000
+CONTEXT, CUT, EXAMPLES = 40, 0.5, 13_500
 TREES, DEPTH = 24, 7
 
 #: Words that names of keys are followed by, and words of numbers and digests that are no secrets.
@@ -27,6 +41,7 @@ DICTIONARY = "the and for with this that from have test example sample dummy pla
 FEATURES = [
     "length", "digit_share", "upper_share", "lower_share", "sign_share", "hex", "digits_only", "transitions", "letter_digit", "case_change", "longest_run", "distinct_share",
     "dictionary", "vowel_share", "has_slash", "dashes", "after_slash", "after_scheme", "extension", "quoted", "assigned", "secret_word", "harmless_word", "prefix",
+    "password_word", "user_info", "dots", "webhook", "blanks",
 ]
 #: Beginnings that issuers of keys use.
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abp]-|AIza|ya29|SG\\.|eyJ|npm_|hf_"
@@ -89,6 +104,11 @@ def with_features(found: DataFrame) -> DataFrame:
             "assigned": flag(F.col("before").rlike("[=:]\\s*[\"'`]?$")),
             "secret_word": flag(F.col("before").rlike(tail(SECRET_WORDS))),
             "harmless_word": flag(F.col("before").rlike(tail(HARMLESS_WORDS))),
+            "password_word": flag(F.col("before").rlike(r"(?i)(?:pass|passwords?|passwd|passphrase|passcode|pwd|secrets?)[\"'`\]]{0,2}\s*[:=>]+\s*[\"'`]?$")),
+            "user_info": flag(F.col("before").rlike(r"://[^\s/@]*$") & F.col("after").startswith("@")),
+            "dots": _count(c, r"\."),
+            "webhook": flag(F.col("before").rlike(r"hooks\.slack\.com/services/$")),
+            "blanks": _count(c, r"\s"),
             "prefix": flag(c.rlike(f"^(?:{PREFIXES})")),
         }
     )
@@ -109,9 +129,34 @@ def made_up_findings(spark: SparkSession, rows: int = EXAMPLES, seed: int = 11)
     prose = lambda k: F.concat(pick(k, words), F.lit(" "))
     named = F.concat(prose("p"), pick("s", SECRET_WORDS), pick("e", ["=", ": ", ' = "', "='", "=\"", " "]))
     harmless = F.concat(prose("p"), pick("h", HARMLESS_WORDS), pick("e", ["=", ": ", ' = "', " ", "/"]))
+    assigned = F.concat(prose("p"), pick("f", ["", "", "db_", "DB_", "admin_"]), pick("s2", ["password", "passwd", "pwd", "secret", "pass", "passphrase", "PASSWORD"]), pick("e2", ["=", ": ", ' = "', "='", '="', '": "', " = '"]))
+    parts = ["purple", "monkey", "dragon", "sunset", "tiger", "coffee", "river", "garden", "silver", "winter", "rocket", "pepper", "yellow", "forest", "bridge", "violin"]
+    safe = F.translate(F.base64(F.unhex(text("j"))), "+/=", "-_x")
     size = lambda k, sizes: pick(k, sizes).cast("int")
     cut = lambda c, n: F.substring(c, F.lit(1), n)
+    hosts = ["db.host", "mail.example.com", "10.0.0.4"]
+    # (label, before, candidate) and, where it matters, what follows
     kinds = [
+        (1, pick("jb", ["it was then ", "Authorization: Bearer ", "token=", "and "]), F.concat(F.lit("eyJ"), cut(safe, size("n", [17, 33])), F.lit(".eyJ"), cut(F.reverse(safe), size("n2", [20, 40])), F.lit("."), cut(F.translate(safe, "abcdef", "ZYXWVU"), size("n3", [27, 43])))),
+        (1, prose("p"), F.concat(F.lit("SG."), cut(safe, F.lit(22)), F.lit("."), cut(F.reverse(safe), F.lit(43)))),
+        (1, prose("p"), F.concat(F.lit("ya29."), cut(safe, size("n", [30, 43])))),
+        (1, F.concat(prose("p"), F.lit("https://hooks.slack.com/services/")), F.concat(F.lit("T"), cut(upper, F.lit(8)), F.lit("/B"), cut(F.reverse(upper), F.lit(8)), F.lit("/"), cut(mixed, F.lit(24)))),
+        (1, F.concat(prose("p"), pick("u", ["postgres", "mysql", "https", "redis", "amqp", "mongodb"]), F.lit("://"), pick("v", ["admin", "root", "app", "", "user"]), F.lit(":")), F.when(pick("y", ["0", "1"]) == "0", cut(mixed, size("n", [8, 12, 16, 24]))).otherwise(F.concat(pick("w5", parts), pick("w6", parts), cut(digits, size("n2", [1, 2, 4])))), F.concat(F.lit("@"), pick("o", hosts))),
+        (1, F.concat(prose("p"), F.lit("https://")), F.concat(pick("g", ["ghp_", "glpat-", ""]), cut(mixed, size("n", [20, 30, 36]))), F.concat(F.lit("@"), pick("o", hosts))),
+        (1, assigned, F.concat(pick("w5", parts), pick("w6", parts), pick("w7", [*parts, "", "", ""]))),
+        (1, assigned, F.concat(pick("w5", parts), cut(digits, size("n", [1, 2, 3, 4])), pick("w6", [*parts, "", "", "!", "$"]))),
+        (1, assigned, F.concat(F.translate(pick("w5", parts), "aeo", "@30"), pick("q", ["!", "#", "$", "%", "."]), F.initcap(pick("w6", parts)), cut(digits, size("n", [1, 2, 3])))),
+        (1, assigned, cut(mixed, size("n", [8, 10, 12, 14]))),
+        (1, assigned, F.concat_ws(" ", pick("w5", parts), pick("w6", parts), pick("w7", parts), pick("w8", parts))),
+        (1, prose("p"), F.concat(F.lit("AKIA"), cut(upper, F.lit(16))), pick("a2", [".Next", ". And", ".", ".\n"])),
+        (0, F.concat(prose("p"), pick("u", ["https", "ftp", "ssh", "http"]), F.lit("://")), pick("v", ["git", "admin", "root", "user", "anonymous", "deploy"]), F.concat(F.lit("@"), pick("o", hosts))),
+        (0, F.concat(prose("p"), pick("s3", SECRET_WORDS), pick("e3", [": ", "=", " = ", " := "])), pick("w9", ["the", "value", "true", "false", "null", "None", "undefined", "required", "string", "str", "is", "a", "see", "below", "public", "read", "1", "0", "$PASSWORD", "os.environ", "getenv", "process.env.TOKEN", "changeme", "example", "***", "xxxxxxxx", "your-password", "hidden", "not", "and"])),
+        (0, F.concat(prose("p"), pick("s4", ["password", "token", "secret", "key", "pass"]), pick("e3", [": ", "=", ' = "', "='"])), F.concat(pick("w1", DICTIONARY), pick("q2", ["", "_", "-", " "]), pick("w2", DICTIONARY))),
+        (0, prose("p"), F.concat(pick("w1", parts), pick("w2", DICTIONARY), pick("w3", [*parts, *DICTIONARY]), pick("w4", ["ungen", "keit", "ization", "ment"]))),
+        (0, prose("p"), F.concat_ws("-", pick("w1", parts), pick("w2", DICTIONARY), pick("w3", parts))),
+        (0, F.concat(prose("p"), pick("d", ["www.", "mail@", "docs/", "a.b."])), F.concat(pick("w1", parts), pick("q2", ["", "-", "_"]), pick("w2", DICTIONARY), pick("w3", parts)), pick("x2", [".com", ".org/", "@example.com", ".txt"])),
+        (0, prose("p"), F.concat(pick("w1", DICTIONARY), F.initcap(pick("w2", parts)), F.initcap(pick("w3", DICTIONARY)))),
+        (0, prose("p"), F.concat(F.lit("/"), pick("w1", DICTIONARY), F.lit("/"), pick("w2", parts), F.lit("/"), pick("w3", DICTIONARY))),
         (1, prose("p"), F.concat(F.lit("AKIA"), cut(upper, F.lit(16)))),
         (1, prose("p"), F.concat(pick("g", ["ghp_", "sk_live_", "glpat-", "AIza", "npm_", "hf_"]), cut(mixed, size("n", [24, 30, 35, 36])))),
         (1, named, cut(text("x"), size("n", [16, 18, 20, 24, 32, 40, 64]))),
@@ -132,8 +177,8 @@ def made_up_findings(spark: SparkSession, rows: int = EXAMPLES, seed: int = 11)
     after = pick("a", [" and so on", '" of the', ".\n", " ", "';", "\n"])
     follow = F.when(F.col("before").endswith("/"), pick("x", [".js", ".png", ".html", "/"])).otherwise(after)
     out = None
-    for k, (label, before, candidate) in enumerate(kinds):
-        own = r.where(F.pmod(F.col("id"), F.lit(len(kinds))) == k).withColumn("before", before).select(candidate.alias("candidate"), "before", follow.alias("after"), F.lit(label).alias("label"))
+    for k, (label, before, candidate, *ending) in enumerate(kinds):
+        own = r.where(F.pmod(F.col("id"), F.lit(len(kinds))) == k).withColumn("before", before).select(candidate.alias("candidate"), "before", (ending[0] if ending else follow).alias("after"), F.lit(label).alias("label"))
         out = own if out is None else out.union(own)
     return written(out.coalesce(4), "examples")
 
