@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pds
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ._common import blocks, raw, small_batches, without, written
+from ._common import blocks, raw, shared_dir, small_batches, without, written
 from ._words import WORD_TABLE
 
 #: Words of a window; windows of an automaton at most. A larger benchmark takes several automata, one after another.
@@ -70,25 +74,71 @@ def _spans(batch: pa.RecordBatch, find: ahocorasick.Automaton) -> Iterator[tuple
             yield k, len(own), [], set()
 
 
+def _merged(spans: list) -> list[list[int]]:
+    """Ranges that touch or overlap as one, in order."""
+    merged: list[list[int]] = []
+    for a, b in sorted(map(tuple, spans)):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return merged
+
+
+def _result(block: pa.RecordBatch, found: list[tuple], places: bool) -> pa.RecordBatch:
+    """The output rows of a block from (words, merged ranges, items) of each."""
+    nested = pa.list_(pa.list_(pa.int64()))
+    chars = [_original(block.column("text")[k].as_py(), spans) if places and spans else [] for k, (_, spans, _) in enumerate(found)]
+    columns = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([spans for _, spans, _ in found], nested), pa.array([sorted(items) for *_, items in found], pa.list_(pa.int64())), pa.array(chars, nested)]
+    return pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], ["doc_id", "n_words", "spans", "items", "chars"])
+
+
 def _scan(shared, name: str, places: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = automaton(name, shared.value)
         for batch in batches:
             for block in blocks(batch, "text"):
-                total, spans, items, chars = [], [], [], []
-                for k, n, hit, found in _spans(block, find):
-                    merged: list[list[int]] = []
-                    for a, b in sorted(hit):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    total.append(n)
-                    spans.append(merged)
-                    items.append(sorted(found))
-                    chars.append(_original(block.column("text")[k].as_py(), merged) if places and merged else [])
-                nested = pa.list_(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(total, pa.int64()), pa.array(spans, nested), pa.array(items, pa.list_(pa.int64())), pa.array(chars, nested)], ["doc_id", "n_words", "spans", "items", "chars"])
+                yield _result(block, [(n, _merged(hit), items) for _, n, hit, items in _spans(block, find)], places)
+
+    return kernel
+
+
+def _scan_in_turn(folder: str, passes: int, places: bool):
+    """Each task keeps its rows in a file of its own and scans them with one automaton after another; only rows with hits are held."""
+
+    def part(k: int) -> list[tuple]:
+        system, name = pafs.FileSystem.from_uri(f"{folder}/part={k}")
+        if system.get_file_info(name).type == pafs.FileType.NotFound:
+            return []
+        table = pds.dataset(name, filesystem=system, format="parquet").to_table(columns=["pattern", "items"])
+        return list(zip(table.column("pattern").to_pylist(), table.column("items").to_pylist(), strict=True))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory(prefix="seqweave-") as own:
+            spool, writer = os.path.join(own, "rows"), None
+            for batch in batches:
+                for block in blocks(batch, "text"):
+                    writer = writer or pa.ipc.new_stream(spool, block.schema)
+                    writer.write_batch(block)
+            if writer is None:
+                return
+            writer.close()
+            held: dict[int, tuple[list, set]] = {}
+            for k in range(passes):
+                name = f"{folder}/{k}"
+                find = automaton(name, [] if name in _automata else part(k))
+                first = 0
+                with pa.OSFile(spool, "rb") as file:
+                    for block in pa.ipc.open_stream(file):
+                        found = []
+                        for i, n, hit, items in _spans(block, find):
+                            if hit:
+                                spans, known = held.get(first + i, ([], set()))
+                                held[first + i] = _merged([*spans, *hit]), known | items
+                            found.append((n, *held.get(first + i, ([], set()))))
+                        first += block.num_rows
+                        if k == passes - 1:
+                            yield _result(block, found, places)
 
     return kernel
 
@@ -107,27 +157,23 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """(doc_id, n_words, spans, items, chars), one row for each row of docs: word ranges hit, items found, and with places the same ranges in characters of the text.
 
     Null and empty texts have no words and no hits; an item without words has no window, and an item of fewer words than
-    window is one window. Equal windows of several items count for each. The windows are broadcast in automata of at most
-    so many windows; for a benchmark with more, documents are scanned in several passes that are put together by id, so
-    that rows which share an id become one. An empty benchmark hits nothing. Other columns are not read.
+    window is one window. Equal windows of several items count for each. The windows are broadcast if they are at most so
+    many; those of a larger benchmark are files of about so many in the shared folder, and each task scans its rows with
+    an automaton of each in turn. An empty benchmark hits nothing. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(windows(items, item_col, item_text_col, window), "windows")
     passes = max(1, -(-found.count() // most))
-    results = []
-    for k in range(passes):
-        part = found if passes == 1 else found.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k)
-        shared = spark.sparkContext.broadcast([(bytes(r[0]), list(r[1])) for r in part.collect()])
-        results.append(base.mapInArrow(_scan(shared, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", places), "doc_id long, n_words long, spans array<array<long>>, items array<long>, chars array<array<long>>"))
     if passes == 1:
-        return results[0]
-    out = results[0]
-    for r in results[1:]:
-        out = out.union(r)
-    merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merge("spans").alias("spans"), merge("items").alias("items"), merge("chars").alias("chars"))
+        shared = spark.sparkContext.broadcast([(bytes(r[0]), list(r[1])) for r in found.collect()])
+        scan = _scan(shared, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", places)
+    else:
+        folder = shared_dir(spark, "automata")
+        found.withColumn("part", F.pmod(F.xxhash64("pattern"), F.lit(passes))).repartition("part").write.partitionBy("part").parquet(folder)
+        scan = _scan_in_turn(folder, passes, places)
+    return base.mapInArrow(scan, "doc_id long, n_words long, spans array<array<long>>, items array<long>, chars array<array<long>>")
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:

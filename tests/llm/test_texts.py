@@ -55,6 +55,16 @@ def test_contamination_matches_brute_force(spark, most):
     assert clean.columns == ["doc_id", "text", "spans"] and {r["doc_id"] for r in clean.collect()} == {k for k, *_, bad in brute_contamination(docs, items) if not bad}
 
 
+def test_a_large_benchmark_gives_a_row_for_each_row(spark):
+    docs, items = texts_with_items()
+    docs = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, t) for k, t in docs]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    few, many = (decontaminate.contamination(d, i, most=most) for most in (20_000, 40))
+    assert sorted(map(tuple, decontaminate.contamination_digest(many).collect()), key=repr) == brute_contamination(docs, items)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, few.collect()))
+    assert decontaminate.contamination(d.where("false"), i, most=40).count() == 0
+
+
 def test_contamination_without_items_or_documents(spark):
     d, i = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert [tuple(r)[:4] for r in decontaminate.contamination_digest(decontaminate.contamination(d, i.where("false"))).collect()] == [(1, 2, 0, 0)]
