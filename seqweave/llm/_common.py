@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,35 @@ BATCH_ROWS = 1000
 BLOCK_BYTES = 1 << 20
 #: The folders of sessions that name none.
 _own: dict[str, str] = {}
+#: What a worker keeps between tasks, by kind of kernel.
+_held: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What this worker keeps between tasks for one kind of kernel. What it kept for other kinds goes, since workers serve stage after stage."""
+    for other in [k for k in _held if k != owner]:
+        del _held[other]
+    return _held.setdefault(owner, {})
+
+
+def give_back() -> None:
+    """Gives memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The kernel, which at its end gives freed memory back to the system: workers stay and count when they are idle, too."""
+
+    @functools.wraps(kernel)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

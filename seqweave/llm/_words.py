@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -21,15 +23,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: A random 64-bit value for each byte.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps at most; longer texts have theirs computed anew.
+KEPT = 1 << 21
+#: Bytes of a word from which on its hash is cryptographic: polynomials modulo a power of 2 are alike for some long words (Thue-Morse words of 1,024 letters).
+LONG = 128
 
 
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        out = np.full(size, _MULT if which == "up" else _INV, dtype=np.uint64)
+        out = np.full(max(1 << 16, 1 << (n - 1).bit_length()), _MULT if which == "up" else _INV, dtype=np.uint64)
         out[0] = 1
-        have = _powers[which] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if len(have) <= KEPT:
+            _powers[which] = have
     return have[:n]
 
 
@@ -76,6 +83,9 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
         self.hasher = Hashes(self.norm)
         self.hashes = self.hasher.of(self.starts, self.ends)
+        for k in np.flatnonzero(self.ends - self.starts >= LONG).tolist():
+            word = self.norm[self.starts[k] : self.ends[k]].tobytes()
+            self.hashes[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def shingles(words: Words, size: int) -> list[tuple[np.ndarray, np.ndarray]]:

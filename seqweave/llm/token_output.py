@@ -13,16 +13,18 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import blocks, raw, shared_dir, small_batches, written
+from ._common import blocks, held, raw, shared_dir, small_batches, tidy, written
 from ._words import Hashes
 
 #: Token ids of a grammar at most; a shard of more has several grammars, so that a writer's memory is bounded.
-BLOCK_TOKENS = 1 << 21
-#: Rounds of replacement, pairs replaced in a round at most, and the least count of such a pair.
-ROUNDS, RULES, LEAST = 4, 4096, 8
-#: Pairs are counted in so many cells (as a power of 2).
-CELL_BITS = 18
-MAGIC = b"SWRePair"
+BLOCK_TOKENS = 1 << 20
+#: Least count of a pair that is replaced. A rule takes about the bits of four symbols (two symbols and its length), so it
+#: pays from here on.
+LEAST = 5
+#: Pairs are counted exactly, but first sieved by the counts of so many cells (as a power of 2). While the most frequent
+#: pair is more frequent than that, a round replaces only pairs that occur at least 1 / STEP times as often.
+CELL_BITS, STEP = 20, 16
+MAGIC = b"SWRePai2"
 NO_ID = -(1 << 63)
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
@@ -40,10 +42,11 @@ class WordEncoder:
 
     A text of plain letters, digits, blanks and signs is split into the tokenizer's pieces by byte classes; all other
     texts (apostrophes, characters beyond Latin-1 letters, the content of an added token such as <|endoftext|>) go to
-    the tokenizer whole. Pieces are remembered by a 64-bit hash in a table of fixed size.
+    the tokenizer whole. The distinct pieces of a block are looked up by a hash in tables of fixed size, and a remembered
+    piece counts only if its bytes are the same.
     """
 
-    SLOTS, POOL = 1 << 22, 1 << 24
+    SLOTS, TEXT, POOL = 1 << 21, 1 << 24, 1 << 23
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,23 +59,23 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.zeros(self.SLOTS, np.uint64)
-        self.at = np.zeros(self.SLOTS, np.int32)
-        self.size = np.zeros(self.SLOTS, np.int32)
-        self.pool = np.zeros(self.POOL, self.dtype)
-        self.used = 0
+        """Forgets all pieces. A slot: where its piece's bytes begin and how many there are (0: none), and the same for its ids."""
+        self.start, self.length = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.uint8)
+        self.at, self.size = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.uint8)
+        self.text, self.written = np.zeros(self.TEXT, np.uint8), 0
+        self.pool, self.used = np.zeros(self.POOL, self.dtype), 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _in_lines(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces one after another, and how many each has. No piece holds a line end: they are encoded many at once, a line end after each."""
         size = end - start
         to = np.cumsum(size + 1)
         text = np.full(int(to[-1]), 10, np.uint8)
         inside = np.ones(len(text), bool)
         inside[to - 1] = False
-        text[inside] = data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        text[inside] = data[_ranges(start, size)]
         cuts = np.append(to[999:-1:1000], to[-1]).tolist()
         texts = [text[a:b].tobytes().decode() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         ids = np.concatenate([np.array(x, self.dtype) for x in self.whole(texts)])
@@ -81,23 +84,57 @@ class WordEncoder:
             raise ValueError("the tokenizer doesn't keep line ends apart")
         return ids[ids != self.line], np.diff(ends, prepend=-1) - 1
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
-        _, first = np.unique(h, return_index=True)
-        blank = _CLASS[data[end[first] - 1]] >= 4  # a piece that ends with white space is white space
-        many, alone = (first[~blank], first[blank]) if self.line is not None else (first[:0], first)
-        flat, sizes = self.pieces(data, start[many], end[many]) if len(many) else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
-        if len(alone):
-            coded = self.whole([data[a:b].tobytes().decode() for a, b in zip(start[alone].tolist(), end[alone].tolist(), strict=True)])
-            flat = np.concatenate([flat, *(np.array(x, self.dtype) for x in coded)])
-            sizes = np.concatenate([sizes, [len(x) for x in coded]])
-            many = np.concatenate([many, alone])
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(flat) + len(self.pool) // 2, self.dtype)])
+    def _coded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after another, and how many each has."""
+        blank = _CLASS[data[end - 1]] >= 4  # a piece that ends with white space is white space
+        lines = ~blank if self.line is not None else np.zeros(len(start), bool)
+        flat, sizes = self._in_lines(data, start[lines], end[lines]) if lines.any() else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        if lines.all():
+            return flat, sizes
+        alone = self.whole([data[a:b].tobytes().decode() for a, b in zip(start[~lines].tolist(), end[~lines].tolist(), strict=True)])
+        size = np.zeros(len(start), np.int64)
+        size[lines], size[~lines] = sizes, [len(x) for x in alone]
+        out = np.zeros(int(size.sum()), self.dtype)
+        place = np.cumsum(size) - size
+        out[_ranges(place[lines], sizes)] = flat
+        out[_ranges(place[~lines], size[~lines])] = np.concatenate([np.array(x, self.dtype) for x in alone])
+        return out, size
+
+    def _known(self, data: np.ndarray, start: np.ndarray, long: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Which pieces are remembered in their slots: of the same length and the same bytes."""
+        hit = self.length[slot] == long
+        at = np.flatnonzero(hit)
+        if len(at):
+            sizes = long[at]
+            other = self.text[_ranges(self.start[slot[at]], sizes)] != data[_ranges(start[at], sizes)]
+            hit[at] = np.add.reduceat(other, np.cumsum(sizes) - sizes, dtype=np.int64) == 0
+        return hit
+
+    def _distinct(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, places, sizes): of distinct pieces that lie one after another, where the ids of each are."""
+        start, long = offsets[:-1], np.diff(offsets)
+        slot = (Hashes(data).of(start, offsets[1:]) & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        hit = self._known(data, start, long, slot)
+        place, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        miss = np.flatnonzero(~hit)
+        if not len(miss):
+            return self.pool, place, size
+        flat, sizes = self._coded(data, start[miss], offsets[1:][miss])
+        place[miss], size[miss] = self.used + np.cumsum(sizes) - sizes, sizes
+        keep = miss[long[miss] < 256]
+        fresh = data[_ranges(start[keep], long[keep])]
+        if self.used + len(flat) > self.POOL or self.written + len(fresh) > self.TEXT:
+            ids = np.concatenate([self.pool[: self.used], flat])
+            self.clear()
+            return ids, place, size
         self.pool[self.used : self.used + len(flat)] = flat
-        slot = (h[many] & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        self.key[slot], self.size[slot] = h[many], sizes
-        self.at[slot] = self.used + np.cumsum(sizes) - sizes
+        self.text[self.written : self.written + len(fresh)] = fresh
+        to = slot[keep]
+        self.start[to], self.length[to] = self.written + np.cumsum(long[keep]) - long[keep], long[keep]
+        self.at[to], self.size[to] = place[keep], size[keep]
         self.used += len(flat)
+        self.written += len(fresh)
+        return self.pool, place, size
 
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts hold only ASCII without apostrophes and Latin-1 letters (two bytes, 0xC3 first, but no multiplication and division sign), and no added token."""
@@ -118,233 +155,317 @@ class WordEncoder:
         seen = np.concatenate([[0], np.cumsum(odd)])
         return seen[offsets[1:]] == seen[offsets[:-1]]
 
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pieces of plain texts begin; each ends where the next begins."""
+        kind = _CLASS[data]
+        blank = kind >= 4
+        begin = np.zeros(len(data), bool)
+        begin[offsets[:-1][offsets[:-1] < len(data)]] = True
+        prev, nxt = np.concatenate([[0], kind[:-1]]), np.concatenate([kind[1:], [4]])
+        ends_doc = np.concatenate([begin[1:], [True]])
+        return np.flatnonzero((~blank & (kind != prev) & (prev != 4)) | (blank & (prev < 4)) | (blank & (nxt < 4) & ~ends_doc) | begin)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the offsets of the texts in them."""
         plain, n = self._plain(data, offsets), len(offsets) - 1
-        if self.pool_small(len(data)):
-            self.clear()
-        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * n
-        if len(data):
-            kind = _CLASS[data]
-            blank = kind >= 4
-            begin = np.zeros(len(data), bool)
-            begin[offsets[:-1][offsets[:-1] < len(data)]] = True
-            prev, nxt = np.concatenate([[0], kind[:-1]]), np.concatenate([kind[1:], [4]])
-            ends_doc = np.concatenate([begin[1:], [True]])
-            first = (~blank & (kind != prev) & (prev != 4)) | (blank & (prev < 4)) | (blank & (nxt < 4) & ~ends_doc) | begin
-            start = np.flatnonzero(first)
-            end = np.append(start[1:], len(data))
-            owner_ok = plain[np.searchsorted(offsets, start, "right") - 1]
-            start, end = start[owner_ok], end[owner_ok]
-            h = Hashes(data).of(start, end)
-            slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
-            ids = np.zeros(0, self.dtype)
-            sizes = np.zeros(len(h), np.int64)
-            at = np.zeros(len(h), np.int64)
-            todo = np.arange(len(h))
-            while len(todo):  # pieces that share a slot take turns
-                hit = self.key[slot[todo]] == h[todo]
-                if not hit.all():
-                    miss = todo[~hit]
-                    self._learn(data, start[miss], end[miss], h[miss])
-                    hit = self.key[slot[todo]] == h[todo]
-                got = todo[hit]
-                sizes[got], at[got] = self.size[slot[got]], self.at[slot[got]]
-                todo = todo[~hit]
-            total = int(sizes.sum())
-            ends = np.cumsum(sizes)
-            ids = self.pool[np.repeat(at - (ends - sizes), sizes) + np.arange(total)]
-            words = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(n + 1, np.int64)
+        start = self._pieces(data, offsets)
+        cuts = np.append(start, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+        if not plain.all():
+            ok = plain[np.searchsorted(offsets, start, "right") - 1]
+            pieces, start = pieces.filter(pa.array(ok)), start[ok]
+        if len(start):
+            coded = pieces.dictionary_encode()
+            which = coded.indices.to_numpy()
+            pool, place, size = self._distinct(*raw(coded.dictionary))
+            sizes = size[which]
+            ids = pool[_ranges(place[which], sizes)]
         else:
-            ids, words = np.zeros(0, self.dtype), np.zeros(n + 1, np.int64)
+            ids, sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        words = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, offsets)]
         if plain.all():
             return ids, words
+        out = [ids[a:b] for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True)]
         odd = np.flatnonzero(~plain)
-        coded = self.whole([data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in odd])
-        for k in range(n):
-            out[k] = ids[words[k] : words[k + 1]]
-        for k, x in zip(odd.tolist(), coded, strict=True):
+        for k, x in zip(odd.tolist(), self.whole([data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in odd]), strict=True):
             out[k] = np.array(x, self.dtype)
         return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
 
-    def pool_small(self, size: int) -> bool:
-        """Whether the pool might overflow while a block of so many bytes is encoded (a piece has at most one id a byte)."""
-        if self.POOL < 2 * size:
-            self.POOL = 4 * size
-            return True
-        return self.used + size > self.POOL
 
-
-_encoders: dict[str, WordEncoder] = {}
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of size places each, one range after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    own = held("tokens")
+    if path not in own:
+        own[path] = WordEncoder(path)
+    return own[path]
 
 
 # --- grammar ----------------------------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, offsets: np.ndarray, vocab: int, limit: int, rounds: int = ROUNDS, per_round: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: (symbols, offsets of the documents in them, rules), a rule being the two symbols that its nonterminal stands for.
+def _chosen(key: np.ndarray, cell: np.ndarray, least: int, step: int) -> tuple[np.ndarray, bool]:
+    """The pairs that a round replaces, the most frequent first, and whether these are all that occur least times."""
+    count = np.bincount(cell, minlength=1 << CELL_BITS)
+    often = np.sort(key[count[cell] >= least])  # a pair of a lesser cell can't occur least times
+    first = np.flatnonzero(np.concatenate([[True], often[1:] != often[:-1]])) if len(often) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(often)))
+    floor = max(least, int(times.max(initial=0)) // step)
+    some = np.flatnonzero(times >= floor)
+    some = some[np.argsort(-times[some], kind="stable")]
+    return often[first[some]], floor == least
+
+
+def compress(ids: np.ndarray, offsets: np.ndarray, vocab: int, least: int = LEAST, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: (symbols, offsets of the documents in them, rules, lengths); a rule is the two symbols that its nonterminal (from vocab on) stands for, its length the ids in all.
 
-    Each round counts the pairs inside documents, replaces up to per_round of the most frequent by new nonterminals (from
-    vocab on, at most limit in all; where two overlap, every second of a run) and goes on until no pair occurs least times.
+    A round counts the pairs inside documents (of a run of one symbol, every second place) and replaces the most frequent,
+    of two that overlap the more frequent. A pair that so loses all but a few of its places waits. Rounds go on until no
+    pair occurs least times: after all such pairs have been replaced once, only those with a new symbol are counted, and
+    when these run out, all pairs once more.
     """
-    narrow = vocab + limit <= 1 << 16
-    kind, half, spread, shift = (np.uint32, 16, 0x9E3779B1, 32 - CELL_BITS) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15, 64 - CELL_BITS)
-    seq = ids.astype(np.uint16 if narrow else np.uint32)
+    if least < 2:
+        raise ValueError("least: 2 at least")
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)  # of a document: the pair from here would cross its end
     last[offsets[1:][np.diff(offsets) > 0] - 1] = True
-    rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        room = min(per_round, limit - made)
-        if room <= 0 or len(seq) < 2:
-            break
-        key = (seq[:-1].astype(kind) << kind(half)) | seq[1:]
-        cell = ((key * kind(spread)) >> kind(shift)).astype(np.int32)
-        cell[last[:-1]] = 0
-        count = np.bincount(cell, minlength=1 << CELL_BITS)
-        count[0] = 0
-        floor = max(least, int(np.partition(count, len(count) - room)[len(count) - room]))
-        cells = np.flatnonzero(count >= floor)
-        cells = cells[np.argsort(-count[cells], kind="stable")[:room]]
-        if not len(cells):
-            break
+    rules, lengths = [np.zeros((0, 2), np.uint32)], [np.ones(vocab, np.int64)]
+    made, fresh = 0, 0  # nonterminals; the pairs that are counted hold a symbol from fresh on
+    while len(seq) > 1:
+        use = ~last[:-1]
+        if fresh:
+            new = seq >= fresh
+            use &= new[:-1] | new[1:]
+        same = np.flatnonzero(use & (seq[:-1] == seq[1:]))
+        if len(same):
+            odd = np.arange(len(same))
+            begins = np.concatenate([[True], np.diff(same) > 1])
+            odd -= np.maximum.accumulate(np.where(begins, odd, 0))
+            use[same[odd & 1 == 1]] = False
+        at = np.flatnonzero(use)
+        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        cell = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int32)
+        pairs, all_of_them = _chosen(key, cell, least, step)
+        if not len(pairs):
+            if not fresh:
+                break
+            fresh = 0
+            continue
         number = np.full(1 << CELL_BITS, -1, np.int32)
-        number[np.sort(cells)] = np.arange(len(cells))
-        which = number[cell]
-        at = np.flatnonzero(which >= 0)
-        which, own = which[at], key[at]
-        pairs = np.zeros(len(cells), kind)
-        pairs[which] = own  # one pair of a cell; others that share the cell wait for another round
-        ok = own == pairs[which]
-        at, which = at[ok], which[ok]
-        times = np.bincount(which, minlength=len(cells))
-        good = times >= least
-        ok = good[which]
-        at, which = at[ok], (np.cumsum(good) - 1)[which[ok]]
-        pairs = pairs[good]
-        if not len(at):
-            break
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = at[1:] != at[:-1] + 1
-        place = np.arange(len(at), dtype=np.int32)
-        ok = (place - np.maximum.accumulate(np.where(fresh, place, 0))) & 1 == 0
-        at, which = at[ok], which[ok]
-        seq[at] = vocab + made + which
+        own = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        number[own[::-1]] = np.arange(len(pairs) - 1, -1, -1)  # of the pairs of a cell the most frequent; others wait
+        rank = number[cell]
+        ok = rank >= 0
+        ok[ok] = pairs[rank[ok]] == key[ok]
+        at, rank = at[ok], rank[ok]
+        beside = at[1:] == at[:-1] + 1
+        beaten = np.zeros(len(at), bool)
+        beaten[1:] |= beside & (rank[:-1] < rank[1:])
+        beaten[:-1] |= beside & (rank[1:] <= rank[:-1])
+        at, rank = at[~beaten], rank[~beaten]
+        good = np.bincount(rank, minlength=len(pairs)) >= least
+        at, rank = at[good[rank]], rank[good[rank]]
+        pairs, rank = pairs[good], (np.cumsum(good) - 1)[rank]
+        seq[at] = vocab + made + rank
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        rules.append(np.stack([(pairs >> kind(half)).astype(np.uint32), (pairs & kind((1 << half) - 1)).astype(np.uint32)], 1))
+        rule = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        size = np.concatenate(lengths)
+        rules.append(rule)
+        lengths = [size, size[rule].sum(1)]
+        fresh = vocab + made if all_of_them else 0
         made += len(pairs)
-        if len(at) < len(seq) // 50:
-            break
     docs = np.concatenate([[0], np.flatnonzero(last) + 1])
     if len(docs) != len(offsets):  # some document is empty
         sizes = np.zeros(len(offsets) - 1, np.int64)
         sizes[np.diff(offsets) > 0] = np.diff(docs)
         docs = np.concatenate([[0], np.cumsum(sizes)])
-    return seq, docs, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    return seq, docs, np.concatenate(rules), np.concatenate(lengths)[vocab:]
 
 
 class Grammar:
-    """Expands symbols: each has its ids at a place of one flat table."""
+    """Expands symbols by rules and expansion lengths."""
 
     def __init__(self, vocab: int, rules: np.ndarray, lengths: np.ndarray):
-        self.size = np.concatenate([np.ones(vocab, np.int64), lengths.astype(np.int64)])
-        self.at = np.cumsum(self.size) - self.size
-        self.flat = np.zeros(int(self.size.sum()), np.uint32)
-        self.flat[:vocab] = np.arange(vocab)
-        for k, (a, b) in enumerate(rules.tolist()):
-            to = self.at[vocab + k]
-            self.flat[to : to + self.size[a]] = self.flat[self.at[a] : self.at[a] + self.size[a]]
-            self.flat[to + self.size[a] : to + self.size[vocab + k]] = self.flat[self.at[b] : self.at[b] + self.size[b]]
-
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        sizes = self.size[symbols]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.at[symbols] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-
-def expansion_lengths(vocab: int, rules: np.ndarray) -> np.ndarray:
-    size = [1] * vocab + [0] * len(rules)
-    for k, (a, b) in enumerate(rules.tolist()):
-        size[vocab + k] = size[a] + size[b]
-    return np.array(size[vocab:], np.uint64)
-
+        self.vocab, self.rules, self.lengths, self._flat = vocab, rules, lengths.astype(np.int64), None
 
-# --- files: MAGIC, blocks, then the blocks' places, their number and MAGIC ----------------------------------------------
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
+        out = np.ones(len(symbols), np.int64)
+        big = symbols >= self.vocab
+        out[big] = self.lengths[symbols[big] - self.vocab]
+        return out
 
-_HEAD = struct.Struct("<QQQQQ")  # documents, symbols, rules, vocabulary, bytes of a symbol
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of a few symbols, rule by rule."""
+        while (big := symbols >= self.vocab).any():
+            times = big + np.int64(1)
+            to = (np.cumsum(times) - times)[big]
+            pair = self.rules[symbols[big] - self.vocab]
+            symbols = np.repeat(symbols, times)
+            symbols[to], symbols[to + 1] = pair[:, 0], pair[:, 1]
+        return symbols
+
+    def part(self, symbols: np.ndarray, first: int, last: int) -> np.ndarray:
+        """The ids from first to before last of what symbols stand for; what lies outside is passed by its length."""
+        while True:
+            ends = np.cumsum(self.sizes(symbols))
+            a, b = int(np.searchsorted(ends, first, "right")), int(np.searchsorted(ends, last, "left")) + 1
+            before = int(ends[a - 1]) if a else 0
+            symbols, first, last = symbols[a:b], first - before, last - before
+            if len(symbols) > 2 or not len(symbols) or (symbols < self.vocab).all():
+                return self.expand(symbols)[first:last]
+            big = symbols >= self.vocab  # one or two symbols whose rules lead on
+            symbols = np.concatenate([self.rules[x - self.vocab] if y else np.array([x], np.uint32) for x, y in zip(symbols.tolist(), big.tolist(), strict=True)])
+
+    def expand_many(self, symbols: np.ndarray) -> np.ndarray:
+        """The same as expand(), by a table of all rules' ids, for whole blocks. A rule has at most 1 / least of the block's ids, so the table has a few times the block's."""
+        if self._flat is None:
+            self._at = np.arange(self.vocab + len(self.rules), dtype=np.int64)
+            self._at[self.vocab :] = self.vocab + np.cumsum(self.lengths) - self.lengths
+            flat = np.zeros(self.vocab + int(self.lengths.sum()), np.uint32)
+            flat[: self.vocab] = np.arange(self.vocab)
+            highest, a = self.rules.max(axis=1, initial=0).astype(np.int64), 0
+            while a < len(self.rules):  # as many rules as don't build on one another
+                later = np.flatnonzero(highest[a:] >= self.vocab + a)
+                b = a + int(later[0]) if len(later) else len(self.rules)
+                pair = self.rules[a:b].ravel()
+                to, size = int(self._at[self.vocab + a]), self.sizes(pair)
+                flat[to : to + int(size.sum())] = flat[_ranges(self._at[pair], size)]
+                a = b
+            self._flat = flat
+        return self._flat[_ranges(self._at[symbols], self.sizes(symbols))]
+
+
+# --- files: MAGIC, blocks, then for each block its place, least and greatest id, then the end of blocks, their number and MAGIC
+
+_HEAD = struct.Struct("<QQQQQ")  # documents, symbols, rules, vocabulary, bits of a symbol
+
+
+def pack_bits(x: np.ndarray, bits: int) -> bytes:
+    """Numbers below 2 ** bits, one after another, the lowest bit first."""
+    cut = [np.unpackbits(np.ascontiguousarray(x[k : k + 65536], "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits] for k in range(0, len(x), 65536)]
+    return b"".join(np.packbits(c, bitorder="little").tobytes() for c in cut)  # 65,536 numbers fill whole bytes
+
+
+def unpack_bits(data: bytes | np.ndarray, bits: int, first: int, n: int) -> np.ndarray:
+    """n numbers from the first on."""
+    data = np.frombuffer(data, np.uint8)
+    out = np.zeros(n, np.uint32)
+    for k in range(0, n, 65536):
+        m = min(65536, n - k)
+        low = (first + k) * bits
+        one = np.unpackbits(data[low // 8 : (low + m * bits + 7) // 8], bitorder="little")[low % 8 : low % 8 + m * bits].reshape(m, bits)
+        wide = np.zeros((m, 32), np.uint8)
+        wide[:, :bits] = one
+        out[k : k + m] = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    return out
 
 
 def pack(doc_ids: np.ndarray, ids: np.ndarray, offsets: np.ndarray, vocab: int, **options) -> bytes:
-    """One block: header, document ids, their tokens, offsets in the symbols, rules, expansion lengths, symbols."""
-    wide = 2 if vocab < 1 << 16 else 4
-    symbols, docs, rules = compress(ids, offsets, vocab, (1 << 8 * wide) - vocab, **options)
-    parts = [doc_ids.astype("<i8"), np.diff(offsets).astype("<u8"), docs.astype("<u8"), rules.astype("<u4"), expansion_lengths(vocab, rules).astype("<u8"), symbols.astype(f"<u{wide}")]
-    return _HEAD.pack(len(doc_ids), len(symbols), len(rules), vocab, wide) + b"".join(x.tobytes() for x in parts)
+    """One block: header, document ids, their offsets in the tokens and in the symbols, expansion lengths of the rules, then rules and symbols in as many bits as the largest takes."""
+    symbols, docs, rules, lengths = compress(ids, offsets, vocab, **options)
+    bits = max(1, (vocab + len(rules) - 1).bit_length())
+    parts = [doc_ids.astype("<i8").tobytes(), offsets.astype("<u8").tobytes(), docs.astype("<u8").tobytes(), lengths.astype("<u4").tobytes(), pack_bits(rules.ravel(), bits), pack_bits(symbols, bits)]
+    return _HEAD.pack(len(doc_ids), len(symbols), len(rules), vocab, bits) + b"".join(parts)
 
 
 class Block:
-    """A packed block; documents are decoded one by one or all at once."""
-
-    def __init__(self, data: bytes):
-        docs, symbols, rules, vocab, wide = _HEAD.unpack_from(data)
-        at = _HEAD.size
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.doc_ids, self.n_tokens, self.places = take("<i8", docs), take("<u8", docs).astype(np.int64), take("<u8", docs + 1).astype(np.int64)
-        pairs, lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u8", rules)
-        self.symbols, self.grammar = take(f"<u{wide}", symbols), Grammar(vocab, pairs, lengths)
-
-    def document(self, k: int) -> np.ndarray:
-        return self.grammar.expand(self.symbols[self.places[k] : self.places[k + 1]])
+    """A packed block behind read(place, size); what is needed is read when it is needed."""
+
+    def __init__(self, read):
+        self._read = read
+        self.docs, self.symbols, rules, self.vocab, self.bits = _HEAD.unpack(read(0, _HEAD.size))
+        self._rules = rules
+        self._places = np.cumsum([_HEAD.size, 8 * self.docs, 8 * (self.docs + 1), 8 * (self.docs + 1), 4 * rules, (2 * rules * self.bits + 7) // 8]).tolist()
+        self._grammar = None
+
+    def _numbers(self, part: int, kind: str, first: int, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(self._read(self._places[part] + first * size, n * size), kind)
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self._numbers(0, "<i8", 0, self.docs)
+
+    @property
+    def offsets(self) -> np.ndarray:
+        """Of the documents in the tokens."""
+        return self._numbers(1, "<u8", 0, self.docs + 1).astype(np.int64)
+
+    @property
+    def grammar(self) -> Grammar:
+        if self._grammar is None:
+            lengths = self._numbers(3, "<u4", 0, self._rules)
+            rules = unpack_bits(self._read(self._places[4], (2 * self._rules * self.bits + 7) // 8), self.bits, 0, 2 * self._rules)
+            self._grammar = Grammar(self.vocab, rules.reshape(-1, 2), lengths)
+        return self._grammar
+
+    def symbols_of(self, k: int, to: int) -> np.ndarray:
+        """The symbols of the documents from the k-th on."""
+        a, b = (int(self._numbers(2, "<u8", x, 1)[0]) for x in (k, to))
+        skip = a % 8  # eight symbols fill whole bytes
+        low, high = (a - skip) * self.bits // 8, (b * self.bits + 7) // 8
+        return unpack_bits(self._read(self._places[5] + low, high - low), self.bits, skip, b - a)
+
+    def document(self, k: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The ids of the k-th document, or those from first to before last; of the symbols only that document's are read."""
+        symbols = self.symbols_of(k, k + 1)
+        return self.grammar.expand(symbols) if not first and last is None else self.grammar.part(symbols, first, int(self.grammar.sizes(symbols).sum()) if last is None else last)
 
     def runs(self, tokens: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first, next document, their ids) for runs of about so many tokens."""
-        ends, k = np.cumsum(self.n_tokens), 0
-        while k < len(ends):
+        ends, k = self.offsets[1:], 0
+        while k < self.docs:
             to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + tokens, "right")))
-            yield k, to, self.grammar.expand(self.symbols[self.places[k] : self.places[to]])
+            yield k, to, self.grammar.expand_many(self.symbols_of(k, to))
             k = to
 
 
 class ShardFile:
-    """Reads one shard file, block by block; document() finds a single one."""
+    """Reads one shard file, block by block; document() finds a single one by the blocks' ids."""
 
     def __init__(self, path: str):
         system, name = pafs.FileSystem.from_uri(path)
         self.file = system.open_input_file(name)
         size = self.file.size()
-        self.file.seek(size - 16)
-        n, magic = struct.unpack("<Q8s", self.file.read(16))
+        n, magic = struct.unpack("<Q8s", self._read(size - 16, 16))
         if magic != MAGIC:
             raise ValueError(f"{path} is no token shard")
-        self.file.seek(size - 16 - 8 * (n + 1))
-        self.places = np.frombuffer(self.file.read(8 * (n + 1)), "<u8").tolist()
+        tail = np.frombuffer(self._read(size - 16 - 8 * (3 * n + 1), 8 * (3 * n + 1)), "<i8")
+        self.places, self.low, self.high = tail[: n + 1].tolist(), tail[n + 1 : 2 * n + 1], tail[2 * n + 1 :]
+
+    def _read(self, place: int, size: int) -> bytes:
+        self.file.seek(place)
+        return self.file.read(size)
+
+    def block(self, k: int) -> Block:
+        return Block(lambda place, size: self._read(self.places[k] + place, size))
 
     def blocks(self) -> Iterator[Block]:
+        """All blocks, each read at once."""
         for a, b in zip(self.places[:-1], self.places[1:], strict=True):
-            self.file.seek(a)
-            yield Block(self.file.read(b - a))
-
-    def document(self, doc_id: int) -> np.ndarray | None:
-        for block in self.blocks():
-            if len(found := np.flatnonzero(block.doc_ids == doc_id)):
-                return block.document(int(found[0]))
-        return None
+            data = self._read(a, b - a)
+            yield Block(lambda place, size, data=data: data[place : place + size])
+
+    def document(self, doc_id: int | None, first: int = 0, last: int | None = None) -> np.ndarray | None:
+        """The ids of the first document with that id, or a range of them; ids ascend, so two searches find it. None without one."""
+        wanted = NO_ID if doc_id is None else doc_id
+        k = int(np.searchsorted(self.high, wanted))
+        if k == len(self.high) or self.low[k] > wanted:
+            return None
+        block = self.block(k)
+        ids = block.doc_ids
+        at = int(np.searchsorted(ids, wanted))
+        return block.document(at, first, last) if at < len(ids) and ids[at] == wanted else None
 
     def close(self) -> None:
         self.file.close()
@@ -354,10 +475,11 @@ class ShardFile:
 
 
 def _tokenised(path: str, end_id: int, bounds: np.ndarray):
+    @tidy
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", 1 << 20):
                 data, offsets = raw(block.column("text"))
                 ids, at = enc.encode(data, offsets)
                 ids = np.insert(ids, at[1:], end_id)
@@ -377,31 +499,32 @@ def _tokenised(path: str, end_id: int, bounds: np.ndarray):
     return kernel
 
 
-def _write(folder: str, path: str, options: dict):
+def _write(folder: str, vocab: int, options: dict):
+    @tidy
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        vocab = Tokenizer.from_file(path).get_vocab_size()
+        held("shards")  # the encoder's tables go
         kind = "<u2" if vocab <= 1 << 16 else "<u4"
         system, name = pafs.FileSystem.from_uri(folder)
         system.create_dir(name, recursive=True)
-        out, file, place, held, size, totals = None, "", [], [], 0, [0, 0]
+        out, file, place, low, high, kept, size, totals = None, "", [], [], [], [], 0, [0, 0]
 
         def flush() -> None:
-            nonlocal held, size
-            if held:
-                doc = np.concatenate([d for d, _, _ in held])
-                sizes = np.concatenate([n for _, n, _ in held])
-                ids = np.concatenate([x for _, _, x in held])
-                held, size = [], 0
+            nonlocal kept, size
+            if kept:
+                doc = np.concatenate([d for d, _, _ in kept])
+                sizes = np.concatenate([n for _, n, _ in kept])
+                ids = np.concatenate([x for _, _, x in kept])
+                kept, size = [], 0
                 out.write(pack(doc, ids, np.concatenate([[0], np.cumsum(sizes)]), vocab, **options))
                 place.append(out.tell())
+                low.append(int(doc[0]))
+                high.append(int(doc[-1]))
                 totals[0] += len(doc)
                 totals[1] += len(ids)
 
         shard = -1
         for batch in batches:
-            for block in blocks(batch, "ids", 1 << 21):
+            for block in blocks(batch, "ids", BLOCK_TOKENS // 8 * np.dtype(kind).itemsize):
                 data, offsets = raw(block.column("ids"))
                 ids, offsets = np.frombuffer(data.tobytes(), kind), offsets // np.dtype(kind).itemsize
                 if out is None:
@@ -412,11 +535,11 @@ def _write(folder: str, path: str, options: dict):
                     place.append(out.tell())
                 if size + len(ids) > BLOCK_TOKENS:
                     flush()
-                held.append((block.column("doc_id").to_numpy(), np.diff(offsets), ids))
+                kept.append((block.column("doc_id").to_numpy(), np.diff(offsets), ids))
                 size += len(ids)
         if out is not None:
             flush()
-            out.write(np.array(place, "<u8").tobytes() + struct.pack("<Q8s", len(place) - 1, MAGIC))
+            out.write(np.array([*place, *low, *high], "<i8").tobytes() + struct.pack("<Q8s", len(low), MAGIC))
             n = out.tell()
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [folder + "/" + file.rsplit("/", 1)[1]], "n_docs": [totals[0]], "n_tokens": [totals[1]], "n_bytes": [n]})
@@ -424,13 +547,15 @@ def _write(folder: str, path: str, options: dict):
     return kernel
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held("shards")
     for batch in batches:
         for row in batch.to_pylist():
             start, shard = row["start"], ShardFile(row["path"])
             for block in shard.blocks():
                 for a, b, ids in block.runs():
-                    sizes, data = block.n_tokens[a:b], memoryview(ids.astype("<u4").tobytes())
+                    sizes, data = np.diff(block.offsets[a : b + 1]), memoryview(ids.astype("<u4").tobytes())
                     ends = np.cumsum(sizes)
                     crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                     doc = block.doc_ids[a:b]
@@ -456,7 +581,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     bounds = np.array(cuts or [], np.int64)
     coded = base.mapInArrow(_tokenised(tokenizer, end_id, bounds), "doc_id long, shard int, ids binary")
     dealt = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "ids")
-    manifest = written(dealt.mapInArrow(_write(folder, tokenizer, options), "shard int, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
+    from tokenizers import Tokenizer
+
+    vocab = Tokenizer.from_file(tokenizer).get_vocab_size()
+    manifest = written(dealt.mapInArrow(_write(folder, vocab, options), "shard int, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 

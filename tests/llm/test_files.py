@@ -27,23 +27,56 @@ def some_texts(n=800):
     return out + ["".join(r.choice("ab1 !\n\té'") for _ in range(r.randint(0, 30))) for _ in range(n)] + ["word " * 5000]
 
 
+def bare():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
 def test_encoder_equals_the_tokenizer():
     texts = some_texts()
+    want = [e.ids for e in bare().encode_batch(texts, add_special_tokens=False)]
     enc = token_output.WordEncoder(tokenizer_path())
-    enc.SLOTS = 64  # pieces fight for slots
-    enc.clear()
-    for _ in range(2):
-        ids, at = enc.encode(*raw(pa.array(texts)))
-        want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+    for slots, text, pool in ((64, 1 << 20, 1 << 20), (1 << 20, 300, 1 << 20), (1 << 20, 1 << 20, 200)):  # pieces fight for slots; tables that are soon full
+        enc.SLOTS, enc.TEXT, enc.POOL = slots, text, pool
+        enc.clear()
+        for size in (len(texts), 7, len(texts)):
+            got = []
+            for k in range(0, len(texts), size):
+                ids, at = enc.encode(*raw(pa.array(texts[k : k + size])))
+                got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+            assert got == want
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_pieces_of_equal_hashes_are_told_apart(n):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data, cuts = np.frombuffer((word + other).encode(), np.uint8), np.array([0, n, 2 * n])
+    hashes = token_output.Hashes(data).of(cuts[:-1], cuts[1:])
+    texts = [word, other, word[:200], other[:200], other, word]
+    enc, want = token_output.WordEncoder(tokenizer_path()), [e.ids for e in bare().encode_batch([word, other, word[:200], other[:200], other, word], add_special_tokens=False)]
+    for one in (texts[:1], texts[1:2], texts):
+        ids, at = enc.encode(*raw(pa.array(one)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [want[texts.index(x)] for x in one]
+    assert hashes[0] == hashes[1]  # the polynomial alone doesn't tell them apart
+
+
+def test_words_of_equal_polynomials_are_told_apart():
+    from seqweave.llm._words import Words
+
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    data = np.frombuffer((word + " " + word.translate(str.maketrans("ab", "ba")) + " " + word).encode(), np.uint8)
+    h = Words(data, np.array([0, len(data)])).hashes
+    assert h[0] != h[1] and h[0] == h[2]
 
 
 def test_special_tokens_are_read_as_the_bare_library_reads_them(spark):
     from tokenizers import Tokenizer
 
     texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "no <|endoftext| here", "<|endof", "text|>", "it's <|endoftext|>", "plain words"] + some_texts()
-    bare = Tokenizer.from_file(tokenizer_path())
-    want = [bare.encode(t, add_special_tokens=False).ids for t in texts]
+    library = Tokenizer.from_file(tokenizer_path())
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert want[0] == [87, 220, 50256, 331]
     ids, at = token_output.WordEncoder(tokenizer_path()).encode(*raw(pa.array(texts)))
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
@@ -52,28 +85,56 @@ def test_special_tokens_are_read_as_the_bare_library_reads_them(spark):
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == [(k, len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4").tobytes())) for k, w in enumerate(want)]
 
 
-@pytest.mark.parametrize(("vocab", "limit"), [(50_257, 15_279), (70_000, 1 << 20), (4, 6)])
-def test_grammar_round_trip(vocab, limit):
+def pairs_left(symbols, docs, least):
+    """Pairs inside documents that still occur so often, of a run of one symbol every second place."""
+    count: dict[tuple, int] = {}
+    for a, b in zip(docs[:-1].tolist(), docs[1:].tolist(), strict=True):
+        x, taken = symbols[a:b].tolist(), -1
+        for i in range(len(x) - 1):
+            if x[i] == x[i + 1]:
+                if taken == i - 1 and i and x[i - 1] == x[i]:
+                    continue
+                taken = i
+            count[x[i], x[i + 1]] = count.get((x[i], x[i + 1]), 0) + 1
+    return [p for p, n in count.items() if n >= least]
+
+
+@pytest.mark.parametrize(("vocab", "least", "step"), [(50_257, 2, 16), (70_000, 3, 1), (4, 2, 4), (50_257, 5, 1 << 30)])
+def test_grammar_round_trip(vocab, least, step):
     r = np.random.default_rng(2)
-    sizes = np.concatenate([r.integers(0, 60, 300), [0, 0]])
+    sizes = np.concatenate([r.integers(0, 60, 300), [0, 0, 5000]])
     ids = r.integers(0, min(vocab, 12), sizes.sum()).astype(np.uint32)
+    ids[-5000:] = np.tile(ids[:50], 100)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    symbols, docs, rules = token_output.compress(ids, offsets, vocab, limit, least=2)
-    assert 0 < len(rules) <= limit and len(symbols) < len(ids)
-    grammar = token_output.Grammar(vocab, rules, token_output.expansion_lengths(vocab, rules))
-    assert (grammar.expand(symbols) == ids).all()
+    symbols, docs, rules, lengths = token_output.compress(ids, offsets, vocab, least, step)
+    assert len(rules) and len(symbols) < len(ids) and not pairs_left(symbols, docs, least)
+    grammar = token_output.Grammar(vocab, rules, lengths)
+    assert (grammar.expand(symbols) == ids).all() and (grammar.expand_many(symbols) == ids).all()
+    assert lengths.tolist() == [len(grammar.expand(np.array([vocab + k], np.uint32))) for k in range(len(rules))]
     for k in range(len(sizes)):
-        assert (grammar.expand(symbols[docs[k] : docs[k + 1]]) == ids[offsets[k] : offsets[k + 1]]).all()
+        own, want = symbols[docs[k] : docs[k + 1]], ids[offsets[k] : offsets[k + 1]]
+        assert (grammar.expand(own) == want).all()
+        for a, b in ((0, 0), (0, len(want)), (len(want) // 3, len(want) // 2), (len(want) - 1, len(want))):
+            if 0 <= a <= b:
+                assert (grammar.part(own, a, b) == want[a:b]).all()
     for ids in (np.zeros(0, np.uint32), np.zeros(1, np.uint32), np.full(1000, 3, np.uint32)):
-        symbols, docs, rules = token_output.compress(ids, np.array([0, len(ids)]), vocab, limit)
-        assert (token_output.Grammar(vocab, rules, token_output.expansion_lengths(vocab, rules)).expand(symbols) == ids).all()
+        symbols, docs, rules, lengths = token_output.compress(ids, np.array([0, len(ids)]), vocab, least, step)
+        assert (token_output.Grammar(vocab, rules, lengths).expand(symbols) == ids).all() and not pairs_left(symbols, docs, least)
 
 
-def brute_tokens(rows):
-    from tokenizers import Tokenizer
+def test_bits_come_back():
+    r = np.random.default_rng(4)
+    for bits, n in ((1, 9), (7, 0), (16, 70_000), (17, 140_001), (32, 11)):
+        x = r.integers(0, 1 << bits, n, dtype=np.uint64).astype(np.uint32)
+        data = token_output.pack_bits(x, bits)
+        assert len(data) == (n * bits + 7) // 8
+        for a in (0, 3, n // 2):
+            if a <= n:
+                assert (token_output.unpack_bits(data, bits, a, n - a) == x[a:]).all()
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
+
+def brute_tokens(rows):
+    t = bare()
     coded = [(k, t.encode(x or "", add_special_tokens=False).ids + [0]) for k, x in rows]
     return sorted(((k, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for k, i in coded), key=repr)
 
@@ -94,13 +155,21 @@ def test_token_files_come_back(spark, monkeypatch):
     assert token_output.read_tokens(token_output.write_tokens(frame.where("false"), shared_dir(spark, "t"), tokenizer_path())).count() == 0
 
 
-def test_random_access(spark):
-    rows = [(i, f"text number {i} with some more words") for i in range(50)]
+def test_random_access(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "BLOCK_TOKENS", 700)
+    rows = [(i * 3, f"text number {i} with some more words and {i % 7} again " * (1 + i % 5)) for i in range(150)] + [(None, "no id"), (3000, None), (3001, ""), (3002, "end")]
     manifest = token_output.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), shared_dir(spark, "t"), tokenizer_path(), shards=1, least=2).collect()
-    shard = token_output.ShardFile(manifest[0]["path"])
-    want = {k: (n, c) for k, n, c in brute_tokens(rows)}
-    ids = shard.document(31)
-    assert (len(ids), zlib.crc32(ids.astype("<u4").tobytes())) == want[31] and shard.document(99) is None
+    shard, t = token_output.ShardFile(manifest[0]["path"]), bare()
+    assert len(shard.low) > 5
+    for k, x in rows:
+        want = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        assert shard.document(k).tolist() == want
+        assert shard.document(k, 1, len(want) - 1).tolist() == want[1:-1] and shard.document(k, len(want) // 2).tolist() == want[len(want) // 2 :]
+    assert shard.document(1) is None and shard.document(99_999) is None and shard.document(-5) is None
+    read = []
+    one = token_output.Block(lambda place, size, get=shard.block(1)._read: read.append(size) or get(place, size))
+    assert one.document(0).tolist() == shard.block(1).document(0).tolist() and sum(read) < 0.8 * (shard.places[2] - shard.places[1])
+    shard.close()
 
 
 # --- WARC -----------------------------------------------------------------------------------------------------------------
