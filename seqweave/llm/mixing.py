@@ -11,8 +11,8 @@ from ._common import written
 POWER, EPOCHS, SEED = 0.7, 1.0, 17
 #: A rate above this is the sum of draws with equal rates below it, so that exp(-rate) keeps its digits.
 PIECE = 16.0
-#: Sources whose rates are broadcast; of more, the rates are joined with salted keys.
-BROADCAST, SALTS = 100_000, 32
+#: Sources whose rates are broadcast; of more, the rates are joined with salted keys. Keys of repeated rows that are broadcast.
+BROADCAST, SALTS, REPEATED = 100_000, 32, 1_000_000
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, power: float = POWER, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -52,21 +52,37 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """docs, and the name that a row's draws are seeded with: its id, without one the md5 of its text, and for rows that still share a name their place in the input, too."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.md5(text.cast("binary"))))
+    again = written(docs.select(F.xxhash64(name).alias("__name")).groupBy("__name").count().where("count > 1").select("__name"), "repeated")
+    if again.isEmpty():
+        return docs, name
+    numbered = docs.withColumn("__place", F.monotonically_increasing_id()).withColumn("__hash", F.xxhash64(name))
+    again = again.withColumn("__again", F.lit(True))
+    marked = numbered.join(F.broadcast(again) if again.count() <= REPEATED else again, numbered["__hash"] == again["__name"], "left")
+    return marked, F.concat(name, F.when(F.col("__again"), F.concat(F.lit(" "), F.col("__place").cast("string"))).otherwise(""))
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, power: float = POWER, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with each row repeated as its Poisson draw says, and two more columns: copy (from 1) and shuffle_key.
 
-    The draw inverts the distribution of the source's rate at a uniform number from the seed and the id, so it needs no
-    other row and comes out alike whenever a task is run again. Rows that share an id (nulls do) are drawn alike. Rows of
-    rate 0 or draw 0 are not in the output: that is the operator's purpose. Then all rows are dealt to partitions by the
-    md5 of seed, id and copy and sorted by it: a global shuffle. Columns of docs with the names of the two are replaced. Null texts
-    count as empty, the null source is a source. An empty table stays empty.
+    The draw inverts the distribution of the source's rate at a uniform number from the seed and the id (of rows without
+    one, the md5 of the text), so it needs no other row and comes out alike whenever a task is run again. Rows that share
+    an id, or have none and equal texts, are drawn one by one: their places in the input count, so that their draws (not
+    how many there are on average) depend on how the input is read. Rows of rate 0 or draw 0 are not in the output: that
+    is the operator's purpose. Then all rows are dealt to partitions by the md5 of seed, row and copy and sorted by it: a
+    global shuffle. Columns of docs with the names of the two are replaced. Null texts count as empty, the null source is
+    a source. An empty table stays empty.
     """
     docs = docs.drop("copy", "shuffle_key")
+    columns = docs.columns
     table = written(rates(docs, weights, epochs, power, source_col, text_col), "rates").select("source", "rate")
     pieces = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(PIECE))).cast("int")
     table = table.withColumn("pieces", pieces).withColumn("steps", _steps(F.col("rate") / F.col("pieces")))
     plan = F.struct("pieces", "steps").alias("__plan")
-    named = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    docs, named = _named(docs, id_col, text_col)
     if table.count() <= BROADCAST:
         small = F.broadcast(table.select(F.col("source").alias("__source"), plan))
         joined = docs.join(small, docs[source_col].eqNullSafe(F.col("__source")))
@@ -76,7 +92,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
         joined = salted.join(small, salted[source_col].eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt")))
     draw = lambda k: F.size(F.filter(F.col("__plan.steps"), lambda x: x <= uniform(seed, named, k.cast("string"))))
     times = F.aggregate(F.sequence(F.lit(1), F.col("__plan.pieces")), F.lit(0), lambda acc, k: acc + draw(k))
-    out = joined.select(*(docs[c] for c in docs.columns), times.alias("__times")).where("__times > 0")
+    out = joined.select(*(docs[c] for c in columns), named.alias("__named"), times.alias("__times")).where("__times > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).drop("__times")
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), named, F.col("copy").cast("string"), F.lit("shuffle")).cast("binary")))
+    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__named"), F.col("copy").cast("string"), F.lit("shuffle")).cast("binary"))).drop("__named")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -104,12 +104,13 @@ q AS (SELECT source, greatest(1, CAST(ceil(rate / 16.0) AS INT)) AS pieces, rate
 steps AS (
   SELECT source, pieces, m, 0 AS k, exp(-m) AS p, exp(-m) AS upto FROM q
   UNION ALL SELECT source, pieces, m, k + 1, p * m / (k + 1), upto + p * m / (k + 1) FROM steps WHERE k < CAST(floor(m + 12 * sqrt(m) + 20) AS INT)),
-draws AS (SELECT d.doc_id, d.source, unnest(range(1, pieces + 1)) AS piece FROM documents d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-u AS (SELECT doc_id, source, CAST(CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || piece), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS x FROM draws),
-times AS (SELECT u.doc_id, count(*) AS n FROM u JOIN steps ON u.source IS NOT DISTINCT FROM steps.source AND steps.upto <= u.x GROUP BY u.doc_id),
-copies AS (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM times)
-SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(copy AS BIGINT) AS copy, md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || copy || '|shuffle') AS shuffle_key
-FROM copies JOIN documents d ON d.doc_id IS NOT DISTINCT FROM copies.doc_id
+n AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, ''))) AS name FROM documents),
+draws AS (SELECT n.name, n.source, unnest(range(1, pieces + 1)) AS piece FROM n JOIN q ON n.source IS NOT DISTINCT FROM q.source),
+u AS (SELECT name, source, CAST(CAST('0x' || substr(md5('17|' || name || '|' || piece), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS x FROM draws),
+times AS (SELECT u.name, count(*) AS n FROM u JOIN steps ON u.source IS NOT DISTINCT FROM steps.source AND steps.upto <= u.x GROUP BY u.name),
+copies AS (SELECT name, unnest(range(1, n + 1)) AS copy FROM times)
+SELECT n.doc_id, n.text, n.lang, n.source, n.n_chars, CAST(copy AS BIGINT) AS copy, md5('17|' || name || '|' || copy || '|shuffle') AS shuffle_key
+FROM copies JOIN n USING (name)
 """
 
 #: 24 shards in two regions of three racks; one more in the last rack.

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,10 +152,24 @@ def test_high_rates_and_salted_sources(spark, monkeypatch):
 
 def test_mixing_defaults_and_edges(spark):
     odd = spark.createDataFrame([(None, "x", "a"), (1, None, None), (1, "", None), (2, "y" * 200_000, "b")], "doc_id long, text string, source string")
-    assert mixing.mixed(odd).count() >= 0 and mixing.mixed(odd.where("false")).count() == 0
+    rows = mixing.mixed(odd, epochs=3).collect()
+    assert {r["doc_id"] for r in rows} <= {None, 1, 2} and mixing.mixed(odd.where("false")).count() == 0
+    assert all(sorted(r["copy"] for r in rows if (r["doc_id"], r["text"]) == key) == list(range(1, n + 1)) for key, n in Counter((r["doc_id"], r["text"]) for r in rows if r["doc_id"] != 1).items())
     assert sum(r["rate"] * r["size"] for r in mixing.rates(odd).collect()) == pytest.approx(sum(r["size"] for r in mixing.rates(odd).collect()))
 
 
+@pytest.mark.parametrize(("text", "repeated"), [("concat('row ', id)", 1_000_000), ("'same'", 1_000_000), ("'same'", 0)])
+def test_rows_without_ids_are_drawn_one_by_one(spark, monkeypatch, text, repeated):
+    monkeypatch.setattr(mixing, "REPEATED", repeated)
+    n = 20_000
+    out = mixing.mixed(spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.expr(text).alias("text"), F.lit("a").alias("source")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = [r["n"] for r in out.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.count("*").alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert abs(sum(parts) - n) < 5 * n**0.5 and len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) < 1.2 * n / len(parts)
+    assert out.select("shuffle_key").distinct().count() == sum(parts)
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------------
 
 
