@@ -19,7 +19,11 @@ from ..session import ship
 #: Rows of an Arrow batch, so that a batch of long texts stays within a worker's memory.
 BATCH_ROWS = 1000
 #: Bytes of text that a kernel works on at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Keys that are broadcast at most.
+BROADCAST = 500_000
+#: Rows of a group from which on it is joined by broadcast, and such groups at most.
+LARGE_GROUP, MOST_GROUPS = 200, 100_000
 #: The folders of sessions that name none.
 _own: dict[str, str] = {}
 #: What a worker keeps between tasks, by kind of kernel.
@@ -75,14 +79,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """The id of a row, or a hash of its text where the id is null: such rows are one document if their texts are equal."""
-    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    """What a row is judged by: its id and 128 bits of its text. Rows with the same key are one document that repeats; a null text counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(17), text)))
+
+
+def sent(small: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(small) if small.count() <= most else small
 
 
 def without(docs: DataFrame, id_col: str, text_col: str, rejected) -> DataFrame:
-    """docs, all columns, without the rows whose key is in rejected(docs with the key, name of the key)."""
+    """docs, all columns, without the rows whose key is in rejected(docs with the key, name of the key). Each row is judged by its own text."""
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    return keyed.join(rejected(keyed, "__key").distinct(), "__key", "left_anti").select(docs.columns)
+    gone = written(rejected(keyed, "__key").distinct(), "rejected")
+    return keyed.join(sent(gone), "__key", "left_anti").select(docs.columns)
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """rows.join(groups, key) of written tables, groups having one row a key and the number of its rows: the rows of large groups meet no key in one task.
+
+    Groups of more than LARGE_GROUP rows (or a MOST_GROUPS-th of all rows, so that they are that few) are broadcast; only the rows of others are shuffled.
+    """
+    limit = max(LARGE_GROUP, int((groups.agg(F.sum(count)).first()[0] or 0) // MOST_GROUPS))
+    large = groups.where(F.col(count) > limit).withColumn("__large", F.lit(True))
+    if large.isEmpty():
+        return rows.join(groups, key)
+    marked = rows.join(F.broadcast(large), key, "left")
+    rest = marked.where("__large is null").select(rows.columns).join(groups.where(F.col(count) <= limit), key)
+    return marked.where("__large").drop("__large").unionByName(rest)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pds
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, raw, shared_dir, small_batches, without, written
+from ._common import blocks, held, raw, shared_dir, small_batches, tidy, without, written
 from ._words import WORD_TABLE
 
-#: Words of a window; windows of an automaton at most. A larger benchmark takes several automata, one after another.
-WINDOW, WINDOWS = 10, 20_000
+#: Words of a window; windows of an automaton at most, about. A larger benchmark takes several automata, which take turns over so many bytes of text.
+WINDOW, WINDOWS, HELD = 10, 20_000, 32 << 20
 #: Words are runs of word bytes, one blank between them.
 _TO_WORDS = bytes(int(b) if b else 0x20 for b in WORD_TABLE)
 
@@ -44,19 +41,17 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
     return rows.groupBy("pattern").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-_automata: dict[str, ahocorasick.Automaton] = {}
-
-
-def automaton(name: str, patterns: list[Row]) -> ahocorasick.Automaton:
-    """This worker's automaton; patterns are searched as Latin-1 so that places are bytes."""
-    if name not in _automata:
-        _automata.clear()
+def automaton(name: str, patterns: Callable[[], list]) -> ahocorasick.Automaton:
+    """This worker's automaton, one at a time; patterns are searched as Latin-1 so that places are bytes."""
+    own = held("automaton")
+    if name not in own:
+        own.clear()
         made = ahocorasick.Automaton()
-        for pattern, items in patterns:
+        for pattern, items in patterns():
             made.add_word(pattern.decode("latin-1"), (len(pattern), pattern.count(b" ") - 1, items))
         made.make_automaton()
-        _automata[name] = made
-    return _automata[name]
+        own[name] = made
+    return own[name]
 
 
 def _spans(batch: pa.RecordBatch, find: ahocorasick.Automaton) -> Iterator[tuple]:
@@ -93,54 +88,48 @@ def _result(block: pa.RecordBatch, found: list[tuple], places: bool) -> pa.Recor
     return pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], ["doc_id", "n_words", "spans", "items", "chars"])
 
 
-def _scan(shared, name: str, places: bool):
+def _scan(parts: list, places: bool):
+    """parts: for each automaton its name and what gives its patterns. Several take turns over about HELD bytes of text, so that each is seldom made anew."""
+
+    @tidy
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = automaton(name, shared.value)
-        for batch in batches:
-            for block in blocks(batch, "text"):
-                yield _result(block, [(n, _merged(hit), items) for _, n, hit, items in _spans(block, find)], places)
+        for group in grouped((b for batch in batches for b in blocks(batch, "text")), HELD if len(parts) > 1 else 0):
+            found: list[list[tuple]] = [[] for _ in group]
+            for name, patterns in parts:
+                find = automaton(name, patterns)
+                for k, block in enumerate(group):
+                    own = [(n, _merged(hit), items) for _, n, hit, items in _spans(block, find)]
+                    found[k] = [(n, _merged([*was, *hit]), known | items) for (_, was, known), (n, hit, items) in zip(found[k], own, strict=True)] if found[k] else own
+            for block, own in zip(group, found, strict=True):
+                yield _result(block, own, places)
 
     return kernel
 
 
-def _scan_in_turn(folder: str, passes: int, places: bool):
-    """Each task keeps its rows in a file of its own and scans them with one automaton after another; only rows with hits are held."""
+def grouped(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of blocks with at least so many bytes of text."""
+    group, have = [], 0
+    for block in parts:
+        group.append(block)
+        have += block.column("text").nbytes
+        if have >= size:
+            yield group
+            group, have = [], 0
+    if group:
+        yield group
+
+
+def _stored(folder: str):
+    """What reads the patterns of a part in the shared folder."""
 
-    def part(k: int) -> list[tuple]:
-        system, name = pafs.FileSystem.from_uri(f"{folder}/part={k}")
+    def patterns() -> list[tuple]:
+        system, name = pafs.FileSystem.from_uri(folder)
         if system.get_file_info(name).type == pafs.FileType.NotFound:
             return []
         table = pds.dataset(name, filesystem=system, format="parquet").to_table(columns=["pattern", "items"])
         return list(zip(table.column("pattern").to_pylist(), table.column("items").to_pylist(), strict=True))
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryDirectory(prefix="seqweave-") as own:
-            spool, writer = os.path.join(own, "rows"), None
-            for batch in batches:
-                for block in blocks(batch, "text"):
-                    writer = writer or pa.ipc.new_stream(spool, block.schema)
-                    writer.write_batch(block)
-            if writer is None:
-                return
-            writer.close()
-            held: dict[int, tuple[list, set]] = {}
-            for k in range(passes):
-                name = f"{folder}/{k}"
-                find = automaton(name, [] if name in _automata else part(k))
-                first = 0
-                with pa.OSFile(spool, "rb") as file:
-                    for block in pa.ipc.open_stream(file):
-                        found = []
-                        for i, n, hit, items in _spans(block, find):
-                            if hit:
-                                spans, known = held.get(first + i, ([], set()))
-                                held[first + i] = _merged([*spans, *hit]), known | items
-                            found.append((n, *held.get(first + i, ([], set()))))
-                        first += block.num_rows
-                        if k == passes - 1:
-                            yield _result(block, found, places)
-
-    return kernel
+    return patterns
 
 
 def _original(text: str, spans: list[list[int]]) -> list[list[int]]:
@@ -157,45 +146,37 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """(doc_id, n_words, spans, items, chars), one row for each row of docs: word ranges hit, items found, and with places the same ranges in characters of the text.
 
     Null and empty texts have no words and no hits; an item without words has no window, and an item of fewer words than
-    window is one window. Equal windows of several items count for each. The windows are broadcast if they are at most so
-    many; those of a larger benchmark are files of about so many in the shared folder, and each task scans its rows with
-    an automaton of each in turn. An empty benchmark hits nothing. Other columns are not read.
+    window is one window. Equal windows of several items count for each. The windows are files of about `most` in the
+    shared folder, which workers read; one automaton holds a file's, and where there are several, a task scans its rows
+    with each in turn. An empty benchmark hits nothing. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = written(windows(items, item_col, item_text_col, window), "windows")
     passes = max(1, -(-found.count() // most))
-    if passes == 1:
-        shared = spark.sparkContext.broadcast([(bytes(r[0]), list(r[1])) for r in found.collect()])
-        scan = _scan(shared, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", places)
-    else:
-        folder = shared_dir(spark, "automata")
-        found.withColumn("part", F.pmod(F.xxhash64("pattern"), F.lit(passes))).repartition("part").write.partitionBy("part").parquet(folder)
-        scan = _scan_in_turn(folder, passes, places)
-    return base.mapInArrow(scan, "doc_id long, n_words long, spans array<array<long>>, items array<long>, chars array<array<long>>")
+    folder = shared_dir(spark, "automata")
+    found.withColumn("part", F.pmod(F.xxhash64("pattern"), F.lit(passes))).repartition("part").write.partitionBy("part").parquet(folder)
+    scan = _scan([(f"{folder}/{k}", _stored(f"{folder}/part={k}")) for k in range(passes)], places)
+    return base.mapInArrow(scan, f"doc_id {dict(base.dtypes)['doc_id']}, n_words long, spans array<array<long>>, items array<long>, chars array<array<long>>")
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of contamination()."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_chars) of contamination(); hit_chars: the places, from-to, in characters of the text."""
     ranges = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("upto")),
         lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), s[1] - F.greatest(s[0], acc["upto"]))).alias("n"), F.greatest(acc["upto"], s[1]).alias("upto")),
     )
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", ranges["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
+    places = F.array_join(F.transform("chars", lambda x: F.concat_ws("-", x[0].cast("string"), x[1].cast("string"))), ",")
+    return found.select("doc_id", "n_words", ranges["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), places.alias("hit_chars"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without any window of the benchmark, with all their columns. Rows that share an id go together; of rows without, those with equal texts."""
+    """The rows of docs without any window of the benchmark, with all their columns, each judged by its own text."""
 
     def hit(keyed: DataFrame, key: str) -> DataFrame:
         return contamination(keyed, items, key, text_col, places=False, **options).where(F.size("items") > 0).select(F.col("doc_id").alias(key))
 
     return without(docs, id_col, text_col, hit)
-
-
-def items_digest(items: list[int]) -> str:
-    """The digest of a list of items as in contamination_digest."""
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, raw, small_batches, without, written
+from ._common import blocks, held, raw, small_batches, tidy, without, written
 from ._words import Hashes, edges, mix
 
 #: Labelled rows that a model is fitted on, about (a bounded sample by hash of the id).
@@ -139,7 +139,9 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicons: list[Lexicon], whi
 
 
 def _features(shared):
+    @tidy
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("words")
         lexicons = [Lexicon(*x) for x in shared.value]
         for batch in batches:
             for block in blocks(batch, "text"):
@@ -153,7 +155,9 @@ def _features(shared):
 def _counts(only: np.ndarray | None):
     """Rows that have each unit, by fold and label; only: the units that count."""
 
+    @tidy
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("words")
         keep = only.value if only is not None else None
         for batch in batches:
             for block in blocks(batch, "text"):
@@ -258,10 +262,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if model.trees is None:
         return base.select("doc_id", F.lit(model.base).alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
-    table = _table(base, [model.lexicon], F.lit(0), "doc_id long")
+    table = _table(base, [model.lexicon], F.lit(0), f"doc_id {dict(base.dtypes)['doc_id']}")
     table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table).select("doc_id", "features")
     table = model.trees.transform(table).select("doc_id", vector_to_array("probability")[1].alias("p"))
     if model.calibration is not None:
@@ -272,10 +276,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def held_out(key: Column) -> Column:
-    """Rows whose labels are never learnt from: crc32 of the id as text, mod 4, is 2."""
-    return F.crc32(key.cast("string").cast("binary")) % 4 == 2
+    """Rows whose labels are never learnt from: crc32 of the id as text, mod 4, is 2. Rows without an id have no label to hold out."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of docs that are not predicted to be toxic, with all their columns. Rows that share an id go together; of rows without, those with equal texts."""
+    """The rows of docs that are not predicted to be toxic, with all their columns, each judged by its own text."""
     return without(docs, id_col, text_col, lambda keyed, key: scored(keyed, model, key, text_col, cut).where("predicted = 1").select(F.col("doc_id").alias(key)))

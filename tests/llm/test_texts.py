@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -13,23 +14,35 @@ from seqweave.llm import chat, decontaminate, mixing, secret_scan, toxicity
 # --- decontamination ------------------------------------------------------------------------------------------------------
 
 
+def plain_words(text):
+    """The words of a text and their places, by the contract's pattern."""
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+    return [m[0] for m in found], [m.span() for m in found]
+
+
 def brute_contamination(docs, items, window=10):
-    words = lambda t: decontaminate.words_of(t)
     wins = {}
     for k, t in items:
-        w = words(t)
+        w, _ = plain_words(t)
         n = min(window, len(w))
         wins[k] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
     out = []
     for k, t in docs:
-        w, hit, found = words(t), set(), set()
+        (w, at), hit, found = plain_words(t), set(), set()
         for item, own in wins.items():
             for p in own:
                 for i in range(len(w) - len(p) + 1):
                     if tuple(w[i : i + len(p)]) == p:
                         found.add(item)
                         hit |= set(range(i, i + len(p)))
-        out.append((k, len(w), len(hit), len(found), decontaminate.items_digest(sorted(found)), bool(hit)))
+        runs: list[list[int]] = []
+        for i in sorted(hit):
+            if i - 1 in hit:
+                runs[-1][1] = at[i][1]
+            else:
+                runs.append(list(at[i]))
+        digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        out.append((k, len(w), len(hit), len(found), digest, bool(hit), ",".join(f"{a}-{b}" for a, b in runs)))
     return sorted(out, key=repr)
 
 
@@ -53,7 +66,7 @@ def test_contamination_matches_brute_force(spark, most):
         for (a, b), (x, y) in zip(r["spans"], r["chars"], strict=True):
             assert decontaminate.words_of(text[r["doc_id"]][x:y]) == decontaminate.words_of(text[r["doc_id"]])[a:b]
     clean = decontaminate.decontaminated(d, i)
-    assert clean.columns == ["doc_id", "text", "spans"] and {r["doc_id"] for r in clean.collect()} == {k for k, *_, bad in brute_contamination(docs, items) if not bad}
+    assert clean.columns == ["doc_id", "text", "spans"] and {r["doc_id"] for r in clean.collect()} == {k for k, *_, bad, _ in brute_contamination(docs, items) if not bad}
 
 
 def test_a_large_benchmark_gives_a_row_for_each_row(spark):
