@@ -21,7 +21,7 @@ BATCH_ROWS = 1000
 #: Bytes of text that a kernel works on at once.
 BLOCK_BYTES = 1 << 19
 #: Keys that are broadcast at most.
-BROADCAST = 500_000
+BROADCAST = 200_000
 #: Rows of a group from which on it is joined by broadcast, and such groups at most.
 LARGE_GROUP, MOST_GROUPS = 200, 100_000
 #: The folders of sessions that name none.
@@ -96,17 +96,18 @@ def without(docs: DataFrame, id_col: str, text_col: str, rejected) -> DataFrame:
     return keyed.join(sent(gone), "__key", "left_anti").select(docs.columns)
 
 
-def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, count: str = "n") -> DataFrame:
-    """rows.join(groups, key) of written tables, groups having one row a key and the number of its rows: the rows of large groups meet no key in one task.
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, count: str = "n", how: str = "inner") -> DataFrame:
+    """rows.join(groups, key, how) of written tables, groups having one row a key and the number of its rows: the rows of large groups meet in no task.
 
-    Groups of more than LARGE_GROUP rows (or a MOST_GROUPS-th of all rows, so that they are that few) are broadcast; only the rows of others are shuffled.
+    Few groups are broadcast. Of many, those of more than LARGE_GROUP rows (or a MOST_GROUPS-th of all rows, so that they
+    are that few) are broadcast, and only the rows of others are shuffled.
     """
-    limit = max(LARGE_GROUP, int((groups.agg(F.sum(count)).first()[0] or 0) // MOST_GROUPS))
+    if groups.count() <= BROADCAST:
+        return rows.join(F.broadcast(groups), key, how)
+    limit = max(LARGE_GROUP, int(groups.agg(F.sum(count)).first()[0] // MOST_GROUPS))
     large = groups.where(F.col(count) > limit).withColumn("__large", F.lit(True))
-    if large.isEmpty():
-        return rows.join(groups, key)
     marked = rows.join(F.broadcast(large), key, "left")
-    rest = marked.where("__large is null").select(rows.columns).join(groups.where(F.col(count) <= limit), key)
+    rest = marked.where("__large is null").select(rows.columns).join(groups.where(F.col(count) <= limit), key, how)
     return marked.where("__large").drop("__large").unionByName(rest)
 
 

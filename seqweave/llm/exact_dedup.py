@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import joined_by_group, written
 
 #: Characters of a chunk at least and at most. Between them a chunk ends after the first place that BREAK describes, so
 #: that an edit moves only the ends near it.
@@ -24,7 +24,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A text is a recipe: the ordered identifiers of its chunks. An identifier is a hash that has been verified against
     the dictionary of distinct chunks: where two chunks share a hash (none, as a rule), each gets a number besides. So
-    chunks move once, to be verified, and documents are grouped by recipes, not by texts. Null counts as empty; empty
+    chunks move once, to be verified, and documents are grouped by recipes, not by texts; the copies of a text that
+    is very common meet in no task. Null counts as empty; empty
     texts are equal. Rows with a null id stay only where no other row of their group has an id. Rows that repeat whole
     are all in the group, and all that carry its keep_id are kept. An empty table gives an empty result. Other columns
     are not read. hash_bits: fewer only in tests, to make hashes collide.
@@ -40,12 +41,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         recipes = plain.select("doc_id", "text_sha256", "recipe", F.array().cast("array<int>").alias("numbers"))
     else:
         recipes = _numbered(plain, dictionary, shared)
-    recipes = recipes.withColumn("recipe", F.struct("recipe", "numbers")).drop("numbers")
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return (
-        recipes.join(groups, "recipe")
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    )
+    recipes = written(recipes.withColumn("recipe", F.struct("recipe", "numbers")).drop("numbers"), "recipes")
+    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    found = joined_by_group(recipes, written(groups, "groups"), "recipe", "group_size", "left")
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def _numbered(plain: DataFrame, dictionary: DataFrame, shared: DataFrame) -> DataFrame:

@@ -14,12 +14,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import blocks, shared_dir, small_batches, written
+from ._common import blocks, joined_by_group, shared_dir, small_batches, tidy, written
 
 #: Magic number of the skippable frame that holds the dictionary (fixed by the format).
 DICTIONARY_FRAME = 0x184D2A5D
-#: Bytes of a dictionary; bytes of the first records of a file that it is trained on; compression level.
-DICTIONARY_BYTES, TRAINING_BYTES, LEVEL = 64 << 10, 4 << 20, 3
+#: Bytes of a dictionary; records that it is trained on, about, and bytes of each at most; compression level.
+DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES, LEVEL = 64 << 10, 2000, 4096, 3
 #: Bytes of a payload from which on a repeated one is only referred to.
 LEAST_PAYLOAD = 100
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,43 +50,31 @@ def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> zstd.ZstdC
 
 
 class Writer:
-    """Writes records to a stream: the first are held back for the dictionary."""
+    """Writes records to a stream, the dictionary before them."""
 
-    def __init__(self, out, level: int = LEVEL):
-        self.out, self.level, self.held, self.size, self.compressor = out, level, [], 0, None
+    def __init__(self, out, made: bytes, level: int = LEVEL):
+        self.out = out
+        out.write(struct.pack("<II", DICTIONARY_FRAME, len(made)) + made)
+        self.compressor = zstd.ZstdCompressor(level=level, dict_data=_loaded(made), write_checksum=True, write_content_size=True)
 
     def add(self, data: bytes) -> None:
-        if self.compressor:
-            self.out.write(self.compressor.compress(data))
-            return
-        self.held.append(data)
-        self.size += len(data)
-        if self.size >= TRAINING_BYTES:
-            self.begin()
-
-    def begin(self) -> None:
-        made = dictionary(self.held)
-        data = made.as_bytes()
-        self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(data)) + data)
-        self.compressor = zstd.ZstdCompressor(level=self.level, dict_data=made, write_checksum=True, write_content_size=True)
-        held, self.held = self.held, []
-        for x in held:
-            self.add(x)
+        self.out.write(self.compressor.compress(data))
 
     def close(self) -> None:
-        if not self.compressor:
-            self.begin()
         self.out.close()
 
 
+def _loaded(data: bytes) -> zstd.ZstdCompressionDict:
+    """A dictionary of the format, or raw content where it doesn't begin like one."""
+    return zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_AUTO if data[:4] == b"\x37\xa4\x30\xec" else zstd.DICT_TYPE_RAWCONTENT)
+
+
 def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an open archive, one at a time."""
     magic, size = struct.unpack("<II", source.read(8))
     if magic != DICTIONARY_FRAME:
         raise ValueError("no dictionary frame at the start")
-    data = source.read(size)
-    kind = zstd.DICT_TYPE_AUTO if data[:4] == b"\x37\xa4\x30\xec" else zstd.DICT_TYPE_RAWCONTENT
-    plain = io.BufferedReader(zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(data, dict_type=kind)).stream_reader(source, read_across_frames=True), 1 << 18)
+    plain = io.BufferedReader(zstd.ZstdDecompressor(dict_data=_loaded(source.read(size))).stream_reader(source, read_across_frames=True), 1 << 18)
     while line := plain.readline():
         if line.strip() != b"WARC/1.1":
             raise ValueError(f"no record begins here: {line[:40]!r}")
@@ -107,18 +95,36 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, html, digest, size, refers_to): of equal payloads of at least so many bytes, the one with the smallest id is no revisit."""
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     base = base.select("*", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("size"))
-    firsts = base.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return base.join(firsts, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).drop("first")
+    firsts = base.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    found = joined_by_group(base, written(firsts, "firsts"), "digest", "n", "left").drop("n")
+    return found.withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).drop("first")
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    samples = [record(r["page_id"], r["url"], (r["html"] or "").encode(), r["digest"], r["size"], None)[:SAMPLE_BYTES] for batch in batches for r in batch.to_pylist()]
+    yield pa.RecordBatch.from_pydict({"dictionary": [dictionary(samples).as_bytes()]})
+
+
+def trained(rows: DataFrame, n: int) -> bytes:
+    """A dictionary of response records among the n rows of decided(), drawn by a hash of id and url from all of them: about SAMPLE rows, the first SAMPLE_BYTES of each.
+
+    Equal records count once. One task trains it, on SAMPLE * SAMPLE_BYTES bytes and a little more.
+    """
+    draw = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40))
+    some = rows.where(draw <= min(1 << 40, SAMPLE * (1 << 40) // max(n, 1))).where("refers_to is null").withColumn("html", F.left("html", F.lit(SAMPLE_BYTES)))
+    some = written(some.dropDuplicates(["page_id", "digest"]).coalesce(1).mapInArrow(_trained, "dictionary binary"), "dictionary")
+    return bytes((some.first() or [b"\0" * 8])[0])
 
 
-def _write(folder: str):
+def _write(folder: str, made: bytes):
+    @tidy
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, name = pafs.FileSystem.from_uri(folder)
         system.create_dir(name, recursive=True)
         writer, file, n = None, f"{uuid.uuid4().hex}.warc.zst", 0  # an attempt that is run again has a file of its own
         for batch in batches:
             for block in blocks(batch, "html"):
-                writer = writer or Writer(system.open_output_stream(f"{name}/{file}", compression=None))
+                writer = writer or Writer(system.open_output_stream(f"{name}/{file}", compression=None), made)
                 for r in block.to_pylist():
                     payload = r["html"].encode() if r["refers_to"] is None else None
                     writer.add(record(r["page_id"], r["url"], payload, r["digest"], r["size"], r["refers_to"]))
@@ -130,6 +136,7 @@ def _write(folder: str):
     return kernel
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     for batch in batches:
@@ -156,11 +163,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     A file: a skippable frame with the dictionary, then a frame a record. Null html is an empty payload, a null url an
     empty target; a null id has an empty record name. Of rows that repeat an id and a payload, all with the smallest id
     are responses. Control characters and blanks are taken out of urls. A file is named by its attempt and only the
-    manifest says which count, so tasks may be run again. Only the first TRAINING_BYTES of a file are held in memory.
-    Other columns are not read. No pages: no files.
+    manifest says which count, so tasks may be run again. The dictionary, the same in every file, is trained on a
+    bounded sample of all response records. Other columns are not read. No pages: no files.
     """
     small_batches(pages.sparkSession)
-    return written(decided(pages, id_col, url_col, html_col, least).mapInArrow(_write(folder), "path string, n_records long"), "manifest")
+    rows = decided(pages, id_col, url_col, html_col, least)
+    return written(rows.mapInArrow(_write(folder, trained(rows, pages.count())), "path string, n_records long"), "manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from seqweave.llm import exact_dedup, near_dedup
+from seqweave.llm import _common, exact_dedup, near_dedup
 from seqweave.llm._words import Words, shingles
 
 SCHEMA = "doc_id long, text string, kept string, bands int"
@@ -173,12 +173,15 @@ def exact_brute(texts):
 
 
 @pytest.mark.parametrize("bits", [64, 3, 1])
-def test_exact_duplicates_match_brute_force(spark, bits):
+def test_exact_duplicates_match_brute_force(spark, monkeypatch, bits):
     r = random.Random(4)
     longer = ["".join(r.choice("abcd ef\n") for _ in range(r.randint(0, 3000))) for _ in range(15)]
     texts = [(i, r.choice(longer)) for i in range(40)] + [(50, ""), (51, None), (52, "a"), (53, "a "), (53, "a "), (None, "a"), (54, longer[0] + "x"), (55, "x" + longer[0]), (56, "é" * 9000), (57, "é" * 9000), (None, "only")]
-    got = exact_dedup.exact_duplicates(frame(spark, texts), hash_bits=bits, least=16, most=64)
-    assert sorted(map(tuple, got.collect()), key=repr) == exact_brute(texts)
+    for broadcast in (200_000, 0):
+        monkeypatch.setattr(_common, "BROADCAST", broadcast)
+        monkeypatch.setattr(_common, "LARGE_GROUP", 3)
+        got = exact_dedup.exact_duplicates(frame(spark, texts), hash_bits=bits, least=16, most=64)
+        assert sorted(map(tuple, got.collect()), key=repr) == exact_brute(texts)
 
 
 def test_chunks_join_to_the_text_and_edits_stay_local(spark):
