@@ -1,6 +1,7 @@
-"""Commands: index a bank, link or count query reads, and make vectors and reads of the results.
+"""Commands: index a bank, link or count query reads, make vectors and reads of the results, and convert results.
 
-python -m seqweave.cli link-index BANK INDEX | count-index BANK INDEX | link INDEX ALBUM OUT | count INDEX ALBUM OUT | extract LINKS ALBUM OUT
+python -m seqweave.cli link-index BANK INDEX | count-index BANK INDEX | link INDEX ALBUM OUT | count INDEX ALBUM OUT | extract LINKS BANK OUT
+| vector RESULT TYPE OUT | extract-vector BANK VECTOR OUT | convert KIND RESULT BANK OUT
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import counter, index, linker, readsets
-from .plans import formats
+from .operators import counter, index, linker, readsets, runs
+from .plans import convert, formats
 from .sources import reads, results
 
 
+#: What a result file is turned into.
+CONVERSIONS = ("reads", "pairs", "headers", "mosaic", "dot", "xgmml", "counted-reads", "covered-reads", "uniform")
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="seqweave", description=__doc__)
     commands = out.add_subparsers(dest="command", required=True)
@@ -39,6 +44,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("bank")
     p.add_argument("out")
     p.add_argument("-s", "--threshold", type=float, default=75)
+    p = commands.add_parser("vector")
+    p.add_argument("result")
+    p.add_argument("type", choices=["l", "c"], help="a result of link or of count")
+    p.add_argument("out")
+    p.add_argument("-s", "--threshold", type=float, default=75)
+    p = commands.add_parser("extract-vector")
+    p.add_argument("bank")
+    p.add_argument("vector")
+    p.add_argument("out")
+    p = commands.add_parser("convert")
+    p.add_argument("kind", choices=list(CONVERSIONS))
+    p.add_argument("result", help="of reads that were compared with themselves, for kinds that show pairs")
+    p.add_argument("bank")
+    p.add_argument("out")
+    p.add_argument("-s", "--threshold", type=float, default=0)
+    p.add_argument("--most", type=float, help="greatest mean, for counted-reads")
     for name, p in commands.choices.items():
         p.add_argument("-l", "--keep-low-complexity", action="store_true")
         for flag in ("-f", "-G", "-t"):  # tuning of another kind of index; nothing to tune here
@@ -58,14 +79,26 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         found = results.parse_links(spark.read.text(a.links)).withColumn("read_set", F.lit(a.bank))
         formats.write_reads(readsets.extract_reads(bank, readsets.selected_by_links(found, a.threshold)), a.out)
         return
+    if a.command == "vector":
+        lines = spark.read.text(a.result)
+        found = (results.parse_links(lines) if a.type == "l" else results.parse_counts(lines)).withColumn("read_set", F.lit(""))
+        chosen = readsets.selected_by_links(found, a.threshold) if a.type == "l" else readsets.selected_by_counts(found, a.threshold)
+        size = readsets.vector_size(found).first()
+        readsets.write_vector(chosen, a.out, size["size"] if size else 0, f"Boolean vector of {a.result} with threshold {a.threshold:g}")
+        return
+    if a.command == "extract-vector":
+        formats.write_reads(readsets.extract_reads(reads.read_bank(spark, a.bank), readsets.read_vector(spark, a.vector, a.bank).ids), a.out)
+        return
+    if a.command == "convert":
+        convert_result(spark, a)
+        return
     stored, queries = index.load_index(spark, a.index), reads.read_album(spark, a.album)
     if a.command == "count":
         found = counter.counts(queries, stored, a.threshold, a.window, a.keep_low_complexity)
-        header = F.concat(F.lit("#query_read_id (from bank "), F.col("read_set"), F.lit(f") mean median min max percentage_shared_positions -- number of shared {stored.k}mers with banq {a.index}"))
-        formats.write_lines(formats.count_lines(found), a.out, None, header)
+        formats.write_lines(formats.count_lines(found), a.out, None, formats.count_header(F.col("read_set"), stored.k, a.index))
         return
     options = {"window": a.window, "keep_low_complexity": a.keep_low_complexity, "zero_window": a.zero_window, "zero_threshold": a.zero_threshold}
-    header = F.concat(F.lit("#Query read set number "), F.col("read_set"))
+    header = formats.set_header(F.col("read_set"))
     if a.threshold <= 0:
         lines = formats.any_link_lines(linker.any_links(queries, stored, a.keep_low_complexity))
     elif a.ids_only:
@@ -75,5 +108,28 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     formats.write_lines(lines, a.out, formats.link_header(stored.k, a.index, a.ids_only and a.threshold > 0), header)
 
 
+def convert_result(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Writes what a result file of the bank's reads is turned into."""
+    lines, bank = spark.read.text(a.result), reads.read_bank(spark, a.bank)
+    counted = a.kind in ("counted-reads", "covered-reads")
+    found = (results.parse_counts(lines) if counted else results.parse_links(lines)).withColumn("read_set", F.lit(a.bank))
+    if a.kind == "reads":
+        formats.write_reads(convert.linked_reads(found, bank), a.out)
+    elif a.kind in ("pairs", "headers"):
+        formats.write_lines((convert.read_pairs if a.kind == "pairs" else convert.header_pairs)(found, bank, bank), a.out)
+    elif a.kind == "mosaic":
+        convert.write_mosaic(convert.mosaic(found, bank, bank, a.threshold), a.out)
+    elif a.kind == "dot":
+        formats.write_dot(bank, found, a.out)
+    elif a.kind == "xgmml":
+        formats.write_xgmml(bank, found, a.out)
+    elif a.kind == "uniform":
+        runs.uniform(found.withColumn("line_no", F.col("place"))).select(F.concat_ws(":", F.col("query_id").cast("string"), "targets").alias("line")).write.mode("overwrite").text(a.out)
+    elif a.kind == "counted-reads":
+        formats.write_reads(convert.counted_reads(found, bank, a.threshold, a.most), a.out)
+    else:
+        convert.write_well_covered(found, bank, a.threshold, a.out)
+
+
 if __name__ == "__main__":
     main()

@@ -3,23 +3,49 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kmers import small_batches
+from .kmers import BLOCK, sequence_bytes, small_batches
 
 
-@F.pandas_udf(T.LongType())
-def _score(seqs: pd.Series) -> pd.Series:
-    out = np.zeros(len(seqs), np.int64)
-    for i, s in enumerate(seqs):
-        code = (np.frombuffer((s or "").encode(), np.uint8) >> 1) & 3  # every character counts, N as G
-        if len(code) > 2:
-            m = np.bincount(code[:-2] * 16 + code[1:-1] * 4 + code[2:], minlength=64).astype(np.int64)
-            out[i] = (m * (m - 1) // 2).sum()
-    return pd.Series(out)
+def _scores(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The score and the length of each sequence, block by block."""
+    data, offsets = sequence_bytes(seqs)
+    n = np.diff(offsets)
+    out, at = np.zeros(len(n), np.int64), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+        code = ((data[offsets[at] : offsets[to]] >> 1) & 3).astype(np.int64)  # every character counts, N as G
+        count = np.maximum(n[at:to] - 2, 0)
+        if count.sum():
+            start = offsets[at:to] - offsets[at]
+            place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            tri = code[place] * 16 + code[place + 1] * 4 + code[place + 2]
+            m = np.bincount(np.repeat(np.arange(to - at), count) * 64 + tri, minlength=64 * (to - at)).reshape(-1, 64)
+            out[at:to] = (m * (m - 1) // 2).sum(1)
+        at = to
+    return out, n
+
+
+def bound_of(n: np.ndarray) -> np.ndarray:
+    return np.where(n < 6, 0, np.maximum(n - 2, 0) // 4 * (n - 6) // 4 // 2)
+
+
+@F.arrow_udf(T.LongType())
+def _score(seqs: pa.Array) -> pa.Array:
+    return pa.array(_scores(seqs)[0])
+
+
+def _complex(k: int):
+    @F.arrow_udf(T.BooleanType())
+    def verdict(seqs: pa.Array) -> pa.Array:
+        score, n = _scores(seqs)
+        return pa.array((n >= k) & (score < bound_of(n)))
+
+    return verdict
 
 
 def dust_bound(n: Column) -> Column:
@@ -34,6 +60,6 @@ def dust_scores(reads: DataFrame) -> DataFrame:
 
 
 def complex_reads(reads: DataFrame, k: int = 31) -> DataFrame:
-    """The reads of at least k bases whose score is below the bound."""
+    """The reads of at least k bases whose score is below the bound. The verdict comes from one function, so that a seq that is made by an expression is made once."""
     small_batches(reads.sparkSession)
-    return reads.where(F.length("seq") >= k).where(_score("seq") < dust_bound(F.length("seq")))
+    return reads.where(_complex(k)("seq"))

@@ -23,16 +23,19 @@ def counts(queries: DataFrame, index: Index, threshold: float = 75, window: int
     # an invalid k-mer gets a number of its own that no index has, since null keys would meet in one task
     key = F.coalesce(F.col("kmer"), -1 - F.pmod(F.xxhash64("read_set", "read_id", "pos"), F.lit(1 << 40)))
     found = kmers(kept, k).withColumn("kmer", key).join(index.table, "kmer", "left").withColumn("v", F.coalesce("abundance", F.lit(0)))
-    grouped = found.groupBy("read_set", F.col("read_id").alias("query_id")).agg(
-        F.first("n").alias("n"),
-        F.avg("v").cast("float").alias("mean"),
-        F.sort_array(F.collect_list("v")).alias("values"),
-        F.collect_list(F.when(F.col("v") > 0, F.col("pos"))).alias("positions"),
-    )
+    # a read has at most 256 values: their counts, not the places' values, are gathered; of the places only those that are covered
+    read = ["read_set", "read_id", "n"]
+    valued = found.groupBy(*read, "v").agg(F.count("*").alias("c"), F.collect_list(F.when(F.col("v") > 0, F.col("pos"))).alias("at"))
+    grouped = valued.groupBy(*read).agg(
+        F.sum("c").alias("places"), F.sum(F.col("v") * F.col("c")).alias("total"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.sort_array(F.collect_list(F.struct("v", "c"))).alias("values"), F.flatten(F.collect_list("at")).alias("positions"),
+    ).withColumnRenamed("read_id", "query_id")
+    half = F.floor(F.col("places") / 2)
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("value"))
+    upper = F.aggregate("values", start, lambda acc, x: F.struct((acc["seen"] + x["c"]).alias("seen"), F.when(acc["value"].isNull() & (acc["seen"] + x["c"] > half), x["v"]).otherwise(acc["value"]).alias("value")))
     span = full_span(F.col("positions"), k) if window <= 0 else window_span(k, window)("positions", "n")
     out = grouped.select(
-        "read_set", "query_id", "mean",
-        F.get("values", F.floor(F.size("values") / 2).cast("int")).alias("median"), F.get("values", F.lit(0)).alias("min"), F.element_at("values", -1).alias("max"),
+        "read_set", "query_id", (F.col("total") / F.col("places")).cast("float").alias("mean"), upper["value"].alias("median"), "min", "max",
         percentage(span, effective_window(F.col("n"), window)).alias("pct"),
     ).where(F.col("pct") >= F.lit(float(threshold)).cast("float"))
     if not keep_low_complexity:

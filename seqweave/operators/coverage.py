@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def full_span(positions: Column, k: int) -> Column:
@@ -15,39 +16,63 @@ def full_span(positions: Column, k: int) -> Column:
     return F.when(F.size(at) == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(k), lambda acc, g: acc + g)).cast("long")
 
 
-def covered(positions: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Running sums of covered bases, from 0 to n."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, positions, 1)
-    np.add.at(change, np.minimum(positions + k, n), -1)
-    return np.concatenate([[0], np.cumsum(np.cumsum(change)[:n] > 0)])
+class Cover:
+    """The bases that k-mers at distinct places cover, as intervals: costs grow with the places, not with the read."""
+
+    def __init__(self, positions: np.ndarray, n: int, k: int):
+        at = np.sort(np.asarray(positions, np.int64))
+        first = np.concatenate([[True], at[1:] > at[:-1] + k]) if len(at) else np.zeros(0, bool)
+        self.start = at[first]
+        self.end = np.minimum(at[np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)] + k, n) if len(at) else at
+        self.before = np.concatenate([[0], np.cumsum(self.end - self.start)])
+
+    def upto(self, x: np.ndarray) -> np.ndarray:
+        """Covered bases before x."""
+        i = np.searchsorted(self.start, x, "right")
+        inside = np.where(i > 0, np.minimum(x, self.end[i - 1]) - self.start[i - 1], 0) if len(self.start) else 0
+        return np.where(i > 0, self.before[np.maximum(i - 1, 0)] + inside, 0)
+
+    def windows(self, w: int, starts: np.ndarray, n: int) -> np.ndarray:
+        """Covered bases in the windows of w bases at the starts, as far as they lie in the read."""
+        s = np.clip(starts, 0, n - w)
+        return self.upto(s + w) - self.upto(s)
 
 
 def window_span(k: int, window: int):
-    """A function of (positions, n): the most covered bases in any window of so many bases, or of the read if it is shorter."""
+    """A function of (positions, n): the most covered bases in any window of so many bases, or of the read if it is shorter.
+
+    The best window begins where an interval begins or ends where one ends.
+    """
 
-    @F.pandas_udf("long")
-    def span(positions: pd.Series, n: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.LongType())
+    def span(positions: pa.Array, n: pa.Array) -> pa.Array:
         out = np.zeros(len(n), np.int64)
-        for i, (p, size) in enumerate(zip(positions, n, strict=True)):
-            sums = covered(np.asarray(p, np.int64), int(size), k)
-            w = int(size) if window <= 0 or window > size else window
-            out[i] = (sums[w:] - sums[: len(sums) - w]).max() if size else 0
-        return pd.Series(out)
+        for i, (p, size) in enumerate(_lists(positions, n)):
+            if size and len(p):
+                cover, w = Cover(p, size, k), size if window <= 0 or window > size else window
+                out[i] = cover.windows(w, np.concatenate([cover.start, cover.end - w]), size).max()
+        return pa.array(out)
 
     return span
 
 
 def sparse_window(k: int, window: int, threshold: int):
-    """A function of (positions, n): whether some window of so many bases has more uncovered bases than threshold percent of it (rounded down). A shorter read is one window."""
+    """A function of (positions, n): whether some window of so many bases has more uncovered bases than threshold percent of it (rounded down). A shorter read is one window.
 
-    @F.pandas_udf("boolean")
-    def sparse(positions: pd.Series, n: pd.Series) -> pd.Series:
+    The emptiest window begins where an interval ends, ends where one begins, or lies at an end of the read.
+    """
+
+    @F.arrow_udf(T.BooleanType())
+    def sparse(positions: pa.Array, n: pa.Array) -> pa.Array:
         out = np.zeros(len(n), bool)
-        for i, (p, size) in enumerate(zip(positions, n, strict=True)):
-            sums = covered(np.asarray(p, np.int64), int(size), k)
-            w = min(window, int(size))
-            out[i] = w - (sums[w:] - sums[: len(sums) - w]).min() > window * threshold // 100
-        return pd.Series(out)
+        for i, (p, size) in enumerate(_lists(positions, n)):
+            cover, w = Cover(p, size, k), min(window, size)
+            out[i] = w - cover.windows(w, np.concatenate([[0, size - w], cover.end, cover.start - w]), size).min() > window * threshold // 100
+        return pa.array(out)
 
     return sparse
+
+
+def _lists(positions: pa.Array, n: pa.Array):
+    at, flat = positions.offsets.to_numpy().tolist(), positions.values.to_numpy()
+    return ((flat[a:b], size) for a, b, size in zip(at[:-1], at[1:], n.to_pylist(), strict=True))

@@ -7,25 +7,51 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import aligned_ratio
 
+#: Line numbers of a part of a file; parts are looked at side by side.
+LINES = 1 << 20
+
+
+def _parts(lines: DataFrame, order: str) -> DataFrame:
+    return lines.withColumn("__part", F.floor(F.col(order) / LINES))
+
+
+def _carried(rows: DataFrame, value, name: str) -> DataFrame:
+    """(__part, name): the last value (an aggregate, null for none) of the parts before; one row a part."""
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy("__part").agg(value.alias(name)).select("__part", F.last(name, ignorenulls=True).over(before).alias(name))
+
+
+def with_previous(lines: DataFrame, columns: list[str], order: str = "line_no") -> DataFrame:
+    """lines with __was, the columns of the line before in the order of the whole file (null for the first).
+
+    Line numbers may have gaps, as where comments have been dropped. Each part of a file is sorted by itself; what the
+    first line of a part follows comes from one row a part.
+    """
+    rows = _parts(lines, order)
+    now = F.struct(*columns)
+    before = F.broadcast(_carried(rows, F.max_by(now, order), "__carried"))
+    return rows.withColumn("__was", F.lag(now).over(Window.partitionBy("__part").orderBy(order))).join(before, "__part").withColumn("__was", F.coalesce("__was", "__carried")).drop("__part", "__carried")
+
 
 def run_max(blast: DataFrame, threshold: float, query: str = "qseqid", target: str = "sseqid", order: str = "line_no") -> DataFrame:
-    """(run, qseqid, sseqid, ratio): the greatest aligned ratio of each run of equal (query, target), from threshold on.
+    """(run, qseqid, sseqid, ratio): the greatest aligned ratio of each run of lines with equal (query, target), from threshold on.
 
-    order holds the lines' numbers without gaps, so that a row of another query between two rows ends a run too. Runs
-    are numbered in each query.
+    A run is named by the number of its first line. A line of another pair ends it, whatever its query.
     """
-    w = Window.partitionBy(query).orderBy(order)
-    new = (F.col(target) != F.lag(target).over(w)) | (F.col(order) != F.lag(order).over(w) + 1) | F.lag(order).over(w).isNull()
-    rows = blast
-    runs = rows.withColumn("run", F.sum(new.cast("int")).over(w)).withColumn("ratio", aligned_ratio(F.col("pident"), F.col("length"), F.col("qlen")))
-    return runs.groupBy("run", F.col(query).alias("qseqid"), F.col(target).alias("sseqid")).agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= threshold)
+    pair = F.struct(F.col(query), F.col(target))
+    rows = with_previous(blast, [query, target], order).withColumn("__first", F.when(F.col("__was").isNull() | (F.col("__was") != pair), F.col(order)))
+    rows = _parts(rows, order)
+    before = F.broadcast(_carried(rows, F.max("__first"), "__carried"))
+    own = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    runs = rows.withColumn("run", F.max("__first").over(own)).join(before, "__part").withColumn("run", F.coalesce("run", "__carried"))
+    ratio = aligned_ratio(F.col("pident"), F.col("length"), F.col("qlen"))
+    return runs.groupBy("run", F.col(query).alias("qseqid"), F.col(target).alias("sseqid")).agg(F.max(ratio).alias("ratio")).where(F.col("ratio") >= threshold)
 
 
 def first_of_runs(found: DataFrame, order: str = "line_no") -> DataFrame:
-    """Without links to itself, the first of neighbouring links with the same query and target (by order in each query)."""
-    w = Window.partitionBy("query_id").orderBy(order)
-    kept = found.where("query_id <> target_id").withColumn("__last", F.lag("target_id").over(w))
-    return kept.where("__last is null or __last <> target_id").drop("__last")
+    """Without links to itself, the first of neighbouring links with the same query and target, in the order of the whole file."""
+    rows = with_previous(found.where("query_id <> target_id"), ["query_id", "target_id"], order)
+    return rows.where(F.col("__was").isNull() | (F.col("__was") != F.struct("query_id", "target_id"))).drop("__was")
 
 
 def uniform(found: DataFrame, order: str = "line_no") -> DataFrame:

@@ -9,7 +9,11 @@ from ..functions.sequences import basename, header_token
 from ..operators.counter import mean_between, pct_at_least
 from ..operators.linker import without_self
 from ..operators.readsets import extract_reads, selected_by_links
-from .formats import plain_number, six, write_lines, fasta_lines
+from .formats import fasta_lines, plain_number, six
+
+
+#: The line before a couple of reads (fixed format).
+COUPLE = "################################ NEW COUPLE (%d/%d:%s percent similarity)+##############################"
 
 
 def linked_reads(found: DataFrame, reads: DataFrame) -> DataFrame:
@@ -31,8 +35,7 @@ def pairs_with_reads(found: DataFrame, queries: DataFrame, targets: DataFrame) -
 def read_pairs(found: DataFrame, queries: DataFrame, targets: DataFrame, drop_self: bool = True) -> DataFrame:
     """(read_set, query_id, target_id, line): a separator that names the couple, and the two reads."""
     pairs = pairs_with_reads(without_self(found) if drop_self else found, queries, targets)
-    bar = "#" * 32
-    head = F.concat(F.lit(f"{bar} NEW COUPLE ("), F.col("query_id").cast("string"), F.lit("/"), F.col("target_id").cast("string"), F.lit(":"), plain_number(F.col("pct")), F.lit(f" percent similarity)+{bar[:30]}"))
+    head = F.format_string(COUPLE, F.col("query_id"), F.col("target_id"), plain_number(F.col("pct")))
     return pairs.select("read_set", "query_id", "target_id", F.concat_ws("\n", head, _record(F.col("q_header"), F.col("q_seq")), _record(F.col("t_header"), F.col("t_seq"))).alias("line"))
 
 
@@ -68,10 +71,11 @@ def well_covered_reads(found: DataFrame, reads: DataFrame, threshold: float) ->
 
 
 def write_well_covered(found: DataFrame, reads: DataFrame, threshold: float, path: str) -> None:
-    """A folder of text files for each read set: path_<file>."""
+    """Text files in a folder for each read set, path/file=<last part of its name>, in the order of read ids."""
     kept = well_covered_reads(found, reads, threshold)
-    for name in [r["file"] for r in kept.select("file").distinct().toLocalIterator()]:  # one a read set
-        write_lines(fasta_lines(kept.where(F.col("file") == name)), f"{path}_{name}")
+    lines = fasta_lines(kept).join(kept.select("read_set", "file").distinct(), "read_set")
+    ordered = lines.repartitionByRange("file", "query_id").sortWithinPartitions("file", "query_id")
+    ordered.select("file", "line").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def vector_reads(found: DataFrame, reads: DataFrame, threshold: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import reverse_complement
+from ..functions.sequences import prefix, reverse_complement, suffix
 
 
 def six(c: Column) -> Column:
@@ -37,17 +37,20 @@ def count_lines(found: DataFrame) -> DataFrame:
     return found.select("read_set", "query_id", F.when(F.col("mean").isNull(), F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("none"))).otherwise(full).alias("line"))
 
 
+# Fixed formats: the three headers below, and the lines of the DOT and XGMML graphs further down.
+
+
 def link_header(k: int, bank: str, ids_only: bool = False) -> str:
     first = "#query_read_id " if ids_only else f"#query_read_id [target_read_id-kmer_span (k={k})-kmer_span query_percentage]* or U (unvalid read, containing not only ACGT characters or low complexity read)"
     return f"{first}\n#Target read set: {bank}"
 
 
-def set_header(read_set: str) -> str:
-    return f"#Query read set number {read_set}"
+def set_header(read_set: Column) -> Column:
+    return F.concat(F.lit("#Query read set number "), read_set)
 
 
-def count_header(read_set: str, k: int, bank: str) -> str:
-    return f"#query_read_id (from bank {read_set}) mean median min max percentage_shared_positions -- number of shared {k}mers with banq {bank}"
+def count_header(read_set: Column, k: int, bank: str) -> Column:
+    return F.concat(F.lit("#query_read_id (from bank "), read_set, F.lit(f") mean median min max percentage_shared_positions -- number of shared {k}mers with banq {bank}"))
 
 
 def write_lines(lines: DataFrame, path: str, header: str | None = None, set_headers: Column | None = None) -> None:
@@ -80,8 +83,8 @@ def write_reads(reads: DataFrame, path: str) -> None:
 
 def ends(reads: DataFrame, size: int) -> DataFrame:
     """(read_id, header, length, first, last, head, tail): prefixes and true suffixes of so many bases, and of ten."""
-    right = lambda n: F.right("seq", F.lit(n))
-    return reads.select("read_id", "header", F.length("seq").alias("length"), F.substring("seq", 1, size).alias("first"), right(size).alias("last"), F.substring("seq", 1, 10).alias("head"), right(10).alias("tail"))
+    seq = F.col("seq")
+    return reads.select("read_id", "header", F.length(seq).alias("length"), prefix(seq, size).alias("first"), suffix(seq, size).alias("last"), prefix(seq, 10).alias("head"), suffix(seq, 10).alias("tail"))
 
 
 def with_ends(found: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,24 +1,30 @@
 """The registered queries of the read-set operators over the driver's tables, each with its DuckDB SQL.
 
 Texts become reads by sources.reads.text_reads. The bank is `benchmark`, the queries are `documents` unless a name says otherwise.
+Comparisons of a bank with itself take the bank's reads and their overlapping tiles, which link among themselves.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequences as sq
 from .operators import complexity, counter, index, kmers, linker, readsets, runs
 from .plans import convert, formats
+from .session import file_system, shared_base
 from .sources import results
-from .sources.reads import text_reads
+from .sources.reads import count_reads, read_album, read_sets, text_reads
 
 K = 31
 #: A window that a benchmark passage fills, and the share of it that makes a link.
 WINDOW, SHARE = 100, 75.0
+#: Tiles of the bank, and the length of the k-mers by which conversations are compared.
+TILE, STRIDE, SHORT = 100, 40, 13
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,6 +52,15 @@ def bank(spark: SparkSession, d: str) -> DataFrame:
     return text_reads(spark.read.parquet(f"{d}/benchmark.parquet"), F.col("item_id"), F.col("text"))
 
 
+def tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The bank's reads, and tiles of TILE bases of each, one every STRIDE bases; the last may be shorter."""
+    whole = bank(spark, d)
+    cut = whole.select("read_set", "read_id", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / STRIDE)), lambda i: F.substring("seq", i * STRIDE + 1, F.lit(TILE)))).alias("k", "seq"))
+    number = F.col("read_id") * 1_000_000 + F.col("k") + 1
+    cut = cut.select("read_set", number.alias("read_id"), F.concat(F.lit("read_"), number.cast("string")).alias("header"), "seq", F.lit(None).cast("string").alias("qual"))
+    return whole.withColumn("read_id", F.col("read_id") * 1_000_000).withColumn("header", F.concat(F.lit("read_"), F.col("read_id").cast("string"))).unionByName(cut)
+
+
 def bank_index(spark: SparkSession, d: str, kind: Callable = index.linker_index, keep: bool = True) -> index.Index:
     return kind(bank(spark, d), K, 1, keep)
 
@@ -76,12 +91,15 @@ TRI = "(SELECT id, sum(m * (m - 1) // 2) AS score FROM (SELECT id, tri, count(*)
 BOUND = "CASE WHEN len(seq) < 6 THEN 0 ELSE ((len(seq) - 2) // 4 * (len(seq) - 6)) // 4 // 2 END"
 
 
+T_ = f"{B}, t AS (SELECT read_set, id * 1000000 AS id, seq FROM b UNION ALL SELECT read_set, id * 1000000 + i + 1, substr(seq, CAST(i * {STRIDE} + 1 AS INT), {TILE}) FROM (SELECT read_set, id, seq, unnest(range(0, greatest(len(seq) - 1, 0) // {STRIDE} + 1)) AS i FROM b))"
+
+
 def _complex(name: str) -> str:
     return f"SELECT {name}.* FROM {name} LEFT JOIN {TRI.format(name)} AS t USING (id) WHERE len(seq) >= {K} AND coalesce(score, 0) < {BOUND}"
 
 
-def _hits(query: str, bank_: str) -> str:
-    return f"dk AS ({_kmers(query)}), bk AS (SELECT DISTINCT id, c FROM ({_kmers(bank_)})), hits AS (SELECT DISTINCT read_set, dk.id AS q, bk.id AS t, pos, n FROM dk JOIN bk USING (c))"
+def _hits(query: str, bank_: str, k: int = K) -> str:
+    return f"dk AS ({_kmers(query, k)}), bk AS (SELECT DISTINCT id, c FROM ({_kmers(bank_, k)})), hits AS (SELECT DISTINCT read_set, dk.id AS q, bk.id AS t, pos, n FROM dk JOIN bk USING (c))"
 
 
 FULL = f"spans AS (SELECT read_set, q, t, n, CAST(sum(least({K}, coalesce(nxt - pos, {K}))) AS BIGINT) AS span FROM (SELECT *, lead(pos) OVER (PARTITION BY read_set, q, t ORDER BY pos) AS nxt FROM hits) GROUP BY ALL)"
@@ -94,7 +112,7 @@ def _window(w: int) -> str:
 PCT_FULL = "pcts AS (SELECT read_set, q AS query_id, t AS target_id, span, CAST(100.0::DOUBLE * span / n AS FLOAT) AS pct FROM spans)"
 PCT_WINDOW = f"pcts AS (SELECT read_set, q AS query_id, t AS target_id, span, CAST(100.0::DOUBLE * span / least(n, {WINDOW}) AS FLOAT) AS pct FROM spans)"
 LINKS = f"WITH {D}, {B}, {_hits('d', 'b')}, {_window(WINDOW)}, {PCT_WINDOW}, links AS (SELECT * FROM pcts WHERE pct >= {SHARE})"
-SELF = f"WITH {B}, {_hits('b', 'b')}, {FULL}, {PCT_FULL}, links AS (SELECT * FROM pcts WHERE pct > 0)"
+SELF = f"WITH {T_}, {_hits('t', 't')}, {FULL}, {PCT_FULL}, links AS (SELECT * FROM pcts WHERE pct > 0)"
 OUT = "query_id, target_id, span, CAST(pct AS DOUBLE) AS pct"
 
 # --- k-mers -------------------------------------------------------------------------------------------------------------
@@ -104,7 +122,7 @@ _register("kmer_extract_builtin", f"WITH {B} SELECT id AS read_id, pos, {CODE} A
 
 
 def _canonical(s: SparkSession, d: str) -> DataFrame:
-    least = F.least(F.col("kmer"), sq.reverse_complement(F.col("kmer")))
+    least = sq.canonical(F.col("kmer"))
     cut = bank(s, d).where(F.length("seq") >= K).select("read_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("seq") - K), lambda i: F.substring("seq", i + 1, F.lit(K)))).alias("pos", "kmer"))
     return cut.select("read_id", "pos", least.alias("canonical"))
 
@@ -127,8 +145,9 @@ def _links(s: SparkSession, d: str, **options) -> DataFrame:
     return linker.links(documents(s, d), bank_index(s, d), **({"threshold": SHARE, "window": WINDOW, "keep_low_complexity": True} | options))
 
 
-def _self(s: SparkSession, d: str) -> DataFrame:
-    return linker.links(bank(s, d), bank_index(s, d), 1e-6, keep_low_complexity=True)
+def _self(s: SparkSession, d: str, **options) -> DataFrame:
+    reads = tiles(s, d)
+    return linker.links(reads, index.linker_index(reads, K, 1, True), 1e-6, keep_low_complexity=True, **options)
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -159,14 +178,14 @@ _register(
 _Z, _ZT = 60, 50
 _register(
     "link_zero_density",
-    f"""WITH {D}, {B}, {_hits('b', 'd')}, {FULL}, {PCT_FULL},
+    f"""WITH {T_}, {_hits('t', 't')}, {FULL}, {PCT_FULL},
 cov AS (SELECT DISTINCT q, t, unnest(range(pos, pos + {K})) AS p FROM hits),
 starts AS (SELECT DISTINCT q, t, n, greatest(0, least(s, n - least({_Z}, n))) AS s FROM (SELECT q, t, n, unnest([0, n, pos - {_Z}, pos + {K}]) AS s FROM hits)),
 filled AS (SELECT q, t, n, s, count(p) AS c FROM starts JOIN cov USING (q, t) WHERE p >= s AND p < s + {_Z} GROUP BY ALL),
 allc AS (SELECT starts.q, starts.t, starts.n, starts.s, coalesce(c, 0) AS c FROM starts LEFT JOIN filled USING (q, t, n, s)),
 bad AS (SELECT DISTINCT q, t FROM allc WHERE least({_Z}, n) - c > {_Z} * {_ZT} // 100)
 SELECT {OUT} FROM pcts ANTI JOIN bad ON query_id = q AND target_id = t""",
-    lambda s, d: _shown(linker.links(bank(s, d), index.linker_index(documents(s, d), K, 1, True), 1e-6, keep_low_complexity=True, zero_window=_Z, zero_threshold=_ZT)),
+    lambda s, d: _shown(_self(s, d, zero_window=_Z, zero_threshold=_ZT)),
 )
 _register("link_self", f"{SELF} SELECT {OUT} FROM links", lambda s, d: _shown(_self(s, d)))
 _register("link_no_self", f"{SELF} SELECT {OUT} FROM links WHERE query_id <> target_id", lambda s, d: _shown(linker.without_self(_self(s, d))))
@@ -175,11 +194,12 @@ _register("album_linker", f"WITH {DS}, {B}, {_hits('d', 'b')}, {FULL} SELECT rea
 
 
 def _conversations(s: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations that share a short k-mer with a benchmark item."""
     table = s.read.parquet(f"{d}/conversations.parquet")
-    return linker.any_links(text_reads(table, F.col("conv_id") * 10000 + F.col("turn"), F.col("text")), bank_index(s, d), True).select("query_id", "target_id")
+    return linker.any_links(text_reads(table, F.col("conv_id") * 1_000_000_000 + F.col("turn"), F.col("text")), index.linker_index(bank(s, d), SHORT, 1, True), True).select("query_id", "target_id")
 
 
-_register("link_conversations", f"WITH d AS (SELECT '' AS read_set, conv_id * 10000 + turn AS id, {SEQ} AS seq FROM conversations), {B}, {_hits('d', 'b')} SELECT DISTINCT q AS query_id, t AS target_id FROM hits", _conversations)
+_register("link_conversations", f"WITH d AS (SELECT '' AS read_set, conv_id * 1000000000 + turn AS id, {SEQ} AS seq FROM conversations), {B}, {_hits('d', 'b', SHORT)} SELECT DISTINCT q AS query_id, t AS target_id FROM hits", _conversations)
 
 # --- counter ------------------------------------------------------------------------------------------------------------
 
@@ -229,25 +249,26 @@ _register("bv_size", f"{LINKS} SELECT max(query_id) + 1 AS size FROM links", lam
 _register("bv_words", f"{_BV} SELECT id // 32 AS word, CAST(bit_or(CAST(1 AS BIGINT) << (id % 32)) AS BIGINT) AS bits FROM lv GROUP BY id // 32", lambda s, d: readsets.pack_words(_by_links(s, d)).select("word", "bits"))
 _register("extract_reads", f"{_BV} SELECT id AS read_id, seq FROM d WHERE id IN (SELECT id FROM lv)", lambda s, d: readsets.extract_reads(documents(s, d), _by_links(s, d)).select("read_id", "seq"))
 
-# --- runs and canonical forms: lines are documents in the order of their ids ----------------------------------------------
+# --- runs and canonical forms: a made-up file has a line for each document, numbered by its id; every seventh is a comment, so that numbers have gaps
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("line_no"), F.expr("doc_id div 20").alias("query_id"), F.col("lang"), F.expr("n_chars % 3").alias("target_id"), F.col("n_chars").alias("span"))
+    table = s.read.parquet(f"{d}/documents.parquet").where("doc_id % 7 <> 3")
+    return table.select(F.col("doc_id").alias("line_no"), F.expr("doc_id % 2").alias("query_id"), F.col("lang"), F.expr("n_chars % 3").alias("target_id"), F.col("n_chars").alias("span"))
 
 
 def _run_max(s: SparkSession, d: str) -> DataFrame:
-    rows = _lines(s, d).select("line_no", F.col("query_id").cast("string").alias("qseqid"), F.col("lang").alias("sseqid"), (F.col("span") % 101).cast("double").alias("pident"), F.lit(50).alias("length"), F.lit(100).alias("qlen"))
+    rows = _lines(s, d).select("line_no", F.expr("cast(line_no div 5 as string)").alias("qseqid"), F.col("lang").alias("sseqid"), (F.col("span") % 101).cast("double").alias("pident"), F.lit(50).alias("length"), F.lit(100).alias("qlen"))
     return runs.run_max(rows, 30.0)
 
 
-_LINES = "l AS (SELECT doc_id AS line_no, doc_id // 20 AS query_id, lang, n_chars % 3 AS target_id, n_chars AS span FROM documents)"
+_LINES = "l AS (SELECT doc_id AS line_no, doc_id % 2 AS query_id, lang, n_chars % 3 AS target_id, n_chars AS span FROM documents WHERE doc_id % 7 <> 3)"
 _register(
     "run_max_filter",
-    f"WITH {_LINES}, f AS (SELECT *, CASE WHEN lang = lag(lang) OVER w AND line_no = lag(line_no) OVER w + 1 THEN 0 ELSE 1 END AS fresh FROM l WINDOW w AS (PARTITION BY query_id ORDER BY line_no)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY line_no) AS run FROM f) SELECT CAST(run AS BIGINT) AS run, CAST(query_id AS VARCHAR) AS qseqid, lang AS sseqid, max(CAST(span % 101 AS DOUBLE) * 50 / 100) AS ratio FROM r GROUP BY ALL HAVING max(CAST(span % 101 AS DOUBLE) * 50 / 100) >= 30",
+    f"WITH {_LINES}, f AS (SELECT *, CASE WHEN lang = lag(lang) OVER w AND line_no // 5 = lag(line_no // 5) OVER w THEN NULL ELSE line_no END AS first FROM l WINDOW w AS (ORDER BY line_no)), r AS (SELECT *, max(first) OVER (ORDER BY line_no) AS run FROM f) SELECT run, CAST(line_no // 5 AS VARCHAR) AS qseqid, lang AS sseqid, max(CAST(span % 101 AS DOUBLE) * 50 / 100) AS ratio FROM r GROUP BY ALL HAVING max(CAST(span % 101 AS DOUBLE) * 50 / 100) >= 30",
     _run_max,
 )
-_register("consecutive_dedupe", f"WITH {_LINES}, k AS (SELECT * FROM l WHERE query_id <> target_id), p AS (SELECT *, lag(target_id) OVER (PARTITION BY query_id ORDER BY line_no) AS was FROM k) SELECT line_no, query_id, target_id, span FROM p WHERE was IS NULL OR was <> target_id", lambda s, d: runs.first_of_runs(_lines(s, d)).select("line_no", "query_id", "target_id", "span"))
+_register("consecutive_dedupe", f"WITH {_LINES}, k AS (SELECT * FROM l WHERE query_id <> target_id), p AS (SELECT *, lag(query_id) OVER w AS q, lag(target_id) OVER w AS t FROM k WINDOW w AS (ORDER BY line_no)) SELECT line_no, query_id, target_id, span FROM p WHERE q IS NULL OR q <> query_id OR t <> target_id", lambda s, d: runs.first_of_runs(_lines(s, d)).select("line_no", "query_id", "target_id", "span"))
 _register("uniformize", f"WITH {_LINES}, k AS (SELECT query_id, target_id, arg_max(span, line_no) AS span FROM l GROUP BY ALL) SELECT query_id, string_agg(target_id || '-' || span, ' ' ORDER BY target_id) AS targets FROM k GROUP BY query_id", lambda s, d: runs.uniform(_lines(s, d)))
 
 # --- conversions --------------------------------------------------------------------------------------------------------
@@ -256,7 +277,7 @@ _ROUND = "CAST(round(CAST(pct AS DOUBLE), 2) AS VARCHAR)"
 _SIX = "format('{{:.6f}}', CAST({0} AS DOUBLE))"
 _register("to_mosaic", f"{LINKS} SELECT 'read_' || query_id AS qseqid, 'read_' || target_id AS sseqid, 0.0::DOUBLE AS evalue, CAST(pct AS DOUBLE) AS pident FROM links WHERE query_id <> target_id AND pct >= 80", lambda s, d: convert.mosaic(_links(s, d), documents(s, d), bank(s, d), 80))
 _register("to_headers", f"{LINKS} SELECT 'read_' || query_id || ':read_' || target_id || '-' || span || '-' || {_ROUND} || ' ' AS line FROM links WHERE query_id <> target_id", lambda s, d: convert.header_pairs(_links(s, d), documents(s, d), bank(s, d)).select("line"))
-_register("to_reads", f"{LINKS} SELECT query_id, target_id, repeat('#', 32) || ' NEW COUPLE (' || query_id || '/' || target_id || ':' || {_ROUND} || ' percent similarity)+' || repeat('#', 30) || chr(10) || '>read_' || query_id || chr(10) || d.seq || chr(10) || '>read_' || target_id || chr(10) || b.seq AS line FROM links JOIN d ON d.id = query_id JOIN b ON b.id = target_id WHERE query_id <> target_id", lambda s, d: convert.read_pairs(_links(s, d), documents(s, d), bank(s, d)).select("query_id", "target_id", "line"))
+_register("to_reads", f"{LINKS} SELECT query_id, target_id, '################################ NEW COUPLE (' || query_id || '/' || target_id || ':' || {_ROUND} || ' percent similarity)+##############################' || chr(10) || '>read_' || query_id || chr(10) || d.seq || chr(10) || '>read_' || target_id || chr(10) || b.seq AS line FROM links JOIN d ON d.id = query_id JOIN b ON b.id = target_id WHERE query_id <> target_id", lambda s, d: convert.read_pairs(_links(s, d), documents(s, d), bank(s, d)).select("query_id", "target_id", "line"))
 _register("linked_reads", f"{LINKS} SELECT id AS read_id, seq FROM d WHERE id IN (SELECT query_id FROM links)", lambda s, d: convert.linked_reads(_links(s, d), documents(s, d)).select("read_id", "seq"))
 _register("linker_text", f"{LINKS} SELECT query_id, query_id || ':' || string_agg(target_id || '-' || span || '-' || {_SIX.format('pct')} || ' ', '' ORDER BY target_id) AS line FROM links GROUP BY query_id", lambda s, d: formats.link_lines(_links(s, d)).select("query_id", "line"))
 _register("counter_text", f"{_COUNTS} SELECT query_id, query_id || ' ' || {_SIX.format('mean')} || ' ' || median || ' ' || \"min\" || ' ' || \"max\" || ' ' || {_SIX.format('pct')} AS line FROM counts UNION ALL SELECT id, id || ' none' FROM d WHERE len(seq) < {K}", lambda s, d: formats.count_lines(_counts(s, d)).select("query_id", "line"))
@@ -265,11 +286,20 @@ _register("any_text", f"WITH {D}, {B}, {_hits('d', 'b')} SELECT q || ':' || stri
 _register("parse_linker_text", f"{LINKS} SELECT {OUT} FROM links", lambda s, d: _shown(results.parse_links(formats.link_lines(_links(s, d)).select(F.col("line").alias("value"))).withColumn("pct", F.round(F.col("pct").cast("double"), 4).cast("float"))))
 _register("parse_counter_text", f"{_COUNTS} SELECT query_id, median, \"min\", \"max\" FROM counts UNION ALL SELECT id, NULL, NULL, NULL FROM d WHERE len(seq) < {K}", lambda s, d: results.parse_counts(formats.count_lines(_counts(s, d)).select(F.col("line").alias("value"))).select("query_id", "median", "min", "max"))
 _register("counted_reads", f"{_COUNTS} SELECT id AS read_id, 'read_' || id || '_cov_' || {_SIX.format('mean')} || '_' || median || '_' || \"min\" || '_' || \"max\" || '_' || {_SIX.format('pct')} AS header FROM counts JOIN d ON id = query_id WHERE mean >= 0.01", lambda s, d: convert.counted_reads(_counts(s, d), documents(s, d), 0.01).select("read_id", "header"))
-_register("well_covered_reads", f"{_COUNTS.replace(D, DS)} SELECT d.read_set AS file, id AS read_id FROM counts JOIN d ON id = query_id WHERE pct >= 5", lambda s, d: convert.well_covered_reads(counter.counts(documents(s, d, "source"), bank_index(s, d, index.counter_index), 0, keep_low_complexity=True), documents(s, d, "source"), 5).select("file", "read_id"))
+DIRS = f"d AS (SELECT 'sets/of/' || source AS read_set, doc_id AS id, {SEQ} AS seq FROM documents)"
+
+
+def _well_covered(s: SparkSession, d: str) -> DataFrame:
+    reads = documents(s, d, "source").withColumn("read_set", F.concat(F.lit("sets/of/"), "read_set"))
+    found = counter.counts(reads, bank_index(s, d, index.counter_index), 0, keep_low_complexity=True)
+    return convert.well_covered_reads(found, reads, 5).select("file", "read_id")
+
+
+_register("well_covered_reads", f"{_COUNTS.replace(D, DIRS)} SELECT regexp_extract(d.read_set, '[^/]*$') AS file, id AS read_id FROM counts JOIN d ON id = query_id WHERE pct >= 5", _well_covered)
 
 
 def _pairs_with_ends(s: SparkSession, d: str, size: int) -> DataFrame:
-    return formats.with_ends(_self(s, d), formats.ends(bank(s, d), size))
+    return formats.with_ends(_self(s, d), formats.ends(tiles(s, d), size))
 
 
 def _apart(size: int) -> str:
@@ -283,23 +313,86 @@ def _meets(size: int) -> str:
     return f"({first('t')} = {last('q')} OR {last('t')} = {first('q')} OR {RC.format(first('t'))} = {first('q')} OR {RC.format(last('t'))} = {last('q')})"
 
 
-_ENDS = "FROM links JOIN b q ON q.id = query_id JOIN b t ON t.id = target_id"
-_register("to_dot_edges", f"{SELF} SELECT query_id || ' -> ' || target_id || ' [label=\"' || {_ROUND} || '\"];' AS line {_ENDS} WHERE {_apart(90)}", lambda s, d: formats.dot_edges(formats.apart(_pairs_with_ends(s, d, 90))))
+_ENDS = "FROM links JOIN t q ON q.id = query_id JOIN t ON t.id = target_id"
+_register("to_dot_edges", f"{SELF} SELECT query_id || ' -> ' || target_id || ' [label=\"' || {_ROUND} || '\"];' AS line {_ENDS} WHERE {_apart(30)}", lambda s, d: formats.dot_edges(formats.apart(_pairs_with_ends(s, d, 30))))
 _register("to_dot_nodes", f"WITH {B} SELECT id || '[ label=\"read_' || id || '_len_' || len(seq) || '_' || substr(seq, 1, 10) || '...' || right(seq, 10) || '\"];' AS line FROM b", lambda s, d: formats.dot_nodes(formats.ends(bank(s, d), 90)))
 _register("to_xgmml_edges", f"{SELF} SELECT '<edge source=\"' || query_id || '\" target=\"' || target_id || '\" label=\"' || {_ROUND} || '\">' || chr(10) || '<att type=\"boolean\" name=\"prefix_suffix\" value=\"' || CASE WHEN {_meets(60)} THEN 'True' ELSE 'False' END || '\"/>' || chr(10) || '</edge>' AS line {_ENDS} WHERE target_id >= query_id", lambda s, d: formats.xgmml_edges(_pairs_with_ends(s, d, 60).where("target_id >= query_id")))
 _register("to_xgmml_nodes", f"WITH {B} SELECT '<node id=\"' || id || '\" label=\"read_' || id || '\">' || chr(10) || '<att type=\"string\" name=\"start_stop\" value=\"' || substr(seq, 1, 10) || '...' || right(seq, 10) || '\"/>' || chr(10) || '<att type=\"integer\" name=\"length\" value=\"' || len(seq) || '\"/>' || chr(10) || '</node>' AS line FROM b", lambda s, d: formats.xgmml_nodes(formats.ends(bank(s, d), 60)))
 _register("edge_prefix_suffix", f"{SELF} SELECT query_id, target_id, {_meets(5)} AS meets {_ENDS}", lambda s, d: _pairs_with_ends(s, d, 5).select("query_id", "target_id", formats.prefix_suffix().alias("meets")))
 
 
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_base(s)}/seqweave/{name}-{uuid.uuid4().hex}"
+
+
 def _indexed(s: SparkSession, d: str) -> DataFrame:
     """Links through an index that has been stored and loaded again."""
-    import tempfile
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqweave-")
-    path = f"{base.rstrip('/')}/seqweave/index-{uuid.uuid4().hex}"
+    path = _folder(s, "index")
     bank_index(s, d).save(path)
     return _shown(linker.links(documents(s, d), index.load_index(s, path), SHARE, WINDOW, True))
 
 
 _register("link_stored_index", f"{LINKS} SELECT {OUT} FROM links", _indexed)
+
+# --- files written from the tables and read back --------------------------------------------------------------------------
+
+
+def _written_reads(s: SparkSession, d: str, fastq: bool) -> tuple[str, list[str]]:
+    """The bank as a folder of FASTA or FASTQ files, and the paths of these."""
+    path, table = _folder(s, "reads"), bank(s, d)
+    if fastq:
+        formats.write_lines(formats.fasta_lines(table.withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))), path)
+    else:
+        formats.write_reads(table, path)
+    system, name = file_system(path)
+    files = [x.path for x in system.get_file_info(pafs.FileSelector(name)) if x.base_name.startswith("part-") and x.size]
+    return path, [f"{path}/{x.rsplit('/', 1)[1]}" for x in sorted(files)]
+
+
+def _read_back(s: SparkSession, d: str, fastq: bool, piece: int) -> DataFrame:
+    _, files = _written_reads(s, d, fastq)
+    return read_sets(s, [("", x) for x in files], piece).select("header", "seq", "qual")
+
+
+_register("fasta_round_trip", f"WITH {B} SELECT 'read_' || id AS header, seq, CAST(NULL AS VARCHAR) AS qual FROM b", lambda s, d: _read_back(s, d, False, 2000))
+_register("fastq_round_trip", f"WITH {B} SELECT 'read_' || id AS header, seq, repeat('I', len(seq)) AS qual FROM b", lambda s, d: _read_back(s, d, True, 2000))
+
+
+def _album(s: SparkSession, d: str) -> DataFrame:
+    """The numbered reads of an album that lists the files of the bank and, as one line, another album of them."""
+    path, files = _written_reads(s, d, False)
+    system, name = file_system(path)
+    for album, lines in (("inner.txt", files), ("album.txt", ["# read sets", *files, f"{path}/inner.txt"])):
+        with system.open_output_stream(f"{name}/{album}", compression=None) as out:
+            out.write("".join(f"{x}\n" for x in lines).encode())
+    return read_album(s, f"{path}/album.txt").select("header", "seq")
+
+
+_register("album_round_trip", f"WITH {B}, r AS (SELECT 'read_' || id AS header, seq FROM b) SELECT * FROM r UNION ALL SELECT * FROM r", _album)
+
+
+def _vector(s: SparkSession, d: str) -> DataFrame:
+    """The linked reads, written as a vector file and read back, and those that aren't in it."""
+    path = f"{_folder(s, 'vector')}"
+    found = _links(s, d)
+    size = readsets.vector_size(found).first()["size"]
+    system, name = file_system(path)
+    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    readsets.write_vector(readsets.selected_by_links(found, SHARE), path, size, "linked reads")
+    back = readsets.read_vector(s, path)
+    return back.ids.select("read_id", F.lit(True).alias("linked")).union((~back).ids.select("read_id", F.lit(False)))
+
+
+_register("vector_round_trip", f"{_BV}, n AS (SELECT max(id) AS top FROM lv) SELECT i AS read_id, i IN (SELECT id FROM lv) AS linked FROM (SELECT unnest(range(0, top + 1)) AS i FROM n)", _vector)
+
+
+def _commented(s: SparkSession, d: str) -> DataFrame:
+    """Result lines among comments and blank lines, written and read back."""
+    path = _folder(s, "lines")
+    formats.write_lines(formats.link_lines(_links(s, d)), path, formats.link_header(K, "benchmark") + "\n", formats.set_header(F.col("read_set")))
+    return _shown(results.parse_links(s.read.text(path)).withColumn("pct", F.round(F.col("pct").cast("double"), 4).cast("float")))
+
+
+_register("parse_linker_file", f"{LINKS} SELECT {OUT} FROM links", _commented)
+_register("count_data_lines", f"{LINKS} SELECT count(DISTINCT query_id) AS lines FROM links", lambda s, d: results.data_lines(formats.link_lines(_links(s, d)).select(F.col("line").alias("value")).union(s.createDataFrame([("# a comment",), ("",)], "value string"))).agg(F.count("*").alias("lines")))
+_register("count_reads", f"WITH {DS} SELECT read_set, count(*) AS reads FROM d GROUP BY read_set", lambda s, d: count_reads(documents(s, d, "source")))

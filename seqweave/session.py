@@ -7,9 +7,12 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: The folders of local sessions that name none.
+_own: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", conf: dict[str, str] | None = None) -> SparkSession:
@@ -39,3 +42,21 @@ def ship(spark: SparkSession) -> None:
             out.write(f, str(f.relative_to(root.parent)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and its name there."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a new local one if the session runs on this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="seqweave-")
+    return _own[app]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
-import os
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.sequences import as_nucleotides
-from ..session import ship
+from ..session import file_system, ship
 
 SCHEMA = "read_set string, read_id long, header string, seq string, qual string"
 
 
-def _system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+#: Bytes of a piece of a plain FASTA file that one task reads.
+PIECE = 64 << 20
 
 
 def open_text(path: str) -> io.TextIOBase:
     """A text stream of a file, gunzipped if it begins like gzip."""
-    system, name = _system(path)
+    system, name = file_system(path)
     raw = io.BufferedReader(system.open_input_stream(name, compression=None), 1 << 20)
     return io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if raw.peek(2)[:2] == b"\x1f\x8b" else raw, encoding="utf-8", errors="replace")
 
@@ -54,15 +54,54 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
         yield head[1:], seq, qual
 
 
+def _begins(file, start: int, stop: int) -> Iterator[int]:
+    """Where FASTA records begin in a range of an open file: at a > behind a line end, or at the start of the file."""
+    file.seek(max(0, start - 1))
+    at, before = max(0, start - 1), b"\n" if start == 0 else b""
+    while at < stop:
+        data = file.read(min(1 << 22, stop - at))
+        if not data:
+            return
+        whole, base = before + data, at - len(before)
+        found = whole.find(b"\n>")
+        while found >= 0:
+            yield base + found + 1
+            found = whole.find(b"\n>", found + 1)
+        at, before = at + len(data), whole[-1:]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            system, name = file_system(r["path"])
+            with system.open_input_file(name) as file:
+                yield pa.RecordBatch.from_pylist([r | {"n": sum(1 for _ in _begins(file, r["start"], r["stop"]))}])
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[tuple[str, str]]):
-        self.paths = paths
+    def __init__(self, pieces: list[tuple]):
+        self.pieces = pieces
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(x) for x in self.paths]
+        return [InputPartition(x) for x in self.pieces]
+
+    def _records(self, path: str, start: int, stop: int) -> Iterator[tuple[str, str, str | None]]:
+        if stop < 0:
+            with open_text(path) as lines:
+                yield from records(iter(lines))
+            return
+        system, name = file_system(path)
+        with system.open_input_file(name) as file:
+            first = next(_begins(file, start, stop), None)
+            if first is None:
+                return
+            last = next(_begins(file, stop, file.size()), file.size())
+            file.seek(first)
+            raw = io.BufferedReader(_Part(file, last - first), 1 << 20)
+            yield from records(iter(io.TextIOWrapper(raw, encoding="utf-8", errors="replace")))
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        name, path = partition.value
+        name, path, start, stop, number = partition.value
         rows: list[tuple] = []
         size = 0
 
@@ -70,19 +109,34 @@ class _Reader(DataSourceReader):
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["read_set", "read_id", "header", "seq", "qual"])
 
-        with open_text(path) as lines:
-            for i, (header, seq, qual) in enumerate(records(iter(lines))):
-                rows.append((name, i, header, seq, qual))
-                size += len(seq)
-                if len(rows) >= 1000 or size > 1 << 22:
-                    yield batch()
-                    rows, size = [], 0
+        for i, (header, seq, qual) in enumerate(self._records(path, start, stop), number):
+            rows.append((name, i, header, seq, qual))
+            size += len(seq)
+            if len(rows) >= 1000 or size > 1 << 22:
+                yield batch()
+                rows, size = [], 0
         if rows:
             yield batch()
 
 
+class _Part(io.RawIOBase):
+    """The next so many bytes of an open file."""
+
+    def __init__(self, file, size: int):
+        self.file, self.left = file, size
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read(min(len(buffer), self.left))
+        buffer[: len(data)] = data
+        self.left -= len(data)
+        return len(data)
+
+
 class ReadSource(DataSource):
-    """spark.read.format("reads").option("sets", "name<TAB>path lines"): one task a file, since gzip can't be split and reads are numbered in order."""
+    """spark.read.format("reads").option("pieces", JSON of [name, path, start, stop, first read id]): one task a piece; a stop of -1 stands for the whole file."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,14 +146,40 @@ class ReadSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader([tuple(x.split("\t", 1)) for x in self.options["sets"].split("\n") if x])
+        return _Reader([tuple(x) for x in json.loads(self.options["pieces"])])
+
+
+def _plain_fasta(path: str) -> int:
+    """The size of a plain FASTA file, 0 of others (gzip can't be split, and @ begins a record or a line of qualities)."""
+    system, name = file_system(path)
+    with system.open_input_stream(name, compression=None) as file:
+        first = file.read(1)
+    return system.get_file_info(name).size if first == b">" else 0
+
 
+def read_sets(spark: SparkSession, sets: list[tuple[str, str]], piece: int = PIECE) -> DataFrame:
+    """The reads of (name, path) files; read ids count from 0 in each file.
 
-def read_sets(spark: SparkSession, sets: list[tuple[str, str]]) -> DataFrame:
-    """The reads of (name, path) files; read ids count from 0 in each file."""
+    A plain FASTA file of more than `piece` bytes is read in pieces by several tasks, which a job over the pieces counts
+    before, so that reads have their numbers. FASTQ and gzipped files are one task each.
+    """
     ship(spark)
     spark.dataSource.register(ReadSource)
-    return spark.read.format("reads").option("sets", "\n".join("\t".join(x) for x in sets)).load()
+    sizes = [_plain_fasta(path) for _, path in sets]
+    whole = [(name, path, 0, -1, 0) for (name, path), size in zip(sets, sizes, strict=True) if size <= piece]
+    cut = [(k, start, min(start + piece, size)) for k, size in enumerate(sizes) if size > piece for start in range(0, size, piece)]
+    if cut:
+        table = spark.createDataFrame([(k, sets[k][1], a, b) for k, a, b in cut], "k long, path string, start long, stop long").repartition(len(cut))
+        number: dict[int, int] = {}
+        for r in sorted(table.mapInArrow(_counted, "k long, path string, start long, stop long, n long").collect(), key=lambda r: (r["k"], r["start"])):
+            whole.append((*sets[r["k"]], r["start"], r["stop"], number.get(r["k"], 0)))
+            number[r["k"]] = number.get(r["k"], 0) + r["n"]
+    return spark.read.format("reads").option("pieces", json.dumps(whole)).load()
+
+
+def count_reads(reads: DataFrame) -> DataFrame:
+    """(read_set, reads)."""
+    return reads.groupBy("read_set").agg(F.count("*").alias("reads"))
 
 
 def first_token(path: str) -> str:
@@ -110,7 +190,7 @@ def first_token(path: str) -> str:
 
 def _exists(path: str) -> bool:
     try:
-        system, name = _system(path)
+        system, name = file_system(path)
         return bool(path) and system.get_file_info(name).type == pafs.FileType.File
     except (ValueError, OSError):
         return False

@@ -11,6 +11,11 @@ def data_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(~F.col(column).startswith("#") & (F.trim(column) != ""))
 
 
+def count_lines(lines: DataFrame, column: str = "value") -> int:
+    """How many lines hold data."""
+    return data_lines(lines, column).count()
+
+
 def parse_links(lines: DataFrame, column: str = "value") -> DataFrame:
     """(query_id, place, target_id, span, pct) of `q:t-span-pct t-span-pct`; span and pct are null where a target has none. Other columns stay."""
     rest = [c for c in lines.columns if c != column]

@@ -38,6 +38,16 @@ def test_readers(spark, files):
         reads.read_bank(spark, fof)
 
 
+def test_pieces_of_a_file(spark, tmp_path):
+    path = tmp_path / "big.fa"
+    path.write_bytes(b">r0 a>b\nAC\nGT\n>r1\n\n>r2\n" + b"ACGT\n" * 40 + b">r3\r\nTT\r\n>r4\nA")
+    want = [(0, "r0 a>b", "ACGT"), (1, "r1", ""), (2, "r2", "ACGT" * 40), (3, "r3", "TT"), (4, "r4", "A")]
+    for piece in (1, 2, 7, 50, 1000):
+        got = reads.read_sets(spark, [("s", str(path))], piece)
+        assert sorted(tuple(r) for r in got.select("read_id", "header", "seq").collect()) == want
+    assert [tuple(r) for r in reads.count_reads(got).collect()] == [("s", 5)]
+
+
 def test_text_adapter(spark):
     frame = spark.createDataFrame([(1, "Abc, xyz! É"), (2, None)], "i long, t string")
     assert [r["seq"] for r in reads.text_reads(frame, F.col("i"), F.col("t")).orderBy("read_id").collect()] == ["ACCAAC", ""]
@@ -69,7 +79,7 @@ def test_text_round_trips(spark):
     assert [tuple(r) for r in results.parse_link_ids(spark.createDataFrame([("7 93",)], "value string")).collect()] == [(7, 93)]
     any_ = results.parse_links(formats.any_link_lines(_found(spark)).select(F.col("line").alias("value")))
     assert sorted((r["query_id"], r["target_id"], r["span"]) for r in any_.collect()) == [(0, 0, None), (0, 2, None), (1, 2, None)]
-    assert spark.range(1).select(results.read_set_of(F.lit(formats.count_header("x/c1.fa", 31, "i"))).alias("x")).first()["x"] == "x/c1.fa"
+    assert spark.range(1).select(results.read_set_of(formats.count_header(F.lit("x/c1.fa"), 31, "i")).alias("x")).first()["x"] == "x/c1.fa"
 
 
 def test_conversions_and_graphs(spark, tmp_path):
@@ -90,7 +100,7 @@ def test_conversions_and_graphs(spark, tmp_path):
     counts = spark.createDataFrame([("s", 0, 3.5, 4, 2, 5, 100.0), ("s", 1, 0.5, 0, 0, 1, 10.0)], "read_set string, query_id long, mean float, median int, min int, max int, pct float")
     assert [r["header"] for r in convert.counted_reads(counts, bank, 1, 4).collect()] == ["r0_cov_3.500000_4_2_5_100.000000"]
     convert.write_well_covered(counts, bank, 50, str(tmp_path / "well"))
-    assert [r["value"] for r in spark.read.text(str(tmp_path / "well_s")).collect()] == [">r0", "ACGTTGCAACGGTCATTGCA"]
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "well/file=s")).collect()] == [">r0", "ACGTTGCAACGGTCATTGCA"]
     formats.write_reads(bank, str(tmp_path / "fa"))
     assert spark.read.text(str(tmp_path / "fa")).where("value like '>%'").count() == 3
 
@@ -111,6 +121,16 @@ def test_commands(spark, files):
     assert "1 none\n" in text and " 100.000000\n" in text
     cli.main(["extract", str(tmp / "out"), a, str(tmp / "reads")], spark)
     assert ">r0 first read\n" in "".join(open(f).read() for f in glob.glob(str(tmp / "reads/part-*")))
+    cli.main(["vector", str(tmp / "out"), "l", str(tmp / "v.bv"), "-s", "90"], spark)
+    cli.main(["vector", str(tmp / "counts"), "c", str(tmp / "c.bv"), "-s", "90"], spark)
+    assert open(tmp / "v.bv", "rb").read().endswith(b"#1\n\x01") and open(tmp / "c.bv", "rb").read().endswith(b"#2\n\x01")
+    cli.main(["extract-vector", a, str(tmp / "v.bv"), str(tmp / "chosen")], spark)
+    assert "".join(open(f).read() for f in glob.glob(str(tmp / "chosen/part-*"))) == ">r0 first read\nACGTTGCAACGGTCATTGCA\n"
+    cli.main(["link", str(tmp / "link"), str(tmp / "self.txt"), str(tmp / "self"), "-l"], spark) if (tmp / "self.txt").write_text(a + "\n") else None
+    for kind in cli.CONVERSIONS:
+        cli.main(["convert", kind, str(tmp / ("counts" if kind in ("counted-reads", "covered-reads") else "self")), a, str(tmp / f"to-{kind}")], spark)
+        text = "".join(open(f).read() for f in glob.glob(str(tmp / f"to-{kind}/**/part-*"), recursive=True))
+        assert bool(text) == (kind not in ("pairs", "headers")), kind  # the file's one link is to itself
     with pytest.raises(index.NoSolidKmers):
         cli.main(["link-index", a, str(tmp / "none"), "-k", "7", "-a", "9"], spark)
 

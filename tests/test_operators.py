@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import random
 import statistics
 
+import numpy as np
 import pytest
 
-from seqweave.operators import complexity, counter, index, kmers, linker, readsets, runs
+from seqweave.operators import complexity, counter, coverage, index, kmers, linker, readsets, runs
 
 from . import model as m
 
@@ -127,7 +129,7 @@ def test_repeated_kmers(spark):
     assert [r["read_id"] for r in got.collect()] == [0]
 
 
-def test_sets_and_vector_files(spark, tmp_path):
+def test_sets_and_vector_files(spark, tmp_path, monkeypatch):
     make = lambda ids: spark.createDataFrame([("s", i) for i in ids], "read_set string, read_id long")
     a, b = make([0, 3, 64, 70, 99]), make([3, 4, 99])
     ids = lambda df: sorted(r["read_id"] for r in df.collect())
@@ -135,15 +137,35 @@ def test_sets_and_vector_files(spark, tmp_path):
     assert ids(readsets.complement(b, make(range(6)))) == [0, 1, 2, 5]
     assert readsets.cardinality(a).first()["ones"] == 5
     path = str(tmp_path / "v.bv")
-    for size, want in ((100, [0, 3, 64, 70, 99]), (65, [0, 3, 64]), (8, [0, 3])):
-        readsets.write_vector(a, path, size, "made by a test")
-        data = open(path, "rb").read()
-        head = f"made by a test\n#{size}\n".encode()
-        assert data.startswith(head) and len(data) == len(head) + size // 8 + 1 and data[len(head)] == 0b1001
-        got, n, comment = readsets.read_vector(spark, path, "s")
-        assert (ids(got), n, comment) == (want, size, "made by a test\n")
-    with pytest.raises(ValueError):
-        readsets.same_size(3, 4)
+    for chunk in (1 << 20, 16):
+        monkeypatch.setattr(readsets, "CHUNK", chunk)
+        for size, want in ((100, [0, 3, 64, 70, 99]), (65, [0, 3, 64]), (8, [0, 3]), (2000, [0, 3, 64, 70, 99])):
+            readsets.write_vector(a, path, size, "made by a test")
+            data = open(path, "rb").read()
+            head = f"made by a test\n#{size}\n".encode()
+            assert data.startswith(head) and len(data) == len(head) + size // 8 + 1 and data[len(head)] == 0b1001
+            got = readsets.read_vector(spark, path, "s")
+            assert (ids(got.ids), got.size, got.comment) == (want, size, "made by a test\n")
+    readsets.write_vector(make([]), path, 0)
+    assert open(path, "rb").read() == b"#0\n\0" and ids(readsets.read_vector(spark, path).ids) == []
+    for text in (b"no size\n", b"#100\nshort"):
+        open(path, "wb").write(text)
+        with pytest.raises(ValueError):
+            readsets.read_vector(spark, path)
+
+
+def test_vectors(spark):
+    numbers = lambda ids: spark.createDataFrame([(i,) for i in ids], "read_id long")
+    ids = lambda v: sorted(r["read_id"] for r in v.ids.collect())
+    none, every = readsets.Vector.of(spark, 6, read_set="s"), readsets.Vector.of(spark, 6, True, "s")
+    some = none.set(numbers([1, 4, 4, 9, -1]))
+    assert (ids(none), ids(every), ids(some)) == ([], list(range(6)), [1, 4])
+    assert ids(~some) == [0, 2, 3, 5] and ids(every - some) == [0, 2, 3, 5] and ids(some | none) == [1, 4] and ids(some & every) == [1, 4]
+    assert ids(some.reset(numbers([4, 5]))) == [1]
+    assert sorted(tuple(r) for r in some.test(numbers([1, 2])).collect()) == [(1, True), (2, False)]
+    for f in ("__and__", "__or__", "__sub__"):
+        with pytest.raises(ValueError):
+            getattr(some, f)(readsets.Vector.of(spark, 7))
 
 
 def test_thresholds_of_vectors(spark):
@@ -154,16 +176,36 @@ def test_thresholds_of_vectors(spark):
         readsets.selected_by_links(found.drop("pct"), 75)
 
 
-def test_runs_are_neighbours_not_groups(spark):
-    rows = [(0, "q", "a", 50.0), (1, "q", "a", 90.0), (2, "q", "b", 80.0), (3, "q", "a", 70.0), (4, "p", "a", 95.0), (5, "q", "a", 60.0)]
+@pytest.mark.parametrize("lines", [1 << 20, 2, 1])
+def test_runs_are_neighbours_not_groups(spark, monkeypatch, lines):
+    monkeypatch.setattr(runs, "LINES", lines)
+    rows = [(0, "q", "a", 50.0), (1, "q", "a", 90.0), (2, "q", "b", 80.0), (3, "q", "a", 70.0), (4, "p", "a", 95.0), (5, "q", "a", 60.0), (9, "q", "a", 65.0), (14, "q", "a", 10.0)]
     frame = spark.createDataFrame([(n, q, t, p, 10, 10) for n, q, t, p in rows], "line_no long, qseqid string, sseqid string, pident double, length int, qlen int")
-    got = sorted((r["qseqid"], r["run"], r["sseqid"], r["ratio"]) for r in runs.run_max(frame, 0).collect())
-    assert got == [("p", 1, "a", 95.0), ("q", 1, "a", 90.0), ("q", 2, "b", 80.0), ("q", 3, "a", 70.0), ("q", 4, "a", 60.0)]
-    assert runs.run_max(frame, 80).count() == 3
+    got = sorted((r["run"], r["qseqid"], r["sseqid"], r["ratio"]) for r in runs.run_max(frame, 0).collect())
+    assert got == [(0, "q", "a", 90.0), (2, "q", "b", 80.0), (3, "q", "a", 70.0), (4, "p", "a", 95.0), (5, "q", "a", 65.0)]
+    assert runs.run_max(frame, 80).count() == 3 and runs.run_max(frame.where("false"), 0).count() == 0
 
 
-def test_first_of_runs_and_uniform(spark):
-    rows = [(0, 1, 1, 9), (1, 1, 2, 8), (2, 1, 2, 7), (3, 1, 3, 6), (4, 1, 2, 5)]
+@pytest.mark.parametrize("lines", [1 << 20, 3, 1])
+def test_first_of_runs_and_uniform(spark, monkeypatch, lines):
+    monkeypatch.setattr(runs, "LINES", lines)
+    rows = [(0, 1, 1, 9), (1, 1, 2, 8), (2, 1, 2, 7), (3, 1, 3, 6), (4, 1, 2, 5), (5, 5, 3, 4), (6, 1, 2, 3), (7, 1, 1, 2), (20, 1, 2, 1)]
     frame = spark.createDataFrame(rows, "line_no long, query_id long, target_id long, span long")
-    assert sorted((r["target_id"], r["span"]) for r in runs.first_of_runs(frame).collect()) == [(2, 5), (2, 8), (3, 6)]
-    assert runs.uniform(frame).first()["targets"] == "1-9 2-5 3-6"
+    want, last = [], None
+    for row in rows:
+        if row[1] != row[2]:
+            if row[1:3] != last:
+                want.append(row)
+            last = row[1:3]
+    assert sorted(tuple(r) for r in runs.first_of_runs(frame).collect()) == want and len(want) == 5
+    assert {r["query_id"]: r["targets"] for r in runs.uniform(frame).collect()} == {1: "1-2 2-1 3-6", 5: "3-4"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cover_by_places_equals_cover_by_bases(seed):
+    r = random.Random(seed)
+    for _ in range(300):
+        n, k = r.randint(1, 60), r.randint(1, 12)
+        places = sorted(r.sample(range(max(1, n - k + 1)), r.randint(0, min(6, max(1, n - k + 1)))))
+        bases, cover = m.covered(places, max(n, k), k)[:n], coverage.Cover(np.array(places, np.int64), n, k)
+        assert cover.upto(np.arange(n + 1)).tolist() == [sum(bases[:i]) for i in range(n + 1)]
