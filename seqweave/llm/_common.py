@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_base, ship
 
 #: Rows of an Arrow batch, so that a batch of long texts stays within a worker's memory.
 BATCH_ROWS = 1000
@@ -24,8 +23,6 @@ BLOCK_BYTES = 1 << 19
 BROADCAST = 200_000
 #: Rows of a group from which on it is joined by broadcast, and such groups at most.
 LARGE_GROUP, MOST_GROUPS = 200, 100_000
-#: The folders of sessions that name none.
-_own: dict[str, str] = {}
 #: What a worker keeps between tasks, by kind of kernel.
 _held: dict[str, dict] = {}
 
@@ -58,12 +55,8 @@ def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a folder made here."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="seqweave-")
-        _own[app] = base
+    """A new folder below spark.checkpoint.dir, which a session on a cluster must name."""
+    base = shared_base(spark)
     if "://" not in base:  # the file system that Spark takes it to be on, spelt out for Python workers
         path = spark._jvm.org.apache.hadoop.fs.Path(base)
         base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()

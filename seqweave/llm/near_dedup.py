@@ -15,8 +15,8 @@ from ._words import Words, mix, shingles
 
 #: Words of a shingle, least similarity, slots of a signature, slots of a band. A pair at 0.8 is found with 1 - (1 - 0.8**5)**25 = 0.99995.
 SHINGLE, LEAST, SLOTS, BAND = 5, 0.8, 128, 5
-#: Texts that are compared with one and the same leader in a task.
-STAR = 1024
+#: Texts that are compared with one and the same leader at a stretch.
+STAR = 256
 #: Texts that share a rare shingle from which on they are compared in blocks of about BLOCK texts and BLOCK_TEXT bytes.
 LARGE, BLOCK, BLOCK_TEXT = 64, 512, 1 << 20
 #: Cells in which the frequencies of shingles are counted (as a power of 2).
