@@ -102,6 +102,55 @@ def test_events_fold_into_messages(spark):
     assert got == {(1, "u1"): (1, "user", "Hi"), (1, "a1"): (2, "assistant", "Good day"), (1, "u2"): (7, "user", "And then?"), (1, "a3"): (10, "assistant", "Nothing"), (2, None): (1, "user", "lonely"), (None, "x"): (1, "user", "")}
 
 
+def brute_fold(log):
+    """The messages that are left of a log of one conversation: events one after another."""
+    order: list = []  # (message, start)
+    state: dict = {}
+    for seq, kind, message, role, text in sorted(log, key=lambda e: (e[0], e[2])):
+        if message not in state:
+            state[message] = [seq, role or "", "", None]
+            order.append(message)
+        if kind in ("edit", "regenerate"):
+            state[message][2:] = [text if kind == "edit" else "", seq]
+        else:
+            state[message][2] += text or ""
+    out = {}
+    for m in order:
+        start = state[m][0]
+        if not any(state[x][3] is not None and state[x][3] > start and (state[x][0], x) < (start, m) for x in order):
+            out[m] = (start, state[m][1], state[m][2])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_folded_logs_match_brute_force(spark, seed):
+    r = random.Random(seed)
+    logs = {}
+    for c in range(12):
+        seq, messages, log = 0, [], []
+        for _ in range(r.randint(1, 60)):
+            seq += r.randint(1, 3)
+            if not messages or r.random() < 0.2:
+                messages.append(f"m{len(messages):02d}")
+                log.append((seq, "delta", messages[-1], r.choice(["user", "assistant"]), r.choice(["", "Hi ", "é"])))
+            else:
+                kind = r.choice(["delta"] * 6 + ["edit", "regenerate"])
+                log.append((seq, kind, r.choice(messages[-3:]) if kind != "delta" else messages[-1], None, None if kind == "regenerate" else r.choice(["a", "bc ", "\n", ""])))
+        logs[c] = log
+    got: dict = {c: {} for c in logs}
+    for x in chat.fold(events(spark, [(c, *e) for c, log in logs.items() for e in log]).repartition(3)).collect():
+        got[x["conv_id"]][x["message"]] = (x["start"], x["role"], x["text"])
+    assert got == {c: brute_fold(log) for c, log in logs.items()}
+
+
+def test_streamed_logs_hold_all_kinds_of_events(spark):
+    rows = [(c, t, "assistant", f"{c} {t} " * (t * 60)) for c in range(20) for t in range(4)]
+    log = chat.streamed(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = {x["event"]: x["n"] for x in log.groupBy("event").agg(F.count("*").alias("n")).collect()}
+    assert kinds["delta"] > 150 and kinds["edit"] > 3 and kinds["regenerate"] > 3
+    assert sorted((x["conv_id"], x["text"]) for x in chat.fold(log).collect()) == sorted((c, t) for c, _, _, t in rows)
+
+
 def brute_chat(rows):
     convs: dict = {}
     for c, turn, role, text in rows:
