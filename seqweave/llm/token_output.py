@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -21,9 +22,9 @@ BLOCK_TOKENS = 1 << 20
 #: Least count of a pair that is replaced. A rule takes about the bits of four symbols (two symbols and its length), so it
 #: pays from here on.
 LEAST = 5
-#: Pairs are counted exactly, but first sieved by the counts of so many cells (as a power of 2). While the most frequent
-#: pair is more frequent than that, a round replaces only pairs that occur at least 1 / STEP times as often.
-CELL_BITS, STEP = 20, 16
+#: Pairs are counted exactly, but first sieved by the counts of about as many cells (a power of 2, CELL_BITS at most). A
+#: round replaces only pairs that occur at least 1 / STEP times as often as the most frequent (or LEAST times, if that is more).
+CELL_BITS, STEP = 20, 64
 MAGIC = b"SWRePai2"
 NO_ID = -(1 << 63)
 
@@ -49,6 +50,7 @@ class WordEncoder:
     SLOTS, TEXT, POOL = 1 << 21, 1 << 24, 1 << 23
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -211,9 +213,13 @@ def encoder(path: str) -> WordEncoder:
 # --- grammar ----------------------------------------------------------------------------------------------------------
 
 
-def _chosen(key: np.ndarray, cell: np.ndarray, least: int, step: int) -> tuple[np.ndarray, bool]:
+def _cells(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _chosen(key: np.ndarray, cell: np.ndarray, bits: int, least: int, step: int) -> tuple[np.ndarray, bool]:
     """The pairs that a round replaces, the most frequent first, and whether these are all that occur least times."""
-    count = np.bincount(cell, minlength=1 << CELL_BITS)
+    count = np.bincount(cell, minlength=1 << bits)
     often = np.sort(key[count[cell] >= least])  # a pair of a lesser cell can't occur least times
     first = np.flatnonzero(np.concatenate([[True], often[1:] != often[:-1]])) if len(often) else np.zeros(0, np.int64)
     times = np.diff(np.append(first, len(often)))
@@ -251,16 +257,16 @@ def compress(ids: np.ndarray, offsets: np.ndarray, vocab: int, least: int = LEAS
             use[same[odd & 1 == 1]] = False
         at = np.flatnonzero(use)
         key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        cell = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int32)
-        pairs, all_of_them = _chosen(key, cell, least, step)
+        bits = min(CELL_BITS, max(8, len(key).bit_length()))
+        cell = _cells(key, bits)
+        pairs, all_of_them = _chosen(key, cell, bits, least, step)
         if not len(pairs):
             if not fresh:
                 break
             fresh = 0
             continue
-        number = np.full(1 << CELL_BITS, -1, np.int32)
-        own = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-        number[own[::-1]] = np.arange(len(pairs) - 1, -1, -1)  # of the pairs of a cell the most frequent; others wait
+        number = np.full(1 << bits, -1, np.int32)
+        number[_cells(pairs, bits)[::-1]] = np.arange(len(pairs) - 1, -1, -1)  # of the pairs of a cell the most frequent; others wait
         rank = number[cell]
         ok = rank >= 0
         ok[ok] = pairs[rank[ok]] == key[ok]
