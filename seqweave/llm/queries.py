@@ -173,4 +173,6 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate in documents with the forest's score."""
-    return secret_scan.scan(_table(spark, sf_dir, "documents"), secret_scan.fit(secret_scan.made_up_findings(spark)))
+    docs = _table(spark, sf_dir, "documents")
+    language = secret_scan.learn(docs)
+    return secret_scan.scan(docs, secret_scan.fit(secret_scan.made_up_findings(spark, language.words), language))

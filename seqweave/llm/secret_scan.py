@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -35,18 +37,60 @@ TREES, DEPTH = 24, 7
 #: Words that names of keys are followed by, and words of numbers and digests that are no secrets.
 SECRET_WORDS = "password passwd pwd pass secret token apikey api_key api-key key auth authorization bearer credential credentials private access client_secret".split()
 HARMLESS_WORDS = "commit sha sha1 sha256 md5 checksum digest hash etag uuid guid id image png jpeg jpg base64 isbn phone tel card iban order invoice version build revision ref example sample placeholder dummy".split()
-#: A dictionary of parts of identifiers and placeholders.
-DICTIONARY = "the and for with this that from have test example sample dummy placeholder your here changeme default user name file path image content index page data value key secret token password string number list item array object class function method request response server client service config version update create delete insert select table column header footer button style script document template component module package release debug error message session cookie account profile address street country company product order price total count result report summary december november october september august july june april march february january monday tuesday wednesday thursday friday saturday sunday".split()
+#: Parts of identifiers and placeholders: they are in every dictionary, beside the corpus's words, and in made-up findings.
+IDENTIFIERS = "the and for with this that from have test example sample dummy placeholder your here changeme default user name file path image content index page data value key secret token password string number list item array object class function method request response server client service config version update create delete insert select table column header footer button style script document template component module package release debug error message session cookie account profile address street country company product order price total count result report summary december november october september august july june april march february january monday tuesday wednesday thursday friday saturday sunday".split()
+#: Words that a dictionary has at most, the most frequent of the corpus, and the bits of its filter (as a power of 2).
+DICTIONARY, FILTER_BITS = 20_000, 19
+#: Letters and the rest: rows and columns of the table of transitions.
+LETTERS = 27
 
 FEATURES = [
     "length", "digit_share", "upper_share", "lower_share", "sign_share", "hex", "digits_only", "transitions", "letter_digit", "case_change", "longest_run", "distinct_share",
     "dictionary", "vowel_share", "has_slash", "dashes", "after_slash", "after_scheme", "extension", "quoted", "assigned", "secret_word", "harmless_word", "prefix",
-    "password_word", "user_info", "dots", "webhook", "blanks",
+    "password_word", "user_info", "dots", "webhook", "blanks", "letter_model", "placeholder",
 ]
 #: Beginnings that issuers of keys use.
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abp]-|AIza|ya29|SG\\.|eyJ|npm_|hf_"
 
 
+@dataclass(frozen=True)
+class Language:
+    """What a corpus's words are like: a Bloom filter of the frequent ones, the log2 chance of each letter behind another, and some of the words."""
+
+    filter: bytes
+    transitions: tuple[float, ...]
+    words: tuple[str, ...]
+
+
+def _bits(word: Column) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(word, F.lit(k)), F.lit(1 << FILTER_BITS)) for k in (1, 2)))
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> Language:
+    """The language of all texts. Words are runs of 3 to 24 ASCII letters, lower-cased; longer runs are cut.
+
+    The transitions are counted over all words as often as they occur, with one added to each. To the driver come a
+    filter, a table and some words, whose sizes are fixed. Without any text only IDENTIFIERS are known.
+    """
+    spark = docs.sparkSession
+    counts = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]{3,24}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = written(counts, "words")
+    common = written(counts.orderBy(F.desc("n"), "word").limit(DICTIONARY), "dictionary")
+    known = common.select("word").union(spark.createDataFrame([(x,) for x in IDENTIFIERS], "word string"))
+    bit = known.select(F.explode(_bits(F.col("word"))).alias("at"))
+    held = bytearray(1 << FILTER_BITS - 3)
+    for r in bit.groupBy(F.expr("at div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("bits")).collect():
+        held[r["byte"]] = r["bits"]
+    code = F.transform(F.split(F.concat(F.lit("{"), "word", F.lit("{")), ""), lambda x: F.ascii(x) - 97)  # { stands behind z
+    pair = F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda x, y: x * LETTERS + y)
+    table = [1.0] * LETTERS**2
+    for r in counts.select(F.explode(pair).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[r["pair"]] += r["n"]
+    rows = [sum(table[k * LETTERS : (k + 1) * LETTERS]) for k in range(LETTERS)]
+    words = tuple(r["word"] for r in common.orderBy(F.xxhash64("word"), "word").limit(200).collect())
+    return Language(bytes(held), tuple(round(math.log2(n / rows[k // LETTERS]), 4) for k, n in enumerate(table)), words)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, candidate, before, after): every candidate of every text, start in characters from 0."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE))
@@ -72,10 +116,28 @@ def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("double")
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def _covered(c: Column, language: Language) -> Column:
+    """Characters of those parts of a candidate (runs of small letters, perhaps behind a capital, or of capitals) that are words of the dictionary."""
+    known = F.unbase64(F.lit(base64.b64encode(language.filter).decode()))
+    byte = lambda at: F.conv(F.hex(F.substr(known, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = lambda at: F.get(F.array(*(byte(at).bitwiseAND(F.lit(1 << k)) for k in range(8))), (at % 8).cast("int")) > 0
+    parts = F.filter(F.transform(F.regexp_extract_all(c, F.lit("[A-Z]?[a-z]{2,23}|[A-Z]{3,24}"), F.lit(0)), F.lower), lambda x: F.forall(_bits(x), has))
+    return F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.length(x))
+
+
+def _letter_model(c: Column, language: Language) -> Column:
+    """The mean log2 chance of a candidate's letters, each behind the character before it; -LETTERS of one without letters."""
+    table = F.split(F.lit(",".join(map(str, language.transitions))), ",").cast("array<double>")
+    code = F.transform(F.split(F.concat(F.lit("{"), F.lower(c), F.lit("{")), ""), lambda x: F.when(x.between("a", "z"), F.ascii(x) - 97).otherwise(LETTERS - 1))
+    pair = F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda x, y: x * LETTERS + y)
+    pair = F.filter(pair, lambda x: x < LETTERS**2 - 1)
+    total = F.aggregate(pair, F.lit(0.0), lambda acc, x: acc + F.get(table, x))
+    return F.when(F.size(pair) > 0, total / F.size(pair)).otherwise(F.lit(-float(LETTERS)))
+
+
+def with_features(found: DataFrame, language: Language) -> DataFrame:
     """found with FEATURES of candidate, before and after."""
     c, n = F.col("candidate"), F.length("candidate").cast("double")
-    covered = F.length(F.regexp_replace(F.lower(c), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
     tail = lambda words: rf"(?i)(?:^|[^a-z])(?:{'|'.join(words)})[\s\"':=>,(\[{{]*$"
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     longest = lambda pattern: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.length)), F.lit(0))
@@ -93,7 +155,7 @@ def with_features(found: DataFrame) -> DataFrame:
             "case_change": _count(c, "(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]") / n,
             "longest_run": F.greatest(longest("[0-9]+"), longest("[A-Z]+"), longest("[a-z]+")) / n,
             "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / n,
-            "dictionary": 1 - covered / n,
+            "dictionary": _covered(c, language) / n,
             "vowel_share": _count(c, "[aeiouAEIOU]") / n,
             "has_slash": _count(c, "/") / n,
             "dashes": _count(c, "-") / n,
@@ -109,24 +171,28 @@ def with_features(found: DataFrame) -> DataFrame:
             "dots": _count(c, r"\."),
             "webhook": flag(F.col("before").rlike(r"hooks\.slack\.com/services/$")),
             "blanks": _count(c, r"\s"),
+            "letter_model": _letter_model(c, language),
+            "placeholder": flag(c.rlike(r"(?i)your|example|changeme|placeholder|dummy|sample|insert|(?:^|[^a-z])(?:here|todo|test|fake|none|null)(?:$|[^a-z])|x{4}|\*{3}|\.{3}|^[$%<{]")),
             "prefix": flag(c.rlike(f"^(?:{PREFIXES})")),
         }
     )
 
 
-def made_up_findings(spark: SparkSession, rows: int = EXAMPLES, seed: int = 11) -> DataFrame:
+def made_up_findings(spark: SparkSession, words: tuple[str, ...] = (), rows: int = EXAMPLES, seed: int = 11) -> DataFrame:
     """Labelled findings (candidate, before, after, label) by rule: keys in their usual settings, and what looks like them.
 
-    Stands in for findings that people have labelled; fit() takes those in its place.
+    words: of the corpus, of which harmless candidates are made besides IDENTIFIERS. Stands in for findings that people
+    have labelled; fit() takes those in its place.
     """
+    common = [*IDENTIFIERS, *words]
     r = spark.range(rows, numPartitions=4)
     text = lambda k: F.sha2(F.concat_ws("|", F.lit(seed), "id", F.lit(k)).cast("binary"), 256)
     pick = lambda k, options: F.element_at(F.array(*(F.lit(x) for x in options)), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(len(options))) + 1).cast("int"))
     upper = F.translate(F.upper(F.base64(F.unhex(text("u")))), "+/=189", "QZ7XYK")
     mixed = F.translate(F.base64(F.unhex(text("m"))), "+/=", "aZ9")
     digits = F.translate(text("d"), "abcdef", "135790")
-    words = ["thority estation of", "und der einer", "la que les", "it was then", "config for the", "note that"]
-    prose = lambda k: F.concat(pick(k, words), F.lit(" "))
+    phrases = ["thority estation of", "und der einer", "la que les", "it was then", "config for the", "note that"]
+    prose = lambda k: F.concat(pick(k, phrases), F.lit(" "))
     named = F.concat(prose("p"), pick("s", SECRET_WORDS), pick("e", ["=", ": ", ' = "', "='", "=\"", " "]))
     harmless = F.concat(prose("p"), pick("h", HARMLESS_WORDS), pick("e", ["=", ": ", ' = "', " ", "/"]))
     assigned = F.concat(prose("p"), pick("f", ["", "", "db_", "DB_", "admin_"]), pick("s2", ["password", "passwd", "pwd", "secret", "pass", "passphrase", "PASSWORD"]), pick("e2", ["=", ": ", ' = "', "='", '="', '": "', " = '"]))
@@ -151,12 +217,12 @@ def made_up_findings(spark: SparkSession, rows: int = EXAMPLES, seed: int = 11)
         (1, prose("p"), F.concat(F.lit("AKIA"), cut(upper, F.lit(16))), pick("a2", [".Next", ". And", ".", ".\n"])),
         (0, F.concat(prose("p"), pick("u", ["https", "ftp", "ssh", "http"]), F.lit("://")), pick("v", ["git", "admin", "root", "user", "anonymous", "deploy"]), F.concat(F.lit("@"), pick("o", hosts))),
         (0, F.concat(prose("p"), pick("s3", SECRET_WORDS), pick("e3", [": ", "=", " = ", " := "])), pick("w9", ["the", "value", "true", "false", "null", "None", "undefined", "required", "string", "str", "is", "a", "see", "below", "public", "read", "1", "0", "$PASSWORD", "os.environ", "getenv", "process.env.TOKEN", "changeme", "example", "***", "xxxxxxxx", "your-password", "hidden", "not", "and"])),
-        (0, F.concat(prose("p"), pick("s4", ["password", "token", "secret", "key", "pass"]), pick("e3", [": ", "=", ' = "', "='"])), F.concat(pick("w1", DICTIONARY), pick("q2", ["", "_", "-", " "]), pick("w2", DICTIONARY))),
-        (0, prose("p"), F.concat(pick("w1", parts), pick("w2", DICTIONARY), pick("w3", [*parts, *DICTIONARY]), pick("w4", ["ungen", "keit", "ization", "ment"]))),
-        (0, prose("p"), F.concat_ws("-", pick("w1", parts), pick("w2", DICTIONARY), pick("w3", parts))),
-        (0, F.concat(prose("p"), pick("d", ["www.", "mail@", "docs/", "a.b."])), F.concat(pick("w1", parts), pick("q2", ["", "-", "_"]), pick("w2", DICTIONARY), pick("w3", parts)), pick("x2", [".com", ".org/", "@example.com", ".txt"])),
-        (0, prose("p"), F.concat(pick("w1", DICTIONARY), F.initcap(pick("w2", parts)), F.initcap(pick("w3", DICTIONARY)))),
-        (0, prose("p"), F.concat(F.lit("/"), pick("w1", DICTIONARY), F.lit("/"), pick("w2", parts), F.lit("/"), pick("w3", DICTIONARY))),
+        (0, F.concat(prose("p"), pick("s4", ["password", "token", "secret", "key", "pass"]), pick("e3", [": ", "=", ' = "', "='"])), F.concat(pick("w1", common), pick("q2", ["", "_", "-", " "]), pick("w2", common))),
+        (0, prose("p"), F.concat(pick("w1", parts), pick("w2", common), pick("w3", [*parts, *common]), pick("w4", ["ungen", "keit", "ization", "ment"]))),
+        (0, prose("p"), F.concat_ws("-", pick("w1", parts), pick("w2", common), pick("w3", parts))),
+        (0, F.concat(prose("p"), pick("d", ["www.", "mail@", "docs/", "a.b."])), F.concat(pick("w1", parts), pick("q2", ["", "-", "_"]), pick("w2", common), pick("w3", parts)), pick("x2", [".com", ".org/", "@example.com", ".txt"])),
+        (0, prose("p"), F.concat(pick("w1", common), F.initcap(pick("w2", parts)), F.initcap(pick("w3", common)))),
+        (0, prose("p"), F.concat(F.lit("/"), pick("w1", common), F.lit("/"), pick("w2", parts), F.lit("/"), pick("w3", common))),
         (1, prose("p"), F.concat(F.lit("AKIA"), cut(upper, F.lit(16)))),
         (1, prose("p"), F.concat(pick("g", ["ghp_", "sk_live_", "glpat-", "AIza", "npm_", "hf_"]), cut(mixed, size("n", [24, 30, 35, 36])))),
         (1, named, cut(text("x"), size("n", [16, 18, 20, 24, 32, 40, 64]))),
@@ -169,10 +235,12 @@ def made_up_findings(spark: SparkSession, rows: int = EXAMPLES, seed: int = 11)
         (0, prose("p"), F.concat_ws("-", cut(text("x"), F.lit(8)), F.substring(text("x"), 9, 4), F.substring(text("x"), 13, 4), F.substring(text("x"), 17, 4), F.substring(text("x"), 21, 12))),
         (0, F.concat(prose("p"), pick("l", ["https://host.example.com/static/", "/assets/js/", "src/main/", "http://cdn.example.org/img/"])), cut(text("x"), size("n", [16, 20, 32, 40]))),
         (0, F.concat(prose("p"), F.lit("data:image/png;base64,")), F.base64(F.unhex(F.concat(text("a"), text("b"))))),
-        (0, prose("p"), F.concat(pick("w1", DICTIONARY), F.initcap(pick("w2", DICTIONARY)), F.initcap(pick("w3", DICTIONARY)), cut(digits, size("n", [1, 2, 4])))),
-        (0, named, F.concat(pick("w4", ["your", "example", "changeme", "placeholder", "dummy"]), F.lit("_"), pick("w1", DICTIONARY), F.lit("_"), pick("w2", DICTIONARY), cut(digits, size("n", [1, 3])))),
-        (0, prose("p"), F.concat(pick("w1", DICTIONARY), F.lit("-"), pick("w2", DICTIONARY), F.lit("-"), pick("w3", DICTIONARY), F.lit("-"), cut(digits, size("n", [2, 4, 8])))),
-        (0, prose("p"), F.concat(cut(digits, F.lit(4)), F.lit("-01-02-"), pick("w1", DICTIONARY), F.lit("-"), pick("w2", DICTIONARY))),
+        (0, prose("p"), F.concat(pick("w1", common), F.initcap(pick("w2", common)), F.initcap(pick("w3", common)), cut(digits, size("n", [1, 2, 4])))),
+        (0, named, F.concat(pick("w4", ["your", "example", "changeme", "placeholder", "dummy"]), F.lit("_"), pick("w1", common), F.lit("_"), pick("w2", common), cut(digits, size("n", [1, 3])))),
+        (0, prose("p"), F.concat(pick("w1", common), F.lit("-"), pick("w2", common), F.lit("-"), pick("w3", common), F.lit("-"), cut(digits, size("n", [2, 4, 8])))),
+        (0, prose("p"), F.concat(pick("w1", common), pick("w2", common), pick("w3", common), pick("w4", common))),
+        (0, prose("p"), F.concat(pick("w1", common), pick("q3", ["", "/", "_"]), F.initcap(pick("w2", common)), pick("w3", common), pick("q4", ["", "-"]), pick("w4", common))),
+        (0, prose("p"), F.concat(cut(digits, F.lit(4)), F.lit("-01-02-"), pick("w1", common), F.lit("-"), pick("w2", common))),
     ]
     after = pick("a", [" and so on", '" of the', ".\n", " ", "';", "\n"])
     follow = F.when(F.col("before").endswith("/"), pick("x", [".js", ".png", ".html", "/"])).otherwise(after)
@@ -185,18 +253,19 @@ def made_up_findings(spark: SparkSession, rows: int = EXAMPLES, seed: int = 11)
 
 @dataclass
 class Scanner:
-    """A fitted forest."""
+    """A fitted forest, and the language that its features are measured by."""
 
     forest: RandomForestClassificationModel
+    language: Language
 
 
-def fit(findings: DataFrame, rows: int = 100_000) -> Scanner:
+def fit(findings: DataFrame, language: Language, rows: int = 100_000) -> Scanner:
     """Learns from labelled findings (candidate, before, after, label 0 or 1), about `rows` of them at most; rows without a candidate or label aren't learnt from."""
     known = findings.where("candidate is not null and candidate <> '' and label is not null").select("candidate", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("double").alias("label"))
     share = min(1.0, rows / max(known.count(), 1))
     known = known.where(F.pmod(F.xxhash64("candidate", "before"), F.lit(1_000_000)) < int(share * 1_000_000))
-    table = written(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(known)).select("features", "label"), "findings")
-    return Scanner(RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=5).fit(table.coalesce(4)))
+    table = written(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(known, language)).select("features", "label"), "findings")
+    return Scanner(RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=5).fit(table.coalesce(4)), language)
 
 
 def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
@@ -205,7 +274,7 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
     start counts characters from 0; masked shows the first four characters only. Null, empty and candidate-free texts
     have no rows; rows that repeat have theirs again. Other columns are not read. An empty table gives an empty result.
     """
-    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(docs, id_col, text_col)))
+    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(docs, id_col, text_col), scanner.language))
     out = scanner.forest.transform(table.select("doc_id", "start", "candidate", "features"))
     return out.select(
         "doc_id", "start", F.length("candidate").cast("long").alias("length"), F.concat(F.substring("candidate", 1, 4), F.lit("***")).alias("masked"), F.sha2(F.col("candidate"), 256).alias("candidate_sha256"),
