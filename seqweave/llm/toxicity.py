@@ -89,7 +89,7 @@ def _person() -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray, lexicons: list[Lexicon], which: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each text; which: the lexicon that serves each text."""
+    """A row of FEATURES for each text; which: the lexicon that serves each text. Rates are by words or by characters; capitals are those of Latin-1."""
     n = len(offsets) - 1
     units = Units(data, offsets)
     weight = np.zeros(len(units.starts))
@@ -114,7 +114,10 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicons: list[Lexicon], whi
         np.maximum.at(most, units.owner[at], weight[at])
         pair = np.unique(np.stack([units.owner[at].astype(np.uint64), mix(weight[at].view(np.uint64))], 1), axis=0)
         kinds = np.bincount(pair[:, 0].astype(np.int64), minlength=n).astype(float)
+    head = (data & 0xC0) != 0x80  # the first byte of each character
     upper = (data >= 0x41) & (data <= 0x5A)
+    accent = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97))  # capitals of Latin-1, two bytes each
+    upper[accent] = upper[accent + 1] = True
     letter = upper | ((data >= 0x61) & (data <= 0x7A)) | (data >= 0x80)
     digit = (data >= 0x30) & (data <= 0x39)
     punct = (data > 0x20) & (data < 0x7F) & ~letter & ~digit
@@ -122,17 +125,18 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicons: list[Lexicon], whi
     before[1:] = letter[:-1]
     after = np.zeros(len(data), bool)
     after[:-1] = letter[1:]
-    ups = np.concatenate([[0], np.cumsum(upper)])
-    shout = (ups[units.ends] - ups[units.starts] == units.ends - units.starts) & (units.ends - units.starts > 2)
+    ups, places = np.concatenate([[0], np.cumsum(upper)]), np.concatenate([[0], np.cumsum(head)])
+    length = places[units.ends] - places[units.starts]  # of words, in characters
+    shout = (ups[units.ends] - ups[units.starts] == units.ends - units.starts) & (length > 2)
     again = np.zeros(len(data), bool)
-    again[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:]
+    again[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] < 0x80) & letter[2:]
     words = np.maximum(np.diff(units.bounds), 1).astype(float)
-    size = np.maximum(np.diff(offsets), 1).astype(float)
+    size = np.maximum(chars(head), 1)
     hits, near_hits, sum_weight = total(hit.astype(float)), total(near.astype(float)), total(weight)
     return np.stack(
         [
             hits / words, sum_weight / words, np.log1p(hits), kinds, most, np.log1p(sum_weight), near_hits / words, np.log1p(near_hits), total(person.astype(float)) / words,
-            chars(upper) / size, total(shout.astype(float)) / words, chars((data == 0x21) | (data == 0x3F)) / size, chars(punct) / size, chars((digit | punct) & before & after) / size, chars(digit) / size, chars(again) / size, np.log1p(words), total((units.ends - units.starts).astype(float)) / words,
+            chars(upper & head) / size, total(shout.astype(float)) / words, chars((data == 0x21) | (data == 0x3F)) / size, chars(punct) / size, chars((digit | punct) & before & after) / size, chars(digit) / size, chars(again) / size, np.log1p(words), total(length.astype(float)) / words,
         ],
         axis=1,
     )

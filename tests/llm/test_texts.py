@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,43 @@ def test_rows_without_ids_are_drawn_one_by_one(spark, monkeypatch, text, repeate
 # --- toxicity -------------------------------------------------------------------------------------------------------------
 
 
+def brute_features(text, lexicon):
+    """FEATURES of one text by hand; lexicon: weights of whole words."""
+    plain = {**{c: c for c in "abcdefghijklmnopqrstuvwxyz"}, **dict(zip("0134578@$", "oieastbas", strict=True))}
+    norm = "".join(plain.get(c.lower() if c.isascii() else c, c if ord(c) > 127 else " ") for c in text)
+    at = [m.span() for m in re.finditer(r"[^ ]+", norm)]
+    words = [norm[a:b] for a, b in at]
+    weight = [lexicon.get(w, 0) for w in words]
+    person = [w in toxicity.SECOND_PERSON for w in words]
+    near = [weight[i] > 0 and any(person[max(0, i - 5) : i] + person[i + 1 : i + 6]) for i in range(len(words))]
+    capital = lambda c: "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×"
+    letter = lambda c: c.isascii() and c.isalpha() or ord(c) > 127
+    digit = lambda c: c.isascii() and c.isdigit()
+    punct = lambda c: " " < c < "\x7f" and not c.isalnum()
+    n, size, own = max(1, len(words)), max(1, len(text)), [text[a:b] for a, b in at]
+    inside = sum((digit(text[i]) or punct(text[i])) and letter(text[i - 1]) and letter(text[i + 1]) for i in range(1, len(text) - 1))
+    again = sum(text[i].isascii() and text[i].isalpha() and text[i] == text[i - 1] == text[i - 2] for i in range(2, len(text)))
+    hits = sum(w > 0 for w in weight)
+    return [
+        hits / n, sum(weight) / n, math.log1p(hits), len({w for w in weight if w > 0}), max(weight, default=0), math.log1p(sum(weight)), sum(near) / n, math.log1p(sum(near)), sum(person) / n,
+        sum(map(capital, text)) / size, sum(len(w) > 2 and all(map(capital, w)) for w in own) / n, sum(c in "!?" for c in text) / size, sum(map(punct, text)) / size, inside / size, sum(map(digit, text)) / size, again / size, math.log1p(n), sum(map(len, words)) / n,
+    ]
+
+
+def test_features_equal_a_computation_by_hand():
+    r = random.Random(8)
+    bits = ["you", "Your", "id1ot", "IDIOT", "fool", "f00l", "ÉCOLE", "école", "THE", "the", "sooo", "a.b", "x2y", "日本", "vous", "!!", "42", "?", "ÀÉ×", "naïve", "trash", ",", "\n"]
+    texts = ["", "!!!", "one"] + [" ".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(60)] + ["you " * 30_000 + "fool"]
+    lexicon = {"idiot": 2.0, "fool": 3.5, "trash": 1.75}
+    hashes = {w: toxicity.Units(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hashes[0][0] for w in lexicon}
+    order = sorted(lexicon, key=lambda w: hashes[w])
+    made = toxicity.Lexicon(np.array([hashes[w] for w in order], np.uint64), np.array([lexicon[w] for w in order]))
+    data = [t.encode() for t in texts]
+    got = toxicity.features(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]), [made], np.zeros(len(texts), int))
+    for t, row in zip(texts, got, strict=True):
+        assert dict(zip(toxicity.FEATURES, row.tolist(), strict=True)) == pytest.approx(dict(zip(toxicity.FEATURES, brute_features(t, lexicon), strict=True))), t[:80]
+
+
 @pytest.fixture(scope="module")
 def toxic_table(spark):
     r = random.Random(3)
@@ -252,12 +290,13 @@ def toxic_table(spark):
 
 
 def test_held_out_accuracy(spark, toxic_table):
-    docs = spark.createDataFrame([(i, t, 0.0) for i, t, _ in toxic_table] + [(5000, None, 0.0), (5001, "", 0.0), (0, toxic_table[0][1], 0.0), (None, "x", 0.0)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(i, t, 0.0) for i, t, _ in toxic_table] + [(5000, None, 0.0), (5001, "", 0.0), (0, toxic_table[0][1], 0.0), (None, "x", 0.0), (5002, "grubfoo " * 40_000, 0.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, y, 1) for i, _, y in toxic_table] + [(1, None, 1), (None, 1, 1), (9999, 1, 1)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(docs, labels, ~toxicity.held_out(F.col("doc_id")))
     scored = toxicity.scored(docs, model)
     assert scored.columns == ["doc_id", "score", "predicted"] and scored.count() == docs.count()
     rows = scored.withColumn("out", toxicity.held_out(F.col("doc_id"))).collect()
+    assert {r["out"] for r in rows if r["doc_id"] is None} == {False} and all(0 <= r["score"] <= 1 for r in rows)
     truth = {i: y for i, _, y in toxic_table}
     held = [(truth[r["doc_id"]], r["predicted"]) for r in rows if r["out"] and r["doc_id"] in truth]
     assert sum(a == b for a, b in held) >= 0.95 * len(held) and len(held) > 200
