@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kmers import BLOCK, sequence_bytes, small_batches
+from ..arrow import raw, small_batches
+from .kmers import BLOCK
 
 
 def _scores(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The score and the length of each sequence, block by block."""
-    data, offsets = sequence_bytes(seqs)
+    data, offsets = raw(seqs)
     n = np.diff(offsets)
     out, at = np.zeros(len(n), np.int64), 0
     while at < len(n):

@@ -7,37 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import raw, small_batches
 from ..functions.sequences import canonical_code
-from ..session import ship
 
-#: Rows of an Arrow batch and bases of a block, so that a worker's memory is bounded by the longest read.
-BATCH_ROWS, BLOCK = 1000, 1 << 19
+#: Bases of a block, so that a worker's memory is bounded by the longest read.
+BLOCK = 1 << 19
 #: Code of a byte; 4 is no nucleotide.
 _CODE = np.full(256, 4, np.uint8)
 for _k, _c in enumerate("ACTG"):
     _CODE[[ord(_c), ord(_c.lower())]] = _k
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch and lets workers import the kernels."""
-    ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def sequence_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all strings and the strings' offsets; null strings are empty."""
-    if isinstance(arr, pa.ChunkedArray):
-        arr = arr.combine_chunks()
-    arr = pc.fill_null(arr.cast(pa.large_string()), "")
-    off = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1] if len(arr) else np.zeros(1, np.int64)
-    data = np.frombuffer(arr.buffers()[2], np.uint8) if len(arr) and arr.buffers()[2] is not None and arr.buffers()[2].size else np.zeros(0, np.uint8)
-    return data[off[0] : off[-1]], off - off[0]
-
-
 def canonical_codes(data: np.ndarray, k: int) -> np.ndarray:
     """The canonical code of the k-mer at each byte, -1 where it holds another character or ends beyond the bytes.
 
@@ -77,7 +60,7 @@ def _kmers(k: int, keys: list[str]):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
                 part = batch.slice(at, to - at)
                 at = to
-                data, offsets = sequence_bytes(part.column("seq"))
+                data, offsets = raw(part.column("seq"))
                 n = np.diff(offsets)
                 count = np.maximum(n - k + 1, 0)
                 total = np.cumsum(count)

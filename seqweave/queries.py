@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import sequences as sq
 from .operators import complexity, counter, index, kmers, linker, readsets, runs
 from .plans import convert, formats
-from .session import file_system, shared_base
+from .session import file_system, run_folder
 from .sources import results
 from .sources.reads import count_reads, read_album, read_sets, text_reads
 
@@ -322,7 +322,7 @@ _register("edge_prefix_suffix", f"{SELF} SELECT query_id, target_id, {_meets(5)}
 
 
 def _folder(s: SparkSession, name: str) -> str:
-    return f"{shared_base(s)}/seqweave/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(s)}/{name}-{uuid.uuid4().hex}"
 
 
 def _indexed(s: SparkSession, d: str) -> DataFrame:

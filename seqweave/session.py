@@ -60,3 +60,14 @@ def shared_base(spark: SparkSession) -> str:
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="seqweave-")
     return _own[app]
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder for tables between jobs, below shared_base()."""
+    return f"{shared_base(spark)}/seqweave/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes this application's tables between jobs. Results that haven't been written by then are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

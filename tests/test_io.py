@@ -6,7 +6,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from seqweave import cli
+from seqweave import cli, session
 from seqweave.functions import sequences as sq
 from seqweave.operators import index, linker
 from seqweave.plans import convert, formats
@@ -48,6 +48,14 @@ def test_pieces_of_a_file(spark, tmp_path):
     assert [tuple(r) for r in reads.count_reads(got).collect()] == [("s", 5)]
 
 
+def test_shared_folder(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_base", lambda _: "file://" + str(tmp_path))
+    assert session.run_folder(spark).startswith(f"file://{tmp_path}/seqweave/")
+    spark.range(3).write.parquet(session.run_folder(spark) + "/t")
+    session.drop_tables(spark)
+    assert (tmp_path / "seqweave").exists() and not (tmp_path / "seqweave" / spark.sparkContext.applicationId).exists()
+
+
 def test_text_adapter(spark):
     frame = spark.createDataFrame([(1, "Abc, xyz! É"), (2, None)], "i long, t string")
     assert [r["seq"] for r in reads.text_reads(frame, F.col("i"), F.col("t")).orderBy("read_id").collect()] == ["ACCAAC", ""]
