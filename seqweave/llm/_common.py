@@ -9,14 +9,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_base, ship
+from ..arrow import raw, small_batches
+from ..session import run_folder
+
+__all__ = ["blocks", "give_back", "held", "joined_by_group", "raw", "row_key", "sent", "shared_dir", "small_batches", "tidy", "without", "written"]
 
-#: Rows of an Arrow batch, so that a batch of long texts stays within a worker's memory.
-BATCH_ROWS = 1000
 #: Bytes of text that a kernel works on at once.
 BLOCK_BYTES = 1 << 19
 #: Keys that are broadcast at most.
@@ -56,12 +56,12 @@ def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which a session on a cluster must name."""
-    base = shared_base(spark)
+    base = run_folder(spark)
     if "://" not in base:  # the file system that Spark takes it to be on, spelt out for Python workers
         path = spark._jvm.org.apache.hadoop.fs.Path(base)
         base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
         base = base.replace("file:/", "file:///", 1) if "://" not in base else base
-    return f"{base.rstrip('/')}/seqweave/{name}-{uuid.uuid4().hex}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -104,28 +104,6 @@ def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, count: str = "
     return marked.where("__large").drop("__large").unionByName(rest)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches at BATCH_ROWS rows and lets workers import the kernels."""
-    ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string or binary array and the offsets of its rows; null rows are empty."""
-    if isinstance(arr, pa.ChunkedArray):
-        arr = arr.combine_chunks()
-    if arr.null_count:
-        arr = pc.fill_null(arr, b"" if pa.types.is_binary(arr.type) or pa.types.is_large_binary(arr.type) else "")
-    wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
-    buffers = arr.buffers()
-    if not len(arr):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    off = np.frombuffer(buffers[1], np.int64 if wide else np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
-    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
-    return data[off[0] : off[-1]], off - off[0]
-
-
 def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with at most size bytes in the column, or one row."""
     _, off = raw(batch.column(column))
