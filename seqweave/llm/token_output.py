@@ -23,7 +23,7 @@ BLOCK_TOKENS = 1 << 20
 #: pays from here on.
 LEAST = 5
 #: Pairs are counted exactly, but first sieved by the counts of about as many cells (a power of 2, CELL_BITS at most). A
-#: round replaces only pairs that occur at least 1 / STEP times as often as the most frequent (or LEAST times, if that is more).
+#: round replaces only pairs that occur at least 1 / STEP times as often as the fullest cell has pairs (or LEAST times, if that is more).
 CELL_BITS, STEP = 20, 64
 MAGIC = b"SWRePai2"
 NO_ID = -(1 << 63)
@@ -217,16 +217,13 @@ def _cells(key: np.ndarray, bits: int) -> np.ndarray:
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def _chosen(key: np.ndarray, cell: np.ndarray, bits: int, least: int, step: int) -> tuple[np.ndarray, bool]:
-    """The pairs that a round replaces, the most frequent first, and whether these are all that occur least times."""
-    count = np.bincount(cell, minlength=1 << bits)
-    often = np.sort(key[count[cell] >= least])  # a pair of a lesser cell can't occur least times
+def _ranked(key: np.ndarray, floor: int) -> np.ndarray:
+    """The keys that occur at least floor times, the most frequent first."""
+    often = np.sort(key)
     first = np.flatnonzero(np.concatenate([[True], often[1:] != often[:-1]])) if len(often) else np.zeros(0, np.int64)
     times = np.diff(np.append(first, len(often)))
-    floor = max(least, int(times.max(initial=0)) // step)
     some = np.flatnonzero(times >= floor)
-    some = some[np.argsort(-times[some], kind="stable")]
-    return often[first[some]], floor == least
+    return often[first[some[np.argsort(-times[some], kind="stable")]]]
 
 
 def compress(ids: np.ndarray, offsets: np.ndarray, vocab: int, least: int = LEAST, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -259,12 +256,20 @@ def compress(ids: np.ndarray, offsets: np.ndarray, vocab: int, least: int = LEAS
         key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         bits = min(CELL_BITS, max(8, len(key).bit_length()))
         cell = _cells(key, bits)
-        pairs, all_of_them = _chosen(key, cell, bits, least, step)
+        count = np.bincount(cell, minlength=1 << bits)
+        floor, pairs = max(least, int(count.max(initial=0)) // step), key[:0]
+        while True:
+            full = count[cell] >= floor  # a pair of a lesser cell can't occur so often
+            pairs = _ranked(key[full], floor)
+            if len(pairs) or floor == least:
+                break
+            floor = max(least, floor // 2)  # the fullest cell holds several pairs
         if not len(pairs):
             if not fresh:
                 break
             fresh = 0
             continue
+        at, key, cell = at[full], key[full], cell[full]
         number = np.full(1 << bits, -1, np.int32)
         number[_cells(pairs, bits)[::-1]] = np.arange(len(pairs) - 1, -1, -1)  # of the pairs of a cell the most frequent; others wait
         rank = number[cell]
@@ -288,7 +293,7 @@ def compress(ids: np.ndarray, offsets: np.ndarray, vocab: int, least: int = LEAS
         size = np.concatenate(lengths)
         rules.append(rule)
         lengths = [size, size[rule].sum(1)]
-        fresh = vocab + made if all_of_them else 0
+        fresh = vocab + made if floor == least else 0
         made += len(pairs)
     docs = np.concatenate([[0], np.flatnonzero(last) + 1])
     if len(docs) != len(offsets):  # some document is empty
