@@ -18,13 +18,13 @@ from ._common import blocks, held, raw, shared_dir, small_batches, tidy, written
 from ._words import Hashes
 
 #: Token ids of a grammar at most; a shard of more has several grammars, so that a writer's memory is bounded.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Least count of a pair that is replaced. A rule takes about the bits of four symbols (two symbols and its length), so it
 #: pays from here on.
 LEAST = 5
 #: Pairs are counted exactly, but first sieved by the counts of about as many cells (a power of 2, CELL_BITS at most). A
 #: round replaces only pairs that occur at least 1 / STEP times as often as the fullest cell has pairs (or LEAST times, if that is more).
-CELL_BITS, STEP = 20, 64
+CELL_BITS, STEP = 18, 64
 MAGIC = b"SWRePai2"
 NO_ID = -(1 << 63)
 
