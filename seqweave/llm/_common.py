@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..arrow import raw, small_batches
 from ..session import run_folder
 
-__all__ = ["blocks", "give_back", "held", "joined_by_group", "raw", "row_key", "sent", "shared_dir", "small_batches", "tidy", "without", "written"]
+__all__ = ["blocks", "free_names", "give_back", "held", "joined_by_group", "raw", "row_key", "sent", "shared_dir", "small_batches", "tidy", "without", "written"]
 
 #: Bytes of text that a kernel works on at once.
 BLOCK_BYTES = 1 << 19
@@ -71,6 +71,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that df lacks (in any case), each like the wanted one."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        k = 0
+        while (own := f"__{name}{k or ''}").lower() in taken:
+            k += 1
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """What a row is judged by: its id and 128 bits of its text. Rows with the same key are one document that repeats; a null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))

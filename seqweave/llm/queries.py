@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, toxicity
+from . import manifest, secret_scan, toxicity, url_filter
+from .alignment import aligned
 from .chat import formatted_conversations
 from .decontaminate import contamination, contamination_digest
 from .exact_dedup import exact_duplicates
@@ -135,11 +136,11 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-def tokenizer_path() -> str:
-    """The public byte-level BPE file that the queries use."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file; without a name, the byte-level BPE that the queries use."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @_query
@@ -176,3 +177,73 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     language = secret_scan.learn(docs)
     return secret_scan.scan(docs, secret_scan.fit(secret_scan.made_up_findings(spark, language.words), language))
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its proof, checked against rows of which a third is tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = manifest.leaf(*(tampered if c == "text" else F.col(c) for c in manifest.FIELDS))
+    return manifest.build(docs, now=F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, found)).proofs()
+
+
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+ORACLE_SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_CRC32} AS crc, sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+    sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")))}) AS tampered
+  FROM documents),
+leaves AS (
+  SELECT *, CASE WHEN crc % 3 = 0 THEN tampered ELSE leaf END AS now, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n
+  FROM d),
+nodes AS (
+  SELECT tree, 0 AS level, idx, leaf AS node, n FROM leaves
+  UNION ALL SELECT tree, level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 8, n),
+subroots AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS trees FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place AS idx, subroot AS node, trees AS n FROM subroots
+  UNION ALL SELECT level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, idx // 8, n),
+runs AS (
+  SELECT tree, level, idx // 8 AS up, string_agg(node, '' ORDER BY idx) AS run FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 8),
+top_runs AS (
+  SELECT level, idx // 8 AS up, string_agg(node, '' ORDER BY idx) AS run FROM tops WHERE n > 1 GROUP BY level, idx // 8),
+fold AS (
+  SELECT tree, idx AS id, 0 AS level, idx, now AS folded, '' AS proof FROM leaves
+  UNION ALL
+  SELECT tree, id, level + 1, idx // 8, sha256(substr(run, 1, 64 * own) || folded || substr(run, 64 * own + 65)), proof || substr(run, 1, 64 * own) || substr(run, 64 * own + 65)
+  FROM (SELECT fold.*, run, CAST(fold.idx % 8 AS INT) AS own FROM fold JOIN runs ON fold.tree = runs.tree AND fold.level = runs.level AND fold.idx // 8 = runs.up)),
+half AS (SELECT tree, id, folded, proof FROM fold QUALIFY row_number() OVER (PARTITION BY tree, id ORDER BY level DESC) = 1),
+climb AS (
+  SELECT tree, id, 0 AS level, place AS idx, folded, proof FROM half JOIN subroots USING (tree)
+  UNION ALL
+  SELECT tree, id, level + 1, idx // 8, sha256(substr(run, 1, 64 * own) || folded || substr(run, 64 * own + 65)), proof || substr(run, 1, 64 * own) || substr(run, 64 * own + 65)
+  FROM (SELECT climb.*, run, CAST(climb.idx % 8 AS INT) AS own FROM climb JOIN top_runs ON climb.level = top_runs.level AND climb.idx // 8 = top_runs.up)),
+whole AS (SELECT tree, id, folded, proof FROM climb QUALIFY row_number() OVER (PARTITION BY tree, id ORDER BY level DESC) = 1)
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified
+FROM leaves JOIN whole ON leaves.tree = whole.tree AND leaves.idx = whole.id JOIN subroots ON leaves.tree = subroots.tree, (SELECT node FROM tops WHERE n = 1)
+"""
+
+#: What is known of some hosts and paths.
+RULES = [url_filter.Rule("block", "net"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
+
+
+@_query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages judged by its url: by the rules, and where none fits by a model of labelled URLs."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    out = url_filter.judged(pages, RULES, url_filter.fit(url_filter.labelled_urls(spark)))
+    return out.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"), F.col("url_score").alias("score"))
+
+
+@_query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with the groups and links of its tokens in two vocabularies."""
+    return aligned(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
