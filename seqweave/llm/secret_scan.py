@@ -16,7 +16,11 @@ from ._common import written
 
 #: Names whose values are candidates whatever they look like, and what may stand between a name and its value.
 _NAME = r"(?i:passwords?|passwd|passphrase|passcode|pwd|pass|secrets?|secret_key|token|apikey|api[_-]key|key|auth|authorization|bearer|credentials?|private|access)"
-_TO = r"[\"'`\]]{0,2}\s{0,3}(?:=>|:=|[:=]{1,3})\s{0,3}"
+_TO = r"[\"'`\]*]{0,2}\s{0,3}(?:=>|:=|[:=]{1,3})\s{0,3}"
+#: Characters of a bare value, the first (no sign of assignment) and the last (no full stop and no colon, which end a sentence or a part of one).
+_BARE, _FIRST, _LAST = r"[^\s\"'`,;&<>()\[\]{}]", r"[^\s\"'`,;&<>()\[\]{}:=]", r"[^\s\"'`,;&<>()\[\]{}.:]"
+#: Characters of what follows Bearer or Basic; it has a digit, an equals sign, a capital behind a small letter, or 16 characters.
+_TOKEN = r"[A-Za-z0-9._~+/-]"
 #: What a candidate is, at each place the first of: the path of a Slack webhook; a token of dotted parts behind its issuer's
 #: prefix; a quoted or bare value of a secret's name; what follows Bearer or Basic; password or user of a URL; 16 or more
 #: characters of keys in a row, not inside a longer word (a part of a path or a dotted name counts for itself).
@@ -24,14 +28,18 @@ _TO = r"[\"'`\]]{0,2}\s{0,3}(?:=>|:=|[:=]{1,3})\s{0,3}"
 CANDIDATE = (
     r"(?<![A-Za-z0-9])(?:(?<=hooks\.slack\.com/services/)[A-Za-z0-9/_-]++"
     r"|(?<![A-Za-z0-9])(?:eyJ[A-Za-z0-9_-]++|ya29|SG)(?:\.[A-Za-z0-9_-]++){1,8}+"
-    rf"|(?<=[\"'`])(?<={_NAME}{_TO}[\"'`])[^\"'`\r\n]++"
-    rf"|(?<=[:=>\s])(?<=[:=>]|[:=>]\s{1,3})(?<={_NAME}{_TO})(?!(?i:bearer|basic)\s)[^\s\"'`,;&<>()\[\]{{}}:=][^\s\"'`,;&<>()\[\]{{}}]*+(?<![.:])"
-    r"|(?<=[Bb]earer\s|BEARER\s|[Bb]asic\s)(?=[A-Za-z0-9._~+/-]*+[0-9=])[A-Za-z0-9._~+/-]++={0,2}+(?<!\.)"
+    + "".join(f"|(?<={q})(?<={_NAME}{_TO}{q})[^{q}\\r\\n]++" for q in ('"', "'", "`"))
+    + rf"|(?<=[:=>]|[:=>\srRcC]\s)(?:(?<=[:=>]|[:=>]\s{{1,3}})(?<={_NAME}{_TO})(?!(?i:bearer|basic)\s){_FIRST}(?:{_BARE}*{_LAST})?"
+    + rf"|(?<=[rRcC]\s{{1,3}})(?<=(?i:bearer|basic)\s{{1,3}})(?=[A-Za-z._~+/-]*+[0-9]|{_TOKEN}*+=|{_TOKEN}*?[a-z][A-Z]|{_TOKEN}{{16}}){_TOKEN}*[A-Za-z0-9_~+/-]={{0,2}}+)"
     r"|(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/@]++(?=@)|(?<=://)[^\s/:@]++(?=@)"
     r"|(?:(?<![A-Za-z0-9+/_.@-])(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{16,}+|(?<=[.@/])(?=[+_-]*+[A-Za-z0-9])[A-Za-z0-9+_-]{16,}+)={0,2}+)"
 )
 #: Characters before and after a candidate that features see; a finding counts from this score on; made-up training rows.
-CONTEXT, CUT, EXAMPLES = 40, 0.5, 13_500
+CONTEXT, CUT, EXAMPLES = 40, 0.5, 15_000
+#: Marks around candidates, of which texts are rid first, and characters of the stretches that a text is cut into to be looked up by place.
+_OPEN, _CLOSE, STRETCH = "\x01", "\x02", 4096
+#: Elements whose sums are made at a time.
+CHUNK = 256
 TREES, DEPTH = 24, 7
 
 #: Words that names of keys are followed by, and words of numbers and digests that are no secrets.
@@ -47,7 +55,7 @@ LETTERS = 27
 FEATURES = [
     "length", "digit_share", "upper_share", "lower_share", "sign_share", "hex", "digits_only", "transitions", "letter_digit", "case_change", "longest_run", "distinct_share",
     "dictionary", "vowel_share", "has_slash", "dashes", "after_slash", "after_scheme", "extension", "quoted", "assigned", "secret_word", "harmless_word", "prefix",
-    "password_word", "user_info", "dots", "webhook", "blanks", "letter_model", "placeholder",
+    "password_word", "user_info", "dots", "webhook", "blanks", "letter_model", "placeholder", "auth_scheme",
 ]
 #: Beginnings that issuers of keys use.
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abp]-|AIza|ya29|SG\\.|eyJ|npm_|hf_"
@@ -91,25 +99,38 @@ def learn(docs: DataFrame, text_col: str = "text") -> Language:
     return Language(bytes(held), tuple(round(math.log2(n / rows[k // LETTERS]), 4) for k, n in enumerate(table)), words)
 
 
+def _sums(x: Column) -> Column:
+    """For each number of an array the sum of those before it; in chunks, since an array grows by copying."""
+    grown = lambda y: F.aggregate(y, F.array(F.lit(0).cast("long")), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+    chunks = F.transform(F.sequence(F.lit(0), F.expr("int((size(sizes) - 1) div " + str(CHUNK) + ")")), lambda c: grown(F.slice(x, c * CHUNK + 1, F.lit(CHUNK))))
+    before = grown(F.transform(chunks, lambda y: F.element_at(y, -1)))
+    return F.flatten(F.zip_with(chunks, F.slice(before, F.lit(1), F.size(before) - 1), lambda y, b: F.transform(F.slice(y, F.lit(1), F.size(y) - 1), lambda v: v + b)))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, candidate, before, after): every candidate of every text, start in characters from 0."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE))
-    # pieces that end with a candidate: their lengths give the places
-    piece = F.lit(rf"(?s)\G.*?({CANDIDATE})")  # each goes on where the last one ended, so what follows the last is read once
-    found = base.withColumn("pieces", F.regexp_extract_all("text", piece, F.lit(0))).withColumn("tails", F.regexp_extract_all("text", piece, F.lit(1)))
-    ends = F.aggregate("pieces", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    found = found.withColumn("ends", F.slice(ends, 2, F.size("pieces")))
-    spots = F.zip_with("tails", "ends", lambda c, e: F.struct(c.alias("candidate"), e.alias("end")))
-    near = F.transform(
-        spots,
-        lambda x: F.struct(
-            (x["end"] - F.length(x["candidate"])).alias("start"),
-            x["candidate"].alias("candidate"),
-            F.substring("text", F.greatest(F.lit(1), x["end"] - F.length(x["candidate"]) - CONTEXT + 1), F.least(F.lit(CONTEXT), x["end"] - F.length(x["candidate"]))).alias("before"),
-            F.substring("text", x["end"] + 1, F.lit(CONTEXT)).alias("after"),
-        ),
-    )
-    return found.select("doc_id", F.explode(near).alias("x")).select("doc_id", F.col("x.start").cast("long").alias("start"), "x.candidate", "x.before", "x.after")
+    """(doc_id, start, candidate, before, after): every candidate of every text, start in characters from 0.
+
+    One pass of the pattern sets marks around the candidates; the lengths of what lies between marks give the places.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = F.regexp_replace(F.translate("text", _OPEN + _CLOSE, "\x03\x03"), F.lit(CANDIDATE), F.lit(f"{_OPEN}$0{_CLOSE}"))
+    found = base.withColumn("parts", F.split(marked, _OPEN))
+    found = found.withColumn("sizes", F.transform("parts", lambda x: F.length(x).cast("long"))).withColumn("own", F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))))
+    some = F.size("own") > 0
+    found = found.withColumn("sums", F.when(some, F.slice(_sums(F.col("sizes")), F.lit(2), F.size("own"))))
+    found = found.withColumn("stretches", F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))))
+    # the sum before a part counts the closing marks of the parts before it
+    place = F.transform("own", lambda x, k: F.struct((F.get("sums", k) - k).cast("int").alias("start"), (F.instr(x, _CLOSE) - 1).alias("size")))
+
+    def near(x: Column) -> Column:
+        first = F.greatest(x["start"] - CONTEXT, F.lit(0))
+        low = F.floor(first / STRETCH).cast("int")
+        wide = F.array_join(F.slice("stretches", low + 1, F.floor((x["start"] + x["size"] + CONTEXT) / STRETCH).cast("int") - low + 1), "")
+        at = x["start"] - low * STRETCH
+        return F.struct(x["start"].alias("start"), F.substring(wide, at + 1, x["size"]).alias("candidate"), F.substring(wide, first - low * STRETCH + 1, x["start"] - first).alias("before"), F.substring(wide, at + x["size"] + 1, F.lit(CONTEXT)).alias("after"))
+
+    found = found.select("doc_id", F.explode(F.transform(place, near)).alias("x"))
+    return found.select("doc_id", F.col("x.start").cast("long").alias("start"), "x.candidate", "x.before", "x.after")
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -173,6 +194,7 @@ def with_features(found: DataFrame, language: Language) -> DataFrame:
             "blanks": _count(c, r"\s"),
             "letter_model": _letter_model(c, language),
             "placeholder": flag(c.rlike(r"(?i)your|example|changeme|placeholder|dummy|sample|insert|(?:^|[^a-z])(?:here|todo|test|fake|none|null)(?:$|[^a-z])|x{4}|\*{3}|\.{3}|^[$%<{]")),
+            "auth_scheme": flag(F.col("before").rlike(r"(?i)(?:authorization\W{1,4}|^|[^a-z])(?:bearer|basic)\s+$")),
             "prefix": flag(c.rlike(f"^(?:{PREFIXES})")),
         }
     )
@@ -215,6 +237,8 @@ def made_up_findings(spark: SparkSession, words: tuple[str, ...] = (), rows: int
         (1, assigned, cut(mixed, size("n", [8, 10, 12, 14]))),
         (1, assigned, F.concat_ws(" ", pick("w5", parts), pick("w6", parts), pick("w7", parts), pick("w8", parts))),
         (1, prose("p"), F.concat(F.lit("AKIA"), cut(upper, F.lit(16))), pick("a2", [".Next", ". And", ".", ".\n"])),
+        (1, F.concat(prose("p"), pick("ab", ["Authorization: Bearer ", "authorization: bearer ", "Bearer ", "Authorization: Basic ", "-H 'Authorization: Bearer "])), F.when(pick("y", ["0", "1"]) == "0", cut(mixed, size("n", [10, 12, 16, 20, 24, 32]))).otherwise(cut(text("x"), size("n", [12, 16, 20, 24, 32])))),
+        (0, F.concat(prose("p"), pick("ab", ["basic ", "Basic ", "a basic ", "the bearer "])), F.concat(pick("w1", common), pick("q5", ["-", "", "2", "3D"]), pick("w2", common), cut(digits, size("n", [1, 2])))),
         (0, F.concat(prose("p"), pick("u", ["https", "ftp", "ssh", "http"]), F.lit("://")), pick("v", ["git", "admin", "root", "user", "anonymous", "deploy"]), F.concat(F.lit("@"), pick("o", hosts))),
         (0, F.concat(prose("p"), pick("s3", SECRET_WORDS), pick("e3", [": ", "=", " = ", " := "])), pick("w9", ["the", "value", "true", "false", "null", "None", "undefined", "required", "string", "str", "is", "a", "see", "below", "public", "read", "1", "0", "$PASSWORD", "os.environ", "getenv", "process.env.TOKEN", "changeme", "example", "***", "xxxxxxxx", "your-password", "hidden", "not", "and"])),
         (0, F.concat(prose("p"), pick("s4", ["password", "token", "secret", "key", "pass"]), pick("e3", [": ", "=", ' = "', "='"])), F.concat(pick("w1", common), pick("q2", ["", "_", "-", " "]), pick("w2", common))),
@@ -271,12 +295,12 @@ def fit(findings: DataFrame, language: Language, rows: int = 100_000) -> Scanner
 def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """(doc_id, start, length, masked, candidate_sha256, score, secret): one row for each candidate of each row of docs.
 
-    start counts characters from 0; masked shows the first four characters only. Null, empty and candidate-free texts
+    start counts characters from 0; masked shows the first third, four characters at most. Null, empty and candidate-free texts
     have no rows; rows that repeat have theirs again. Other columns are not read. An empty table gives an empty result.
     """
     table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(docs, id_col, text_col), scanner.language))
     out = scanner.forest.transform(table.select("doc_id", "start", "candidate", "features"))
     return out.select(
-        "doc_id", "start", F.length("candidate").cast("long").alias("length"), F.concat(F.substring("candidate", 1, 4), F.lit("***")).alias("masked"), F.sha2(F.col("candidate"), 256).alias("candidate_sha256"),
+        "doc_id", "start", F.length("candidate").cast("long").alias("length"), F.concat(F.substring(F.col("candidate"), F.lit(1), F.least(F.lit(4), F.floor(F.length("candidate") / 3).cast("int"))), F.lit("***")).alias("masked"), F.sha2(F.col("candidate"), 256).alias("candidate_sha256"),
         F.round(vector_to_array("probability")[1], 6).alias("score"), (vector_to_array("probability")[1] >= cut).alias("secret"),
     )

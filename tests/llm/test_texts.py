@@ -443,3 +443,67 @@ def test_planted_secrets_of_other_shapes_are_found(spark, scanner):
     want = [(i, t.index(s), hashlib.sha256(s.encode()).hexdigest()) for i, (t, s) in enumerate(planted)]
     assert [w[0] for w in want if w not in found] == []
     assert [(planted[w[0]][1], found[w]) for w in want if not found[w][0]] == []
+
+
+#: Texts whose secret once was no candidate, and where it is.
+ONCE_LOST = [
+    ("password: Sommer2024!", "Sommer2024!"), ("pwd: ab1", "ab1"), ("db_password: s3cr3tPa55, next", "s3cr3tPa55"), ("password = hunter2x now", "hunter2x"), ("token=a1b2c3d4e5.", "a1b2c3d4e5"),
+    ("password=Zk3vT8qLw1.", "Zk3vT8qLw1"), ("Authorization: Bearer abc123def456", "abc123def456"), ("Basic dXNlcjpwYXNz", "dXNlcjpwYXNz"), ("**password**: q1w2e3r4", "q1w2e3r4"), ('secret: "it\'s 4 me"', "it's 4 me"),
+    ("a\x01b token: x\x02y\x019z end", "x\x02y\x019z"),
+]
+
+
+def test_candidates_behind_blanks_signs_and_before_full_stops(spark):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(ONCE_LOST)], "doc_id long, text string")
+    got = {(r["doc_id"], r["start"], r["candidate"]) for r in secret_scan.candidates(docs).collect()}
+    assert {(k, t.index(x), x) for k, (t, x) in enumerate(ONCE_LOST)} <= got
+
+
+def planted(n: int, seed: int):
+    """(text, start, secret): secrets in prose, in their usual settings, by a plain writer that knows nothing of the pattern."""
+    r = random.Random(seed)
+    letters, out = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", []
+    words = PROSE.split()
+    settings = ["password: {}", "pwd = {}", "DB_PASSWORD={}", "token: {}", "api_key={}.", "secret='{}'", 'password = "{}"', "passwd: {}, and", "Authorization: Bearer {}", "Authorization: Basic {}", "https://admin:{}@host.example.org/x", "access_token={}&b=1", "\"client_secret\": \"{}\"", "the token `{}`"]
+    while len(out) < n:
+        x = "".join(r.choice(letters) for _ in range(r.choice([10, 12, 14, 16, 20, 24, 32, 40])))
+        if not (any(c.isdigit() for c in x) and any(c.isupper() for c in x)):
+            continue
+        setting = r.choice(settings)
+        if "`" in setting and len(x) < 16:
+            continue
+        before = " ".join(r.choice(words) for _ in range(r.randint(0, 30))) + r.choice([" ", "\n", ". "])
+        text = before + setting.format(x) + " " + " ".join(r.choice(words) for _ in range(r.randint(0, 30)))
+        out.append((text, text.index(x), x))
+    return out
+
+
+def test_planted_secrets_are_candidates_and_findings(spark, scanner):
+    known = planted(500, 21)
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(known)], "doc_id long, text string")
+    want = {(k, at, x) for k, (_, at, x) in enumerate(known)}
+    assert want <= {(r["doc_id"], r["start"], r["candidate"]) for r in secret_scan.candidates(docs).collect()}
+    hits = {(r["doc_id"], r["start"]) for r in secret_scan.scan(docs, scanner).where("secret").collect()}
+    found = sum((k, at) in hits for k, at, _ in want)
+    wrong = len(hits - {(k, at) for k, at, _ in want})
+    print("found", found, "wrong", wrong)
+    assert found >= 0.95 * len(want) and wrong <= 5
+
+
+def test_masked_values_show_a_third_at_most(spark, scanner):
+    docs = spark.createDataFrame([(k, "password: " + "x7Qk2Z9w1B4m8T"[: k + 1]) for k in range(14)], "doc_id long, text string")
+    got = secret_scan.scan(docs, scanner).collect()
+    assert len(got) == 14
+    for r in got:
+        shown = len(r["masked"].removesuffix("***"))
+        assert shown <= r["length"] / 3 and shown <= 4
+
+
+def test_many_candidates_of_one_text_keep_their_places(spark):
+    """More candidates than sums are made at a time, beyond the stretches that a text is cut into, and a candidate that is longer than one."""
+    import regex
+
+    text = "é token: " + "aB3" * 4000 + " " + "".join(f"ü{'.' * (k % 7)} pwd=k{k}Q9 " for k in range(1500))
+    got = secret_scan.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    want = [(m.start(), m.group(), text[max(0, m.start() - secret_scan.CONTEXT) : m.start()], text[m.end() : m.end() + secret_scan.CONTEXT]) for m in regex.finditer(secret_scan.CANDIDATE, text)]
+    assert sorted((r["start"], r["candidate"], r["before"], r["after"]) for r in got) == want and len(want) > 1500
