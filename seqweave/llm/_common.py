@@ -11,16 +11,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..arrow import raw, small_batches
 from ..session import run_folder
 
-__all__ = ["blocks", "free_names", "give_back", "held", "joined_by_group", "raw", "row_key", "sent", "shared_dir", "small_batches", "tidy", "without", "written"]
+__all__ = ["blocks", "fits", "free_names", "give_back", "held", "joined_by_group", "raw", "row_key", "sent", "shared_dir", "small_batches", "tidy", "without", "written"]
 
 #: Bytes of text that a kernel works on at once.
 BLOCK_BYTES = 1 << 19
-#: Keys that are broadcast at most.
-BROADCAST = 200_000
+#: Keys that are broadcast at most, and their bytes.
+BROADCAST, BROADCAST_BYTES = 200_000, 64 << 20
 #: Rows of a group from which on it is joined by broadcast, and such groups at most.
 LARGE_GROUP, MOST_GROUPS = 200, 100_000
 #: What a worker keeps between tasks, by kind of kernel.
@@ -89,31 +90,53 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(17), text)))
 
 
-def sent(small: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """A written table, marked for broadcast if it has at most so many rows."""
-    return F.broadcast(small) if small.count() <= most else small
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 8 a number, 16 and its bytes a string or list."""
+
+    def one(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        return F.lit(8)
+
+    return sum((one(f) for f in df.schema.fields), F.lit(0)).cast("long")
+
+
+def fits(small: DataFrame, most: int | None = None) -> bool:
+    """Whether a written table is small enough to be broadcast, by rows and bytes."""
+    row = small.agg(F.count("*").alias("rows"), F.coalesce(F.sum(_bytes(small)), F.lit(0)).alias("bytes")).first()
+    return row["rows"] <= (BROADCAST if most is None else most) and row["bytes"] <= BROADCAST_BYTES
+
+
+def sent(small: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows (BROADCAST if not given) and BROADCAST_BYTES."""
+    return F.broadcast(small) if fits(small, most) else small
 
 
 def without(docs: DataFrame, id_col: str, text_col: str, rejected) -> DataFrame:
     """docs, all columns, without the rows whose key is in rejected(docs with the key, name of the key). Each row is judged by its own text."""
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    gone = written(rejected(keyed, "__key").distinct(), "rejected")
-    return keyed.join(sent(gone), "__key", "left_anti").select(docs.columns)
+    (key,) = free_names(docs, "key")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    gone = written(rejected(keyed, key).distinct(), "rejected")
+    return keyed.join(sent(gone), key, "left_anti").select(docs.columns)
 
 
 def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, count: str = "n", how: str = "inner") -> DataFrame:
-    """rows.join(groups, key, how) of written tables, groups having one row a key and the number of its rows: the rows of large groups meet in no task.
+    """rows.join(groups, key, how) of written tables, groups having one row a key (of fixed size) and the number of its rows: the rows of large groups meet in no task.
 
     Few groups are broadcast. Of many, those of more than LARGE_GROUP rows (or a MOST_GROUPS-th of all rows, so that they
     are that few) are broadcast, and only the rows of others are shuffled.
     """
-    if groups.count() <= BROADCAST:
+    if fits(groups):
         return rows.join(F.broadcast(groups), key, how)
     limit = max(LARGE_GROUP, int(groups.agg(F.sum(count)).first()[0] // MOST_GROUPS))
-    large = groups.where(F.col(count) > limit).withColumn("__large", F.lit(True))
+    (mark,) = free_names(rows, "large")
+    large = groups.where(F.col(count) > limit).withColumn(mark, F.lit(True))
     marked = rows.join(F.broadcast(large), key, "left")
-    rest = marked.where("__large is null").select(rows.columns).join(groups.where(F.col(count) <= limit), key, how)
-    return marked.where("__large").drop("__large").unionByName(rest)
+    rest = marked.where(F.col(mark).isNull()).select(rows.columns).join(groups.where(F.col(count) <= limit), key, how)
+    return marked.where(F.col(mark)).drop(mark).unionByName(rest)
 
 
 def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

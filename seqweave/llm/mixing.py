@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import fits, free_names, joined_by_group, written
 
 #: Target weights are size ** POWER where none are given; output in sizes of the input; seed of all draws.
 POWER, EPOCHS, SEED = 0.7, 1.0, 17
 #: A rate above this is the sum of draws with equal rates below it, so that exp(-rate) keeps its digits.
 PIECE = 16.0
-#: Sources whose rates are broadcast; of more, the rates are joined with salted keys. Keys of repeated rows that are broadcast.
-BROADCAST, SALTS, REPEATED = 100_000, 32, 1_000_000
+#: Sources whose rates are broadcast; of more, the rates are joined with salted keys.
+BROADCAST, SALTS = 20_000, 32
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, power: float = POWER, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -56,13 +56,13 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Colu
     """docs, and the name that a row's draws are seeded with: its id, without one the md5 of its text, and for rows that still share a name their place in the input, too."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.md5(text.cast("binary"))))
-    again = written(docs.select(F.xxhash64(name).alias("__name")).groupBy("__name").count().where("count > 1").select("__name"), "repeated")
+    place, own, rows = free_names(docs, "place", "hash", "rows")
+    again = written(docs.select(F.xxhash64(name).alias(own)).groupBy(own).agg(F.count("*").alias(rows)).where(F.col(rows) > 1), "repeated")
     if again.isEmpty():
         return docs, name
-    numbered = docs.withColumn("__place", F.monotonically_increasing_id()).withColumn("__hash", F.xxhash64(name))
-    again = again.withColumn("__again", F.lit(True))
-    marked = numbered.join(F.broadcast(again) if again.count() <= REPEATED else again, numbered["__hash"] == again["__name"], "left")
-    return marked, F.concat(name, F.when(F.col("__again"), F.concat(F.lit(" "), F.col("__place").cast("string"))).otherwise(""))
+    numbered = docs.withColumn(place, F.monotonically_increasing_id()).withColumn(own, F.xxhash64(name))
+    marked = joined_by_group(numbered, again, own, rows, "left")
+    return marked, F.concat(name, F.when(F.col(rows).isNotNull(), F.concat(F.lit(" "), F.col(place).cast("string"))).otherwise(""))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, power: float = POWER, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -78,21 +78,22 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     """
     docs = docs.drop("copy", "shuffle_key")
     columns = docs.columns
-    table = written(rates(docs, weights, epochs, power, source_col, text_col), "rates").select("source", "rate")
+    table = written(rates(docs, weights, epochs, power, source_col, text_col).select("source", "rate"), "rates")
+    few = fits(table, BROADCAST)
     pieces = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(PIECE))).cast("int")
     table = table.withColumn("pieces", pieces).withColumn("steps", _steps(F.col("rate") / F.col("pieces")))
-    plan = F.struct("pieces", "steps").alias("__plan")
     docs, named = _named(docs, id_col, text_col)
-    if table.count() <= BROADCAST:
-        small = F.broadcast(table.select(F.col("source").alias("__source"), plan))
-        joined = docs.join(small, docs[source_col].eqNullSafe(F.col("__source")))
+    source, plan, salt, own, label, count = free_names(docs, "source", "plan", "salt", "own", "named", "times")
+    plans = table.select(F.col("source").alias(source), F.struct("pieces", "steps").alias(plan))
+    if few:
+        joined = docs.join(F.broadcast(plans), docs[source_col].eqNullSafe(F.col(source)))
     else:
-        small = table.select(F.col("source").alias("__source"), plan, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-        salted = docs.withColumn("__own", F.pmod(F.xxhash64(named), F.lit(SALTS)).cast("int"))
-        joined = salted.join(small, salted[source_col].eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt")))
-    draw = lambda k: F.size(F.filter(F.col("__plan.steps"), lambda x: x <= uniform(seed, named, k.cast("string"))))
-    times = F.aggregate(F.sequence(F.lit(1), F.col("__plan.pieces")), F.lit(0), lambda acc, k: acc + draw(k))
-    out = joined.select(*(docs[c] for c in columns), named.alias("__named"), times.alias("__times")).where("__times > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).drop("__times")
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__named"), F.col("copy").cast("string"), F.lit("shuffle")).cast("binary"))).drop("__named")
+        small = plans.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = docs.withColumn(own, F.pmod(F.xxhash64(named), F.lit(SALTS)).cast("int"))
+        joined = salted.join(small, salted[source_col].eqNullSafe(F.col(source)) & (F.col(own) == F.col(salt)))
+    draw = lambda k: F.size(F.filter(F.col(plan)["steps"], lambda x: x <= uniform(seed, named, k.cast("string"))))
+    times = F.aggregate(F.sequence(F.lit(1), F.col(plan)["pieces"]), F.lit(0), lambda acc, k: acc + draw(k))
+    out = joined.select(*(docs[c] for c in columns), named.alias(label), times.alias(count)).where(F.col(count) > 0)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count).cast("long")))).drop(count)
+    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(label), F.col("copy").cast("string"), F.lit("shuffle")).cast("binary"))).drop(label)
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

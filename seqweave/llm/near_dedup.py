@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, held, joined_by_group, raw, row_key, sent, small_batches, tidy, written
+from ._common import blocks, free_names, held, joined_by_group, raw, row_key, sent, small_batches, tidy, written
 from ._words import Words, mix, shingles
 
 #: Words of a shingle, least similarity, slots of a signature, slots of a band. A pair at 0.8 is found with 1 - (1 - 0.8**5)**25 = 0.99995.
@@ -348,10 +348,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     keys = _classified(docs, id_col, text_col, shingle, least, slots, band).groupBy("own").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     keys = written(keys, "keys")
-    gone = written(keys.where("not kept").select(F.col("own").alias("__key")), "rejected")
-    out = docs.withColumn("__key", row_key(id_col, text_col)).join(sent(gone), "__key", "left_anti")
-    again = written(keys.where("kept and n > 1").select(F.col("own").alias("__key")), "repeated")
+    (key,) = free_names(docs, "key")
+    gone = written(keys.where("not kept").select(F.col("own").alias(key)), "rejected")
+    out = docs.withColumn(key, row_key(id_col, text_col)).join(sent(gone), key, "left_anti")
+    again = written(keys.where("kept and n > 1").select(F.col("own").alias(key)), "repeated")
     if again.isEmpty():
         return out.select(docs.columns)
     again = sent(again)
-    return out.join(again, "__key", "left_anti").union(out.join(again, "__key", "left_semi").dropDuplicates(["__key"])).select(docs.columns)
+    return out.join(again, key, "left_anti").union(out.join(again, key, "left_semi").dropDuplicates([key])).select(docs.columns)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqweave.llm import chat, decontaminate, mixing, secret_scan, toxicity
+from seqweave.llm import _common, chat, decontaminate, mixing, secret_scan, toxicity
 
 
 # --- decontamination ------------------------------------------------------------------------------------------------------
@@ -224,7 +224,7 @@ def test_mixing_defaults_and_edges(spark):
 
 @pytest.mark.parametrize(("text", "repeated"), [("concat('row ', id)", 1_000_000), ("'same'", 1_000_000), ("'same'", 0)])
 def test_rows_without_ids_are_drawn_one_by_one(spark, monkeypatch, text, repeated):
-    monkeypatch.setattr(mixing, "REPEATED", repeated)
+    monkeypatch.setattr(_common, "BROADCAST", repeated)
     n = 20_000
     out = mixing.mixed(spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.expr(text).alias("text"), F.lit("a").alias("source")))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
