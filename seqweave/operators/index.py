@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import saturated
+from . import superkmers
 from .complexity import complex_reads
 from .kmers import kmers
 
@@ -16,19 +17,19 @@ class NoSolidKmers(ValueError):
     """The bank has no k-mer of the abundance that is asked for."""
 
 
-def kmer_counts(bank: DataFrame, k: int = 31) -> DataFrame:
-    """(kmer, count) over all reads of the bank."""
-    return kmers(bank, k).where("kmer is not null").groupBy("kmer").agg(F.count("*").alias("count"))
+def kmer_counts(bank: DataFrame, k: int = 31, least: int = 1) -> DataFrame:
+    """(kmer, count) over all reads of the bank, of the k-mers that occur so often at least."""
+    return superkmers.kmer_counts(bank, k, least)
 
 
 def kmer_spectrum(bank: DataFrame, k: int = 31) -> DataFrame:
     """(abundance, kmers): how many k-mers occur so often."""
-    return kmer_counts(bank, k).groupBy(F.col("count").alias("abundance")).agg(F.count("*").alias("kmers"))
+    return superkmers.spectrum(bank, k)
 
 
 def solid_kmers(bank: DataFrame, k: int = 31, abundance_min: int = 2) -> DataFrame:
     """(kmer, abundance): the k-mers that occur so often at least, the abundance up to 255."""
-    return kmer_counts(bank, k).where(F.col("count") >= abundance_min).select("kmer", saturated(F.col("count")).alias("abundance"))
+    return kmer_counts(bank, k, abundance_min).select("kmer", saturated(F.col("count")).alias("abundance"))
 
 
 def postings(bank: DataFrame, k: int = 31, abundance_min: int = 2, keep_low_complexity: bool = False) -> DataFrame:

@@ -16,9 +16,9 @@ from ..functions.sequences import canonical_code
 #: Bases of a block, so that a worker's memory is bounded by the longest read.
 BLOCK = 1 << 19
 #: Code of a byte; 4 is no nucleotide.
-_CODE = np.full(256, 4, np.uint8)
+CODE = np.full(256, 4, np.uint8)
 for _k, _c in enumerate("ACTG"):
-    _CODE[[ord(_c), ord(_c.lower())]] = _k
+    CODE[[ord(_c), ord(_c.lower())]] = _k
 
 
 def canonical_codes(data: np.ndarray, k: int) -> np.ndarray:
@@ -26,7 +26,11 @@ def canonical_codes(data: np.ndarray, k: int) -> np.ndarray:
 
     Codes of 1, 2, 4, ... bases are put together from halves, so k costs its logarithm.
     """
-    code = _CODE[data]
+    return canonical_of(CODE[data], k)
+
+
+def canonical_of(code: np.ndarray, k: int) -> np.ndarray:
+    """The same of nucleotide codes."""
     n = len(code) - k + 1
     if n <= 0:
         return np.full(len(code), -1, np.int64)
@@ -51,15 +55,19 @@ def canonical_codes(data: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([best, np.full(k - 1, -1, np.int64)])
 
 
+def blocks_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of reads with about BLOCK bases at most, or one read."""
+    at, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("seq")), 0).to_numpy().astype(np.int64))
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _kmers(k: int, keys: list[str]):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, sizes = 0, pc.fill_null(pc.binary_length(batch.column("seq")), 0).to_numpy().astype(np.int64)
-            ends = np.cumsum(sizes)
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
-                part = batch.slice(at, to - at)
-                at = to
+            for part in blocks_of(batch):
                 data, offsets = raw(part.column("seq"))
                 n = np.diff(offsets)
                 count = np.maximum(n - k + 1, 0)
