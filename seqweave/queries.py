@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequences as sq
-from .operators import complexity, counter, index, kmers, linker, readsets, runs
+from .operators import complexity, counter, index, kmers, linker, readsets, runs, selflinks
 from .plans import convert, formats
 from .session import file_system, run_folder
 from .sources import results
@@ -190,6 +190,22 @@ SELECT {OUT} FROM pcts ANTI JOIN bad ON query_id = q AND target_id = t""",
 _register("link_self", f"{SELF} SELECT {OUT} FROM links", lambda s, d: _shown(_self(s, d)))
 _register("link_no_self", f"{SELF} SELECT {OUT} FROM links WHERE query_id <> target_id", lambda s, d: _shown(linker.without_self(_self(s, d))))
 _register("link_upper_triangle", f"{SELF} SELECT {OUT} FROM links WHERE target_id >= query_id", lambda s, d: _shown(linker.upper_triangle(_self(s, d))))
+
+# all documents against all others; equal sequences are one class, so that copies are not expanded into pairs
+
+_CLASS = f"WITH {D}, c AS (SELECT '' AS read_set, min(id) AS id, seq, count(*) AS size FROM d GROUP BY seq), {_hits('c', 'c')}, {FULL}, {PCT_FULL}, links AS (SELECT * FROM pcts WHERE pct >= {SHARE} AND query_id <> target_id)"
+
+
+def _self_documents(s: SparkSession, d: str) -> selflinks.SelfLinks:
+    return selflinks.self_links(documents(s, d), K, SHARE)
+
+
+_register("link_documents", f"{_CLASS} SELECT {OUT} FROM links", lambda s, d: _shown(_self_documents(s, d).class_pairs()))
+_register(
+    "link_documents_counts",
+    f"{_CLASS}, more AS (SELECT query_id AS id, sum(size) AS others FROM links JOIN c ON target_id = c.id GROUP BY query_id) SELECT d.id AS read_id, c.id AS class_id, size AS class_size, CAST(CASE WHEN len(d.seq) >= {K} THEN size - 1 ELSE 0 END + coalesce(others, 0) AS BIGINT) AS n_links FROM d JOIN c USING (seq) LEFT JOIN more ON more.id = c.id",
+    lambda s, d: _self_documents(s, d).counts(SHARE).select("read_id", "class_id", "class_size", "n_links"),
+)
 _register("album_linker", f"WITH {DS}, {B}, {_hits('d', 'b')}, {FULL} SELECT read_set, q AS query_id, t AS target_id, span FROM spans", lambda s, d: linker.links(documents(s, d, "source"), bank_index(s, d), 1e-6, keep_low_complexity=True).select("read_set", "query_id", "target_id", "span"))
 
 

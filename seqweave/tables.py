@@ -45,3 +45,16 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(own.lower())
         out.append(own)
     return out
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, count: str, large: int = 1000) -> DataFrame:
+    """rows.join(groups, key) of written tables, groups having one row a key and the number of its rows: the rows of large groups meet in no task.
+
+    Few groups are broadcast; of many, those of more than `large` rows, or of so many that they are few.
+    """
+    if groups.count() <= BROADCAST:
+        return rows.join(F.broadcast(groups), key)
+    limit = max(large, int(groups.agg(F.sum(count)).first()[0] // BROADCAST))
+    big = F.broadcast(groups.where(F.col(count) > limit))
+    rest = rows.join(big.select(key), key, "left_anti").join(groups.where(F.col(count) <= limit), key)
+    return rows.join(big, key).unionByName(rest)
