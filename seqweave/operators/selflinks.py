@@ -38,13 +38,20 @@ def span_of(places: np.ndarray, k: int) -> int:
     return int(np.minimum(np.diff(places), k).sum()) + k if len(places) else 0
 
 
-def stretch(cost: np.ndarray, size: int) -> tuple[int, int]:
-    """Where the cheapest run of so many places lies (all places, if there are fewer)."""
-    if size >= len(cost):
-        return 0, len(cost)
+def stretch(cost: np.ndarray, free: int, k: int) -> tuple[int, int]:
+    """The cheapest run of places of k-mers of which one at least is shared if at most `free` bases are uncovered: `free` + 1 at an end of the read, as many bases as places, and `free` + k elsewhere. All places, if there are fewer."""
+    n = len(cost)
     upto = np.concatenate([[0], np.cumsum(cost)])
-    at = int(np.argmin(upto[size:] - upto[:-size]))
-    return at, at + size
+    best, size = (0, n), free + 1
+    for low, high in ((0, min(size, n)), (max(n - size, 0), n)):
+        if upto[high] - upto[low] < upto[best[1]] - upto[best[0]]:
+            best = (low, high)
+    size = free + k
+    if size < n:
+        at = int(np.argmin(upto[size:] - upto[:-size]))
+        if upto[at + size] - upto[at] < upto[best[1]] - upto[best[0]]:
+            best = (at, at + size)
+    return best
 
 
 def _probes(k: int, threshold: float, repeated: Membership | None, hot: Membership | None):
@@ -61,12 +68,12 @@ def _probes(k: int, threshold: float, repeated: Membership | None, hot: Membersh
                 if hot:
                     cost[cost > 0] += WEIGHT * hot.test()(code[cost > 0])
                 n = np.diff(offsets)
-                room = n - least_span(n, threshold) + k  # if a read has none of so many k-mers in a row, too many bases are uncovered
+                free = n - least_span(n, threshold)  # bases that may be uncovered
                 own, kmers = np.zeros(len(n), np.int64), []
                 for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     places = max(b - a - k + 1, 0)
                     own[i] = span_of(np.flatnonzero(code[a : a + places] >= 0), k)
-                    low, high = stretch(cost[a : a + places], int(room[i]))
+                    low, high = stretch(cost[a : a + places], int(free[i]), k)
                     kmers.append(np.unique(code[a + low : a + high][cost[a + low : a + high] > 0]))
                 cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in kmers])]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([*kmers, np.zeros(0, np.int64)])))

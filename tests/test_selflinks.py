@@ -109,6 +109,19 @@ def test_least_span():
         assert (f32(got) >= np.float32(threshold)).all() and (f32(got - 1) < np.float32(threshold)).all()
 
 
+def test_a_stretch_is_met_by_every_cover_that_is_large_enough():
+    """Every set of shared places that leaves few bases uncovered has one in the stretch, wherever the costs put it."""
+    r = random.Random(2)
+    for _ in range(3000):
+        k, n = r.randint(1, 5), r.randint(5, 16)
+        cost = np.array([r.choice([0, 1, 5]) for _ in range(n - k + 1)])
+        shared = [p for p in range(n - k + 1) if r.random() < r.choice([0.2, 0.6])]
+        free = n - sum(model.covered(shared, n, k))
+        low, high = selflinks.stretch(cost, free, k)
+        assert not shared or any(low <= p < high for p in shared)
+        assert cost[low:high].sum() <= cost.sum()
+
+
 def test_a_line_that_thousands_share_costs_no_pairs(spark):
     """Ten thousand reads that share a line of 60 bases and nothing else: their own k-mers are looked up, not the line's, and no pair is compared."""
     r = random.Random(5)
