@@ -76,12 +76,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         return
     if a.command == "extract":
         bank = reads.read_bank(spark, a.bank)
-        found = results.parse_links(spark.read.text(a.links)).withColumn("read_set", F.lit(a.bank))
+        found = results.read_links(spark.read.text(a.links), "links", "ids").withColumn("read_set", F.lit(a.bank))
         formats.write_reads(readsets.extract_reads(bank, readsets.selected_by_links(found, a.threshold)), a.out)
         return
     if a.command == "vector":
         lines = spark.read.text(a.result)
-        found = (results.parse_links(lines) if a.type == "l" else results.parse_counts(lines)).withColumn("read_set", F.lit(""))
+        found = (results.read_links(lines, "links", "ids") if a.type == "l" else results.parse_counts(lines)).withColumn("read_set", F.lit(""))
         chosen = readsets.selected_by_links(found, a.threshold) if a.type == "l" else readsets.selected_by_counts(found, a.threshold)
         size = readsets.vector_size(found).first()
         readsets.write_vector(chosen, a.out, size["size"] if size else 0, f"Boolean vector of {a.result} with threshold {a.threshold:g}")
@@ -112,7 +112,10 @@ def convert_result(spark: SparkSession, a: argparse.Namespace) -> None:
     """Writes what a result file of the bank's reads is turned into."""
     lines, bank = spark.read.text(a.result), reads.read_bank(spark, a.bank)
     counted = a.kind in ("counted-reads", "covered-reads")
-    found = (results.parse_counts(lines) if counted else results.parse_links(lines)).withColumn("read_set", F.lit(a.bank))
+    if a.kind == "uniform":  # each line for itself: an id may have lines in several read sets
+        lines = lines.withColumn("line", F.monotonically_increasing_id())
+    forms = ("links", "any", "ids") if a.kind == "reads" else ("links",)
+    found = (results.parse_counts(lines) if counted else results.read_links(lines, *forms)).withColumn("read_set", F.lit(a.bank))
     if a.kind == "reads":
         formats.write_reads(convert.linked_reads(found, bank), a.out)
     elif a.kind in ("pairs", "headers"):
@@ -124,7 +127,8 @@ def convert_result(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.kind == "xgmml":
         formats.write_xgmml(bank, found, a.out)
     elif a.kind == "uniform":
-        runs.uniform(found.withColumn("line_no", F.col("place"))).select(F.concat_ws(":", F.col("query_id").cast("string"), "targets").alias("line")).write.mode("overwrite").text(a.out)
+        shown = runs.uniform(found, "place", ("line", "query_id")).orderBy("line").select(F.concat_ws(":", F.col("query_id").cast("string"), "targets").alias("line"))
+        shown.write.mode("overwrite").text(a.out)
     elif a.kind == "counted-reads":
         formats.write_reads(convert.counted_reads(found, bank, a.threshold, a.most), a.out)
     else:

@@ -20,16 +20,23 @@ def counts(queries: DataFrame, index: Index, threshold: float = 75, window: int
     """
     k = index.k
     kept = queries if keep_low_complexity else complex_reads(queries, k)
-    # an invalid k-mer gets a number of its own that no index has, since null keys would meet in one task
-    key = F.coalesce(F.col("kmer"), -1 - F.pmod(F.xxhash64("read_set", "read_id", "pos"), F.lit(1 << 40)))
-    found = kmers(kept, k).withColumn("kmer", key).join(index.table, "kmer", "left").withColumn("v", F.coalesce("abundance", F.lit(0)))
-    # a read has at most 256 values: their counts, not the places' values, are gathered; of the places only those that are covered
+    # only the k-mers that the index has are joined; how many others there are follows from the read's length
+    found = kmers(kept, k, index.known).where("kmer is not null").join(index.table, "kmer")
+    # a read has at most 255 values: their counts, not the places' values, are gathered, and the places that are covered
     read = ["read_set", "read_id", "n"]
-    valued = found.groupBy(*read, "v").agg(F.count("*").alias("c"), F.collect_list(F.when(F.col("v") > 0, F.col("pos"))).alias("at"))
+    valued = found.groupBy(*read, F.col("abundance").alias("v")).agg(F.count("*").alias("c"), F.collect_list("pos").alias("at"))
     grouped = valued.groupBy(*read).agg(
-        F.sum("c").alias("places"), F.sum(F.col("v") * F.col("c")).alias("total"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.sum("c").alias("known"), F.sum(F.col("v") * F.col("c")).alias("total"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.sort_array(F.collect_list(F.struct("v", "c"))).alias("values"), F.flatten(F.collect_list("at")).alias("positions"),
-    ).withColumnRenamed("read_id", "query_id")
+    )
+    if threshold <= 0:  # reads without any of the bank's k-mers pass, too
+        all_ = kept.where(F.length("seq") >= k).select("read_set", "read_id", F.length("seq").alias("n"))
+        grouped = all_.join(grouped, read, "left")
+    zero = lambda c, t: F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c)
+    none = F.array().cast("array<struct<v:int,c:bigint>>")
+    grouped = grouped.select("read_set", F.col("read_id").alias("query_id"), "n", (F.col("n") - k + 1).cast("long").alias("places"), zero("known", "long"), zero("total", "long"), zero("min", "int"), zero("max", "int"), F.coalesce("values", none).alias("values"), F.coalesce("positions", F.array().cast("array<int>")).alias("positions"))
+    missing = F.col("places") - F.col("known")
+    grouped = grouped.withColumn("min", F.when(missing > 0, F.lit(0)).otherwise(F.col("min"))).withColumn("values", F.when(missing > 0, F.concat(F.array(F.struct(F.lit(0).alias("v"), missing.alias("c"))), "values")).otherwise(F.col("values")))
     half = F.floor(F.col("places") / 2)
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("value"))
     upper = F.aggregate("values", start, lambda acc, x: F.struct((acc["seen"] + x["c"]).alias("seen"), F.when(acc["value"].isNull() & (acc["seen"] + x["c"] > half), x["v"]).otherwise(acc["value"]).alias("value")))

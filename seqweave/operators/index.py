@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions.sequences import saturated
 from . import superkmers
 from .complexity import complex_reads
 from .kmers import kmers
+from .membership import Membership, membership
 
 
 class NoSolidKmers(ValueError):
@@ -39,23 +41,40 @@ def postings(bank: DataFrame, k: int = 31, abundance_min: int = 2, keep_low_comp
     return out if abundance_min <= 1 else out.join(solid_kmers(bank, k, abundance_min).select("kmer"), "kmer", "left_semi")
 
 
+_ABOUT = "k int, abundance_min int, keep_low_complexity boolean, kind string, name string, buckets int, columns string, shards int, size int"
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 @dataclass
 class Index:
-    """A stored or planned index; what a query needs besides the table is k."""
+    """A stored or planned index. known: a filter that tells most k-mers that the index lacks, if it has one."""
 
     table: DataFrame
     k: int
     abundance_min: int
     keep_low_complexity: bool
     kind: str
+    known: Membership | None = None
 
     def save(self, path: str, buckets: int | None = None) -> None:
-        """Parquet, sorted by k-mer within files, and the parameters beside it."""
+        """A table in buckets of k-mers (as many as the shuffle has partitions, if not given), sorted within, a membership filter unless it would be too large, and the parameters beside them.
+
+        Queries of the stored index move only their own k-mers: the buckets are where the join needs them.
+        """
         spark = self.table.sparkSession
-        dealt = self.table.repartition(buckets, "kmer") if buckets else self.table.repartition("kmer")
-        dealt.sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/table")
-        about = [(self.k, self.abundance_min, self.keep_low_complexity, self.kind)]
-        spark.createDataFrame(about, "k int, abundance_min int, keep_low_complexity boolean, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        path, name = _qualified(spark, path), f"seqweave_{uuid.uuid4().hex}"
+        dealt = self.table.repartition(buckets, "kmer")
+        dealt.write.mode("overwrite").format("parquet").option("path", f"{path}/table").bucketBy(buckets, "kmer").sortBy("kmer").saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")  # the files stay; load_index names them again
+        known = membership(spark.read.schema(self.table.schema).parquet(f"{path}/table").select("kmer").distinct(), path=f"{path}/filter-{name}")
+        columns = ", ".join(f"{c} {t}" for c, t in self.table.dtypes)
+        about = [(self.k, self.abundance_min, self.keep_low_complexity, self.kind, name, buckets, columns, known.shards if known else 0, known.size if known else 0)]
+        spark.createDataFrame(about, _ABOUT).coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
     def checked(self) -> Index:
         """Itself, if it has any k-mer."""
@@ -75,5 +94,10 @@ def linker_index(bank: DataFrame, k: int = 31, abundance_min: int = 2, keep_low_
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    about = spark.read.schema("k int, abundance_min int, keep_low_complexity boolean, kind string").json(f"{path}/about").first()
-    return Index(spark.read.parquet(f"{path}/table"), about["k"], about["abundance_min"], about["keep_low_complexity"], about["kind"])
+    """A stored index; its buckets are made known to the session's catalog under the name that it was stored with."""
+    path = _qualified(spark, path)
+    about = spark.read.schema(_ABOUT).json(f"{path}/about").first()
+    where = f"{path}/table".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {about['name']} ({about['columns']}) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {about['buckets']} BUCKETS LOCATION '{where}'")
+    known = Membership(f"{path}/filter-{about['name']}", about["shards"], about["size"]) if about["shards"] else None
+    return Index(spark.table(about["name"]), about["k"], about["abundance_min"], about["keep_low_complexity"], about["kind"], known)

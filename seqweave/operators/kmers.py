@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..arrow import raw, small_batches
 from ..functions.sequences import canonical_code
+from .membership import Membership
 
 #: Bases of a block, so that a worker's memory is bounded by the longest read.
 BLOCK = 1 << 19
@@ -64,7 +65,7 @@ def blocks_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def _kmers(k: int, keys: list[str]):
+def _kmers(k: int, keys: list[str], known: Membership | None):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks_of(batch):
@@ -75,24 +76,29 @@ def _kmers(k: int, keys: list[str]):
                 row = np.repeat(np.arange(len(n)), count)
                 pos = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - count, count)
                 code = canonical_codes(data, k)[np.repeat(offsets[:-1], count) + pos]
+                if known:
+                    keep = code >= 0
+                    keep[keep] = known.test()(code[keep])
+                    row, pos, code = row[keep], pos[keep], code[keep]
                 taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(taken) for c in keys), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(code, mask=code < 0)], [*keys, "n", "pos", "kmer"])
 
     return kernel
 
 
-def kmers(reads: DataFrame, k: int = 31) -> DataFrame:
+def kmers(reads: DataFrame, k: int = 31, known: Membership | None = None) -> DataFrame:
     """(read_set, read_id, n, pos, kmer) of reads (read_set, read_id, seq, ...): a row for each k-mer.
 
     n is the length of the read, pos counts from 0, kmer is the canonical code and null where the k-mer has a character
-    other than A, C, G and T (any case). Reads that are shorter than k, empty or null have no rows.
+    other than A, C, G and T (any case). Reads that are shorter than k, empty or null have no rows. known: only k-mers
+    that this filter may hold have rows.
     """
     if not 1 <= k <= 31:
         raise ValueError("k: 1 to 31")
     small_batches(reads.sparkSession)
     types = dict(reads.dtypes)
     keys = ["read_set", "read_id"]
-    return reads.select(*keys, "seq").mapInArrow(_kmers(k, keys), ", ".join(f"{c} {types[c]}" for c in keys) + ", n int, pos int, kmer long")
+    return reads.select(*keys, "seq").mapInArrow(_kmers(k, keys, known), ", ".join(f"{c} {types[c]}" for c in keys) + ", n int, pos int, kmer long")
 
 
 def kmers_builtin(reads: DataFrame, k: int = 31, chunk: int = 256) -> DataFrame:

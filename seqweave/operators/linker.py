@@ -14,7 +14,7 @@ from .kmers import kmers
 
 def _hits(queries: DataFrame, index: Index, keep_low_complexity: bool) -> DataFrame:
     kept = queries if keep_low_complexity else complex_reads(queries, index.k)
-    return kmers(kept, index.k).where("kmer is not null").join(index.table, "kmer")
+    return kmers(kept, index.k, index.known).where("kmer is not null").join(index.table, "kmer")
 
 
 def any_links(queries: DataFrame, index: Index, keep_low_complexity: bool = False) -> DataFrame:

@@ -82,11 +82,11 @@ class Membership:
         return may_hold
 
 
-def membership(table: DataFrame, most_bytes: int = MOST_BYTES) -> Membership | None:
+def membership(table: DataFrame, most_bytes: int = MOST_BYTES, path: str | None = None) -> Membership | None:
     """The filter of a table's k-mers (column kmer, not null, perhaps repeated), or None where it would be too large to hold few others.
 
     A blocked Bloom filter: each k-mer sets four bits of one word. Its size follows the number of rows; tasks make it in
-    shards, which are written to the shared folder, so nothing passes the driver.
+    shards, which are written to path (a new one in the shared folder, if not given), so nothing passes the driver.
     """
     spark = table.sparkSession
     n = table.count()
@@ -97,9 +97,9 @@ def membership(table: DataFrame, most_bytes: int = MOST_BYTES) -> Membership | N
     words = max(64, -(-n * bits // 64))
     shards = -(-words // SHARD)
     size = -(-words // shards)
-    path = shared_dir(spark, "filter")
+    path = path or shared_dir(spark, "filter")
     keys = table.select("kmer")
     if shards > 1:  # each task makes its shards; a small filter is made in parts that are put together
         keys = keys.repartition(shards, F.pmod(F.col("kmer").bitwiseXOR(F.shiftright("kmer", 17)), F.lit(shards)))
-    keys.mapInArrow(_shards(shards, size), "shard int, words binary").write.parquet(path)
+    keys.mapInArrow(_shards(shards, size), "shard int, words binary").write.mode("overwrite").parquet(path)
     return Membership(path, shards, size)

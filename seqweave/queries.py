@@ -18,7 +18,7 @@ from .operators import complexity, counter, index, kmers, linker, readsets, runs
 from .plans import convert, formats
 from .session import file_system, run_folder
 from .sources import results
-from .sources.reads import count_reads, read_album, read_sets, text_reads
+from .sources.reads import count_reads, read_album, read_bank, read_sets, text_reads
 
 K = 31
 #: A window that a benchmark passage fills, and the share of it that makes a link.
@@ -285,7 +285,7 @@ _register(
     _run_max,
 )
 _register("consecutive_dedupe", f"WITH {_LINES}, k AS (SELECT * FROM l WHERE query_id <> target_id), p AS (SELECT *, lag(query_id) OVER w AS q, lag(target_id) OVER w AS t FROM k WINDOW w AS (ORDER BY line_no)) SELECT line_no, query_id, target_id, span FROM p WHERE q IS NULL OR q <> query_id OR t <> target_id", lambda s, d: runs.first_of_runs(_lines(s, d)).select("line_no", "query_id", "target_id", "span"))
-_register("uniformize", f"WITH {_LINES}, k AS (SELECT query_id, target_id, arg_max(span, line_no) AS span FROM l GROUP BY ALL) SELECT query_id, string_agg(target_id || '-' || span, ' ' ORDER BY target_id) AS targets FROM k GROUP BY query_id", lambda s, d: runs.uniform(_lines(s, d)))
+_register("uniformize", f"WITH {_LINES}, k AS (SELECT lang, query_id, target_id, arg_max(span, line_no) AS span FROM l GROUP BY ALL) SELECT lang, query_id, string_agg(target_id || '-' || span, ' ' ORDER BY target_id) AS targets FROM k GROUP BY lang, query_id", lambda s, d: runs.uniform(_lines(s, d), of=("lang", "query_id")))
 
 # --- conversions --------------------------------------------------------------------------------------------------------
 
@@ -402,6 +402,75 @@ def _vector(s: SparkSession, d: str) -> DataFrame:
 _register("vector_round_trip", f"{_BV}, n AS (SELECT max(id) AS top FROM lv) SELECT i AS read_id, i IN (SELECT id FROM lv) AS linked FROM (SELECT unnest(range(0, top + 1)) AS i FROM n)", _vector)
 
 
+def _links_vector(s: SparkSession, d: str) -> readsets.Vector:
+    """The linked documents as a vector of all documents."""
+    size = documents(s, d).agg((F.max("read_id") + 1).alias("size")).first()["size"]
+    return readsets.Vector(_by_links(s, d), size)
+
+
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    """Every document: is it in the linked ones, with those that are covered, without every third?"""
+    every = documents(s, d).select("read_id")
+    return _links_vector(s, d).set(_by_counts(s, d)).reset(every.where("read_id % 3 = 0")).test(every)
+
+
+def _refused(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of linked and of covered documents as they are, and where one of them is of another size."""
+    one, two = _links_vector(s, d), _by_counts(s, d)
+    rows = []
+    for more in (0, 1):
+        try:
+            rows.append((more, False, (one & readsets.Vector(two, one.size + more)).ids.count()))
+        except ValueError:
+            rows.append((more, True, None))
+    return s.createDataFrame(rows, "more int, refused boolean, ones long")
+
+
+def _from_vector(s: SparkSession, d: str) -> DataFrame:
+    """The linked reads, by a vector file and the command's steps."""
+    path, vector = f"{_folder(s, 'extract')}", _links_vector(s, d)
+    system, name = file_system(path)
+    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    readsets.write_vector(vector.ids, path, vector.size)
+    return readsets.extract_reads(documents(s, d), readsets.read_vector(s, path).ids).select("read_id", "seq")
+
+
+_register("vector_changed", f"{_BV} SELECT id AS read_id, id % 3 <> 0 AND (id IN (SELECT id FROM lv) OR id IN (SELECT id FROM cv)) AS is_set FROM d", _changed)
+_register("vector_sizes", f"{_BV} SELECT CAST(0 AS INT) AS more, false AS refused, (SELECT count(*) FROM (SELECT id FROM lv INTERSECT SELECT id FROM cv)) AS ones UNION ALL SELECT 1, true, NULL", _refused)
+_register("extract_from_vector", f"{_BV} SELECT id AS read_id, seq FROM d WHERE id IN (SELECT id FROM lv)", _from_vector)
+
+
+def _bank_or_album(s: SparkSession, d: str) -> DataFrame:
+    """The bank's files read as banks, and an album of them, which is refused."""
+    path, files = _written_reads(s, d, False)
+    system, name = file_system(path)
+    with system.open_output_stream(f"{name}/album.txt", compression=None) as out:
+        out.write("".join(f"{x}\n" for x in files).encode())
+    found = None
+    for x in files:
+        own = read_bank(s, x).select("header")
+        found = own if found is None else found.union(own)
+    try:
+        read_bank(s, f"{path}/album.txt")
+        refused = False
+    except ValueError:
+        refused = True
+    return found.withColumn("album_refused", F.lit(refused))
+
+
+_register("bank_is_no_album", f"WITH {B} SELECT 'read_' || id AS header, true AS album_refused FROM b", _bank_or_album)
+
+
+def _stored_counts(s: SparkSession, d: str) -> DataFrame:
+    """Counts by an index that has been stored with its filter and loaded again."""
+    path = _folder(s, "index")
+    bank_index(s, d, index.counter_index).save(path)
+    return _stats(counter.counts(documents(s, d), index.load_index(s, path), 0, keep_low_complexity=True).where("mean is not null"))
+
+
+_register("count_stored_index", f"{_COUNTS} SELECT {_SHOWN} FROM counts", _stored_counts)
+
+
 def _commented(s: SparkSession, d: str) -> DataFrame:
     """Result lines among comments and blank lines, written and read back."""
     path = _folder(s, "lines")

@@ -209,3 +209,48 @@ def test_cover_by_places_equals_cover_by_bases(seed):
         places = sorted(r.sample(range(max(1, n - k + 1)), r.randint(0, min(6, max(1, n - k + 1)))))
         bases, cover = m.covered(places, max(n, k), k)[:n], coverage.Cover(np.array(places, np.int64), n, k)
         assert cover.upto(np.arange(n + 1)).tolist() == [sum(bases[:i]) for i in range(n + 1)]
+
+
+def test_a_stored_index_stays_where_it_is(spark, tmp_path):
+    """Queries of a stored index move their own k-mers only: no exchange above the index, and few of the k-mers that it lacks."""
+    reads, queries = m.random_reads(31), m.random_reads(32) | {100 + i: s for i, s in m.random_reads(33).items()}
+    made = index.linker_index(m.frame(spark, reads), 11, 1, True)
+    made.save(f"{tmp_path}/x", 5)
+    back = index.load_index(spark, f"{tmp_path}/x")
+    assert back.known
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = kmers.kmers(m.frame(spark, queries), 11, back.known).where("kmer is not null").join(back.table, "kmer")
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") - plan.count("ReusedExchange") == 1, plan
+    assert "SelectedBucketsCount: 5 out of 5" in plan
+    every = kmers.kmers(m.frame(spark, queries), 11).where("kmer is not null")
+    want = every.join(made.table, "kmer")
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want.collect()))
+    probes, known = kmers.kmers(m.frame(spark, queries), 11, back.known).count(), every.join(made.table, "kmer", "left_semi").count()
+    assert known <= probes <= known + 0.1 * (every.count() - known) < every.count()
+
+
+def test_counts_by_a_stored_index_equal_those_by_a_planned_one(spark, tmp_path):
+    made = index.counter_index(m.frame(spark, m.random_reads(34)), 11, 1)
+    made.save(f"{tmp_path}/y", 3)
+    back, queries = index.load_index(spark, f"{tmp_path}/y"), m.frame(spark, m.random_reads(35))
+    for threshold in (0, 40):
+        got, want = (sorted(map(tuple, counter.counts(queries, x, threshold, 20, True).collect()), key=repr) for x in (back, made))
+        assert got == want and got
+
+
+def test_runs_leave_columns_alone(spark):
+    own = ["__was", "__part", "__carried", "__first"]
+    rows = spark.createDataFrame([(i, 1 + i % 2, 5, 3, 0.5, 10, 20, *("a", "b", "c", "d")) for i in range(6)], f"line_no long, query_id long, target_id long, span long, pident double, length int, qlen int, {', '.join(c + ' string' for c in own)}")
+    out = runs.first_of_runs(rows)
+    assert out.columns == rows.columns and {tuple(r[c] for c in own) for r in out.collect()} == {("a", "b", "c", "d")}
+    assert runs.run_max(rows, 0, "query_id", "target_id").count() == 6
+
+
+def test_uniform_keeps_lines_apart(spark):
+    rows = spark.createDataFrame([(1, 7, 0, 3, 30), (1, 7, 1, 2, 20), (2, 7, 0, 3, 9)], "line long, query_id long, place int, target_id long, span long")
+    assert sorted((r["line"], r["targets"]) for r in runs.uniform(rows, "place", ("line", "query_id")).collect()) == [(1, "2-20 3-30"), (2, "3-9")]
