@@ -18,7 +18,7 @@ from .operators import complexity, counter, index, kmers, linker, readsets, runs
 from .plans import convert, formats
 from .session import file_system, run_folder
 from .sources import results
-from .sources.reads import count_reads, read_album, read_bank, read_sets, text_reads
+from .sources.reads import count_reads, fetch, offset_index, read_album, read_bank, read_sets, text_reads
 
 K = 31
 #: A window that a benchmark passage fills, and the share of it that makes a link.
@@ -353,9 +353,10 @@ _register("link_stored_index", f"{LINKS} SELECT {OUT} FROM links", _indexed)
 # --- files written from the tables and read back --------------------------------------------------------------------------
 
 
-def _written_reads(s: SparkSession, d: str, fastq: bool) -> tuple[str, list[str]]:
-    """The bank as a folder of FASTA or FASTQ files, and the paths of these."""
+def _written_reads(s: SparkSession, d: str, fastq: bool, one: bool = False) -> tuple[str, list[str]]:
+    """The bank as a folder of FASTA or FASTQ files, or as one file in the order of ids, and the paths of these."""
     path, table = _folder(s, "reads"), bank(s, d)
+    table = table.coalesce(1).sortWithinPartitions("read_id") if one else table
     if fastq:
         formats.write_lines(formats.fasta_lines(table.withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))), path)
     else:
@@ -374,6 +375,24 @@ _register("fasta_round_trip", f"WITH {B} SELECT 'read_' || id AS header, seq, CA
 _register("fastq_round_trip", f"WITH {B} SELECT 'read_' || id AS header, seq, repeat('I', len(seq)) AS qual FROM b", lambda s, d: _read_back(s, d, True, 2000))
 
 
+def _numbered(s: SparkSession, d: str) -> DataFrame:
+    """The numbers of the reads of one FASTQ file that many tasks read in pieces."""
+    _, files = _written_reads(s, d, True, True)
+    return read_sets(s, [("", x) for x in files], 2000).select("read_id", "header", "seq", "qual")
+
+
+def _fetched(s: SparkSession, d: str) -> DataFrame:
+    """Every seventh read of one FASTA file, by its offsets."""
+    _, files = _written_reads(s, d, False, True)
+    index = offset_index(s, [("", x) for x in files], 2000)
+    return fetch(index, bank(s, d).select("read_set", (F.col("read_id") * 7).alias("read_id"))).select("read_id", "header", "seq")
+
+
+_NUMBERED = f"{B}, r AS (SELECT row_number() OVER (ORDER BY id) - 1 AS read_id, 'read_' || id AS header, seq, id FROM b)"
+_register("fastq_numbers", f"WITH {_NUMBERED} SELECT read_id, header, seq, repeat('I', len(seq)) AS qual FROM r", _numbered)
+_register("fetch_reads", f"WITH {_NUMBERED} SELECT read_id, header, seq FROM r WHERE read_id IN (SELECT id * 7 FROM b)", _fetched)
+
+
 def _album(s: SparkSession, d: str) -> DataFrame:
     """The numbered reads of an album that lists the files of the bank and, as one line, another album of them."""
     path, files = _written_reads(s, d, False)

@@ -9,17 +9,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..arrow import small_batches
 from ..functions.sequences import as_nucleotides
 from ..session import file_system, ship
+from . import pieces
 
 SCHEMA = "read_set string, read_id long, header string, seq string, qual string"
 
 
-#: Bytes of a piece of a plain FASTA file that one task reads.
+#: Bytes of a piece of a file that one task reads.
 PIECE = 64 << 20
 
 
@@ -54,54 +56,21 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
         yield head[1:], seq, qual
 
 
-def _begins(file, start: int, stop: int) -> Iterator[int]:
-    """Where FASTA records begin in a range of an open file: at a > behind a line end, or at the start of the file."""
-    file.seek(max(0, start - 1))
-    at, before = max(0, start - 1), b"\n" if start == 0 else b""
-    while at < stop:
-        data = file.read(min(1 << 22, stop - at))
-        if not data:
-            return
-        whole, base = before + data, at - len(before)
-        found = whole.find(b"\n>")
-        while found >= 0:
-            yield base + found + 1
-            found = whole.find(b"\n>", found + 1)
-        at, before = at + len(data), whole[-1:]
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            system, name = file_system(r["path"])
-            with system.open_input_file(name) as file:
-                yield pa.RecordBatch.from_pylist([r | {"n": sum(1 for _ in _begins(file, r["start"], r["stop"]))}])
+            yield pa.RecordBatch.from_pylist([r | {"n": pieces.count(r["path"], r["kind"], r["start"], r["stop"])}], batch.schema.append(pa.field("n", pa.int64())))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, pieces: list[tuple]):
-        self.pieces = pieces
+    def __init__(self, parts: list[tuple]):
+        self.parts = parts
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(x) for x in self.pieces]
-
-    def _records(self, path: str, start: int, stop: int) -> Iterator[tuple[str, str, str | None]]:
-        if stop < 0:
-            with open_text(path) as lines:
-                yield from records(iter(lines))
-            return
-        system, name = file_system(path)
-        with system.open_input_file(name) as file:
-            first = next(_begins(file, start, stop), None)
-            if first is None:
-                return
-            last = next(_begins(file, stop, file.size()), file.size())
-            file.seek(first)
-            raw = io.BufferedReader(_Part(file, last - first), 1 << 20)
-            yield from records(iter(io.TextIOWrapper(raw, encoding="utf-8", errors="replace")))
+        return [InputPartition(x) for x in self.parts]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        name, path, start, stop, number = partition.value
+        name, path, kind, start, stop, number = partition.value
         rows: list[tuple] = []
         size = 0
 
@@ -109,7 +78,7 @@ class _Reader(DataSourceReader):
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["read_set", "read_id", "header", "seq", "qual"])
 
-        for i, (header, seq, qual) in enumerate(self._records(path, start, stop), number):
+        for i, (header, seq, qual) in enumerate(records(iter(pieces.stream(path, kind, start, stop))), number):
             rows.append((name, i, header, seq, qual))
             size += len(seq)
             if len(rows) >= 1000 or size > 1 << 22:
@@ -119,24 +88,8 @@ class _Reader(DataSourceReader):
             yield batch()
 
 
-class _Part(io.RawIOBase):
-    """The next so many bytes of an open file."""
-
-    def __init__(self, file, size: int):
-        self.file, self.left = file, size
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, buffer) -> int:
-        data = self.file.read(min(len(buffer), self.left))
-        buffer[: len(data)] = data
-        self.left -= len(data)
-        return len(data)
-
-
 class ReadSource(DataSource):
-    """spark.read.format("reads").option("pieces", JSON of [name, path, start, stop, first read id]): one task a piece; a stop of -1 stands for the whole file."""
+    """spark.read.format("reads").option("pieces", JSON of [name, path, kind, start, stop, first read id]): one task a piece."""
 
     @classmethod
     def name(cls) -> str:
@@ -149,32 +102,81 @@ class ReadSource(DataSource):
         return _Reader([tuple(x) for x in json.loads(self.options["pieces"])])
 
 
-def _plain_fasta(path: str) -> int:
-    """The size of a plain FASTA file, 0 of others (gzip can't be split, and @ begins a record or a line of qualities)."""
-    system, name = file_system(path)
-    with system.open_input_stream(name, compression=None) as file:
-        first = file.read(1)
-    return system.get_file_info(name).size if first == b">" else 0
+def parts_of(spark: SparkSession, sets: list[tuple[str, str]], piece: int = PIECE) -> list[tuple]:
+    """(name, path, kind, start, stop, first read id) of the pieces of (name, path) files, counted by a job over them."""
+    kinds = [pieces.kind_of(path) for _, path in sets]
+    # a block-gzipped piece is in memory as text, so it has fewer bytes
+    sizes = [piece if not kind.startswith("blocks-") else max(1, piece // 8) for kind, _ in kinds]
+    whole = {k for k, (kind, size) in enumerate(kinds) if kind == "whole" or size <= sizes[k]}
+    cut = [(k, sets[k][1], kind, a, min(a + sizes[k], size)) for k, (kind, size) in enumerate(kinds) if k not in whole for a in range(0, size, sizes[k])]
+    counted = []
+    if cut:
+        table = spark.createDataFrame(cut, "k long, path string, kind string, start long, stop long").repartition(len(cut))
+        counted = sorted(table.mapInArrow(_counted, "k long, path string, kind string, start long, stop long, n long").collect(), key=lambda r: (r["k"], r["start"]))
+        whole |= {r["k"] for r in counted if r["n"] is None}  # records of other than four lines have no place to begin at
+    out = [(*sets[k], "whole", 0, kinds[k][1], 0) for k in sorted(whole)]
+    number: dict[int, int] = {}
+    for r in counted:
+        if r["k"] not in whole:
+            out.append((*sets[r["k"]], r["kind"], r["start"], r["stop"], number.get(r["k"], 0)))
+            number[r["k"]] = number.get(r["k"], 0) + r["n"]
+    return out
 
 
 def read_sets(spark: SparkSession, sets: list[tuple[str, str]], piece: int = PIECE) -> DataFrame:
     """The reads of (name, path) files; read ids count from 0 in each file.
 
-    A plain FASTA file of more than `piece` bytes is read in pieces by several tasks, which a job over the pieces counts
-    before, so that reads have their numbers. FASTQ and gzipped files are one task each.
+    A FASTA file, a FASTQ file of four-line records, or either block-gzipped, of more than `piece` bytes is read in
+    pieces by several tasks, which a job over the pieces counts before, so that reads have their numbers. Other gzipped
+    files, and FASTQ files with records of more lines, are one task each.
     """
     ship(spark)
     spark.dataSource.register(ReadSource)
-    sizes = [_plain_fasta(path) for _, path in sets]
-    whole = [(name, path, 0, -1, 0) for (name, path), size in zip(sets, sizes, strict=True) if size <= piece]
-    cut = [(k, start, min(start + piece, size)) for k, size in enumerate(sizes) if size > piece for start in range(0, size, piece)]
-    if cut:
-        table = spark.createDataFrame([(k, sets[k][1], a, b) for k, a, b in cut], "k long, path string, start long, stop long").repartition(len(cut))
-        number: dict[int, int] = {}
-        for r in sorted(table.mapInArrow(_counted, "k long, path string, start long, stop long, n long").collect(), key=lambda r: (r["k"], r["start"])):
-            whole.append((*sets[r["k"]], r["start"], r["stop"], number.get(r["k"], 0)))
-            number[r["k"]] = number.get(r["k"], 0) + r["n"]
-    return spark.read.format("reads").option("pieces", json.dumps(whole)).load()
+    return spark.read.format("reads").option("pieces", json.dumps(parts_of(spark, sets, piece))).load()
+
+
+#: Records of a stretch that an offset index knows the place of.
+STEP = 256
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            found = list(pieces.marks(r["path"], r["kind"], r["start"], r["stop"], r["number"], STEP))
+            yield pa.RecordBatch.from_pydict({"read_set": pa.array([r["read_set"]] * len(found), pa.string()), "path": pa.array([r["path"]] * len(found), pa.string()), "mark": pa.array([m for m, _ in found], pa.int64()), "begin": pa.array([at for _, at in found], pa.int64())})
+
+
+def offset_index(spark: SparkSession, sets: list[tuple[str, str]], piece: int = PIECE) -> DataFrame:
+    """(read_set, path, mark, begin, end): the bytes of every STEP records of plain FASTA and four-line FASTQ files. Write it as a table to use it more than once."""
+    ship(spark)
+    parts = [(name, path, pieces.kind_of(path)[0] if kind == "whole" else kind, a, b, n) for name, path, kind, a, b, n in parts_of(spark, sets, piece)]
+    if odd := next((path for _, path, kind, *_ in parts if kind not in ("fasta", "fastq")), None):
+        raise ValueError(f"{odd}: only plain FASTA and FASTQ files have offsets")
+    table = spark.createDataFrame(parts, "read_set string, path string, kind string, start long, stop long, number long").repartition(len(parts))
+    found = table.mapInArrow(_marked, "read_set string, path string, mark long, begin long")
+    after = Window.partitionBy("read_set", "path").orderBy("mark")
+    sizes = spark.createDataFrame([(path, pieces.kind_of(path)[1]) for path in {x[1] for x in parts}], "path string, size long")
+    return found.withColumn("next", F.lead("begin").over(after)).join(F.broadcast(sizes), "path").select("read_set", "path", "mark", "begin", F.coalesce("next", "size").alias("end"))
+
+
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            wanted, first = set(r["ids"]), r["mark"] * STEP
+            system, name = file_system(r["path"])
+            with system.open_input_file(name) as file:
+                file.seek(r["begin"])
+                lines = io.TextIOWrapper(io.BytesIO(file.read(r["end"] - r["begin"])), encoding="utf-8", errors="replace")
+            rows = [(r["read_set"], k, *x) for k, x in enumerate(records(iter(lines)), first) if k in wanted]
+            yield pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in rows], pa.int64() if c == "read_id" else pa.string()) for i, c in enumerate(["read_set", "read_id", "header", "seq", "qual"])})
+
+
+def fetch(index: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The reads of chosen (read_set, read_id) by an offset index: of the files, only the stretches that hold them are read. Ids that the files lack have no rows."""
+    ship(index.sparkSession)
+    small_batches(index.sparkSession)
+    wanted = chosen.select("read_set", "read_id").where("read_id >= 0").distinct().groupBy("read_set", F.expr(f"read_id div {STEP}").alias("mark")).agg(F.collect_list("read_id").alias("ids"))
+    return wanted.join(index, ["read_set", "mark"]).select("read_set", "path", "mark", "begin", "end", "ids").mapInArrow(_fetched, SCHEMA)
 
 
 def count_reads(reads: DataFrame) -> DataFrame:
