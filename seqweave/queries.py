@@ -356,11 +356,11 @@ _register("link_stored_index", f"{LINKS} SELECT {OUT} FROM links", _indexed)
 def _written_reads(s: SparkSession, d: str, fastq: bool, one: bool = False) -> tuple[str, list[str]]:
     """The bank as a folder of FASTA or FASTQ files, or as one file in the order of ids, and the paths of these."""
     path, table = _folder(s, "reads"), bank(s, d)
-    table = table.coalesce(1).sortWithinPartitions("read_id") if one else table
-    if fastq:
-        formats.write_lines(formats.fasta_lines(table.withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))), path)
+    table = table.withColumn("qual", F.repeat(F.lit("I"), F.length("seq"))) if fastq else table
+    if one:
+        formats.fasta_lines(table).coalesce(1).sortWithinPartitions("query_id").select("line").write.text(path)
     else:
-        formats.write_reads(table, path)
+        formats.write_lines(formats.fasta_lines(table), path)
     system, name = file_system(path)
     files = [x.path for x in system.get_file_info(pafs.FileSelector(name)) if x.base_name.startswith("part-") and x.size]
     return path, [f"{path}/{x.rsplit('/', 1)[1]}" for x in sorted(files)]
