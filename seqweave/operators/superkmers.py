@@ -15,9 +15,9 @@ from .kmers import CODE, blocks_of, canonical_codes, canonical_of
 
 #: Bases of a minimizer at most (odd, so that none is its own reverse complement), and bases of a super-k-mer at most.
 MINIMIZER, LONGEST = 11, 255
-#: Buckets of minimizers for each partition of the shuffle, as long as they are not more than BUCKETS; bases of a bucket
-#: that are expanded at once, and distinct k-mers of a bucket that a task holds.
-SPREAD, BUCKETS, CHUNK, DISTINCT = 16, 4096, 1 << 22, 1 << 24
+#: Buckets of minimizers, unless the shuffle has more partitions; packed bytes that a task deals out to buckets at once;
+#: bases of a bucket that are expanded at once, and distinct k-mers of a bucket that a task holds.
+BUCKETS, HELD, CHUNK, DISTINCT = 512, 1 << 22, 1 << 22, 1 << 24
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,45 +54,63 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def _block(data: np.ndarray, offsets: np.ndarray, k: int, m: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(bucket, bases, packed codes) of the super-k-mers of a block of reads; each stretch is filled up to a byte."""
+    if len(data) < k:
+        return None
+    valid = canonical_codes(data, k) >= 0
+    size = np.diff(offsets)
+    valid[_ranges(np.maximum(offsets[1:] - (k - 1), offsets[:-1]), np.minimum(size, k - 1))] = False  # k-mers that would cross the end of a read
+    low = minimizers(data, k, m)
+    at = np.flatnonzero(valid)
+    if not len(at):
+        return None
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (low[at[1:]] != low[at[:-1]])
+    first = np.flatnonzero(new)
+    run = np.diff(np.append(first, len(at)))
+    most = LONGEST - k + 1  # k-mers of a stretch; longer ones are cut
+    pieces = -(-run // most)
+    start = np.repeat(at[first], pieces) + most * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    bases = np.minimum(most, np.repeat(at[first] + run, pieces) - start) + k - 1
+    filled = -(-bases // 4) * 4
+    codes = np.zeros(int(filled.sum()), np.uint8)
+    codes[_ranges(np.cumsum(filled) - filled, bases)] = CODE[data[_ranges(start, bases)]]
+    return (low[start] % np.uint64(buckets)).astype(np.int32), bases.astype(np.uint8), packed(codes)
+
+
 def _stretches(k: int, m: int, buckets: int):
-    """(bucket, sizes, bases): the super-k-mers of a block of reads by bucket of their minimizer; sizes has the bases of each, bases their codes, each stretch filled up to a byte."""
+    """(bucket, sizes, bases): super-k-mers by bucket of their minimizer, many blocks' at once, so that a row holds many; sizes has the bases of each, bases their codes."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks_of(batch):
-                data, offsets = raw(part.column("seq"))
-                n = len(data)
-                if n < k:
-                    continue
-                valid = canonical_codes(data, k) >= 0
-                last = np.zeros(n, bool)  # k-mers that would cross the end of a read
-                size = np.diff(offsets)
-                last[_ranges(np.maximum(offsets[1:] - (k - 1), offsets[:-1]), np.minimum(size, k - 1))] = True
-                valid &= ~last
-                low = minimizers(data, k, m)
-                at = np.flatnonzero(valid)
-                if not len(at):
-                    continue
-                new = np.ones(len(at), bool)
-                new[1:] = (np.diff(at) > 1) | (low[at[1:]] != low[at[:-1]])
-                first = np.flatnonzero(new)
-                run = np.diff(np.append(first, len(at)))
-                most = LONGEST - k + 1  # k-mers of a stretch; longer ones are cut
-                pieces = -(-run // most)
-                start = np.repeat(at[first], pieces) + most * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-                bases = np.minimum(most, np.repeat(at[first] + run, pieces) - start) + k - 1
-                bucket = (low[start] % np.uint64(buckets)).astype(np.int64)
+        held: list[tuple] = []
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            if held:
+                bucket, bases, data = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                size = -(-bases.astype(np.int64) // 4)
                 order = np.argsort(bucket, kind="stable")
-                start, bases, bucket = start[order], bases[order], bucket[order]
-                filled = -(-bases // 4) * 4
-                codes = np.zeros(int(filled.sum()), np.uint8)
-                codes[_ranges(np.cumsum(filled) - filled, bases)] = CODE[data[_ranges(start, bases)]]
+                start = (np.cumsum(size) - size)[order]
+                bucket, bases, size = bucket[order], bases[order], size[order]
                 own = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 cuts = np.append(own, len(bucket)).astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum(filled) // 4])[cuts].astype(np.int32)
-                sizes = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cuts), pa.py_buffer(bases.astype(np.uint8))])
-                body = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(packed(codes))])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[own].astype(np.int32)), sizes, body], ["bucket", "sizes", "bases"])
+                ends = np.concatenate([[0], np.cumsum(size)])[cuts].astype(np.int32)
+                sizes = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cuts), pa.py_buffer(bases)])
+                body = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(data[_ranges(start, size)])])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[own]), sizes, body], ["bucket", "sizes", "bases"])
+
+        have = 0
+        for batch in batches:
+            for part in blocks_of(batch):
+                made = _block(*raw(part.column("seq")), k, m, buckets)
+                if made:
+                    held.append(made)
+                    have += len(made[2])
+                if have >= HELD:
+                    yield from dealt()
+                    have = 0
+        yield from dealt()
 
     return kernel
 
@@ -168,7 +186,7 @@ def super_kmers(reads: DataFrame, k: int = 31, m: int = MINIMIZER, partitions: i
     small_batches(spark)
     m = min(m, k)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions, min(SPREAD * partitions, BUCKETS))
+    buckets = max(partitions, BUCKETS)
     return reads.select("seq").mapInArrow(_stretches(k, m, buckets), "bucket int, sizes binary, bases binary")
 
 

@@ -37,7 +37,9 @@ def test_large_buckets_are_counted_in_parts(spark, monkeypatch):
     """Chunks of few bases, and buckets of more k-mers than a task may hold: some counts come in parts and are added up."""
     reads = odd_reads(5)
     monkeypatch.setattr(superkmers, "CHUNK", 64)
-    monkeypatch.setattr(superkmers, "DISTINCT", 10)
+    monkeypatch.setattr(superkmers, "BUCKETS", 64)
+    monkeypatch.setattr(superkmers, "HELD", 100)
+    monkeypatch.setattr(superkmers, "DISTINCT", 3)
     frame = model.frame(spark, reads).repartition(4)
     assert superkmers.counted(frame, 13).where("not whole").count() > 100
     want = brute(reads, 13)
