@@ -16,41 +16,59 @@ def full_span(positions: Column, k: int) -> Column:
     return F.when(F.size(at) == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(k), lambda acc, g: acc + g)).cast("long")
 
 
-class Cover:
-    """The bases that k-mers at distinct places cover, as intervals: costs grow with the places, not with the read."""
+class Covers:
+    """The bases that k-mers at distinct places cover in many reads at once, as intervals: costs grow with the places, not with the reads, and no step is taken read by read.
 
-    def __init__(self, positions: np.ndarray, n: int, k: int):
-        at = np.sort(np.asarray(positions, np.int64))
-        first = np.concatenate([[True], at[1:] > at[:-1] + k]) if len(at) else np.zeros(0, bool)
+    The reads lie one after another, each in a room of its own, so that their places ascend as one list.
+    """
+
+    def __init__(self, positions: pa.Array, n: pa.Array, k: int):
+        self.n = n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) if n.null_count else n.to_numpy().astype(np.int64)
+        off = positions.offsets.to_numpy().astype(np.int64)
+        self.count = np.diff(off)
+        flat = positions.values.to_numpy()[off[0] : off[-1]].astype(np.int64)
+        row = np.repeat(np.arange(len(self.n)), self.count)
+        room = self.n + 1
+        self.base = np.cumsum(room) - room
+        order = np.argsort(self.base[row] + flat, kind="stable")
+        at = (self.base[row] + flat)[order]
+        first = np.ones(len(at), bool)
+        first[1:] = (at[1:] > at[:-1] + k) | (row[1:] != row[:-1])
+        last = np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1) if len(at) else np.zeros(0, np.int64)
+        #: The intervals: their reads, starts and ends.
+        self.row = row[first]
         self.start = at[first]
-        self.end = np.minimum(at[np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)] + k, n) if len(at) else at
+        self.end = np.minimum(at[last] + k, self.base[self.row] + self.n[self.row])
         self.before = np.concatenate([[0], np.cumsum(self.end - self.start)])
 
     def upto(self, x: np.ndarray) -> np.ndarray:
-        """Covered bases before x."""
+        """Covered bases before x, in all reads up to there."""
+        if not len(self.start):
+            return np.zeros(len(x), np.int64)
         i = np.searchsorted(self.start, x, "right")
-        inside = np.where(i > 0, np.minimum(x, self.end[i - 1]) - self.start[i - 1], 0) if len(self.start) else 0
-        return np.where(i > 0, self.before[np.maximum(i - 1, 0)] + inside, 0)
+        last = np.maximum(i - 1, 0)
+        return np.where(i > 0, self.before[last] + np.minimum(x, self.end[last]) - self.start[last], 0)
 
-    def windows(self, w: int, starts: np.ndarray, n: int) -> np.ndarray:
-        """Covered bases in the windows of w bases at the starts, as far as they lie in the read."""
-        s = np.clip(starts, 0, n - w)
+    def windows(self, row: np.ndarray, starts: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Covered bases of the windows of w bases at the starts (places in the row's read), as far as they lie in it."""
+        s = self.base[row] + np.clip(starts, 0, self.n[row] - w)
         return self.upto(s + w) - self.upto(s)
 
 
 def window_span(k: int, window: int):
     """A function of (positions, n): the most covered bases in any window of so many bases, or of the read if it is shorter.
 
-    The best window begins where an interval begins or ends where one ends.
+    The best window begins where an interval begins or ends where one ends. All reads of a batch are looked at together.
     """
 
     @F.arrow_udf(T.LongType())
     def span(positions: pa.Array, n: pa.Array) -> pa.Array:
-        out = np.zeros(len(n), np.int64)
-        for i, (p, size) in enumerate(_lists(positions, n)):
-            if size and len(p):
-                cover, w = Cover(p, size, k), size if window <= 0 or window > size else window
-                out[i] = cover.windows(w, np.concatenate([cover.start, cover.end - w]), size).max()
+        cover = Covers(positions, n, k)
+        w = cover.n if window <= 0 else np.minimum(window, cover.n)
+        row = np.concatenate([cover.row, cover.row])
+        starts = np.concatenate([cover.start, cover.end - w[cover.row]]) - cover.base[row]
+        out = np.zeros(len(cover.n), np.int64)
+        np.maximum.at(out, row, cover.windows(row, starts, w[row]))
         return pa.array(out)
 
     return span
@@ -64,15 +82,13 @@ def sparse_window(k: int, window: int, threshold: int):
 
     @F.arrow_udf(T.BooleanType())
     def sparse(positions: pa.Array, n: pa.Array) -> pa.Array:
-        out = np.zeros(len(n), bool)
-        for i, (p, size) in enumerate(_lists(positions, n)):
-            cover, w = Cover(p, size, k), min(window, size)
-            out[i] = w - cover.windows(w, np.concatenate([[0, size - w], cover.end, cover.start - w]), size).min() > window * threshold // 100
-        return pa.array(out)
+        cover = Covers(positions, n, k)
+        w, every = np.minimum(window, cover.n), np.arange(len(cover.n))
+        row = np.concatenate([every, every, cover.row, cover.row])
+        ends = np.concatenate([cover.end, cover.start - w[cover.row]]) - cover.base[np.concatenate([cover.row, cover.row])]
+        starts = np.concatenate([np.zeros(len(every), np.int64), cover.n - w, ends])
+        least = w.copy()
+        np.minimum.at(least, row, cover.windows(row, starts, w[row]))
+        return pa.array(w - least > window * threshold // 100)
 
     return sparse
-
-
-def _lists(positions: pa.Array, n: pa.Array):
-    at, flat = positions.offsets.to_numpy().tolist(), positions.values.to_numpy()
-    return ((flat[a:b], size) for a, b, size in zip(at[:-1], at[1:], n.to_pylist(), strict=True))

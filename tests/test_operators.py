@@ -4,6 +4,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqweave.operators import complexity, counter, coverage, index, kmers, linker, readsets, runs
@@ -201,14 +202,47 @@ def test_first_of_runs_and_uniform(spark, monkeypatch, lines):
     assert {r["query_id"]: r["targets"] for r in runs.uniform(frame).collect()} == {1: "1-2 2-1 3-6", 5: "3-4"}
 
 
+def random_covers(r, rows):
+    """(n, k, places of each read), the places in any order."""
+    k = r.randint(1, 12)
+    sizes = [r.randint(0, 60) for _ in range(rows)]
+    return k, sizes, [r.sample(range(n - k + 1), r.randint(0, min(6, n - k + 1))) if n >= k else [] for n in sizes]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_cover_by_places_equals_cover_by_bases(seed):
+def test_covers_of_many_reads_equal_covers_by_bases(seed):
     r = random.Random(seed)
-    for _ in range(300):
-        n, k = r.randint(1, 60), r.randint(1, 12)
-        places = sorted(r.sample(range(max(1, n - k + 1)), r.randint(0, min(6, max(1, n - k + 1)))))
-        bases, cover = m.covered(places, max(n, k), k)[:n], coverage.Cover(np.array(places, np.int64), n, k)
-        assert cover.upto(np.arange(n + 1)).tolist() == [sum(bases[:i]) for i in range(n + 1)]
+    for _ in range(100):
+        k, sizes, places = random_covers(r, r.randint(0, 9))
+        cover = coverage.Covers(pa.array(places, pa.list_(pa.int32())), pa.array(sizes, pa.int32()), k)
+        for i, (n, at) in enumerate(zip(sizes, places, strict=True)):
+            bases = m.covered(at, max(n, k), k)[:n]
+            w = r.randint(0, n)
+            starts = np.arange(n - w + 1)
+            got = cover.windows(np.full(len(starts), i), starts, np.full(len(starts), w))
+            assert got.tolist() == [sum(bases[s : s + w]) for s in starts]
+
+
+@pytest.mark.parametrize("window", [0, 1, 7, 25, 100])
+def test_windows_of_a_batch_equal_the_model(spark, window):
+    r = random.Random(window)
+    k, sizes, places = random_covers(r, 200)
+    rows = [(i, n, at) for i, (n, at) in enumerate(zip(sizes, places, strict=True))]
+    table = spark.createDataFrame(rows, "id int, n int, positions array<int>").repartition(3)
+    got = table.select("id", coverage.window_span(k, window)("positions", "n").alias("best"), coverage.sparse_window(k, max(window, 1), 40)("positions", "n").alias("sparse")).collect()
+    for x in got:
+        n, at = sizes[x["id"]], places[x["id"]]
+        bases = m.covered(at, max(n, k), k)[:n]
+        assert x["best"] == (m.best_window(bases, n if window <= 0 or window > n else window) if n else 0)
+        assert x["sparse"] == (m.too_sparse(bases, max(window, 1), 40) if n else False)
+
+
+def test_reads_of_a_hundred_million_bases(spark):
+    """Costs follow the places, not the read."""
+    n = 100_000_000
+    rows = [(1, n, [0, 5, n // 2, n // 2 + 1000, n - 31]), (2, 50, [3])]
+    got = spark.createDataFrame(rows, "id int, n int, positions array<int>").select("id", coverage.window_span(31, 2000)("positions", "n").alias("best"), coverage.sparse_window(31, 1000, 99)("positions", "n").alias("sparse")).orderBy("id").collect()
+    assert [(x["best"], x["sparse"]) for x in got] == [(62, True), (31, False)]
 
 
 def test_a_stored_index_stays_where_it_is(spark, tmp_path):
