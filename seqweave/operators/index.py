@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import saturated
+from ..tables import sent, written
 from . import superkmers
 from .complexity import complex_reads
 from .kmers import kmers
@@ -76,6 +77,11 @@ class Index:
         about = [(self.k, self.abundance_min, self.keep_low_complexity, self.kind, name, buckets, columns, known.shards if known else 0, known.size if known else 0)]
         spark.createDataFrame(about, _ABOUT).coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
+    def ready(self) -> Index:
+        """Itself, as a table that is broadcast if it is small, and with a membership filter: for several queries, or for many reads."""
+        table = written(self.table, "index")
+        return replace(self, table=sent(table), known=membership(table.select("kmer")))
+
     def checked(self) -> Index:
         """Itself, if it has any k-mer."""
         if self.table.isEmpty():

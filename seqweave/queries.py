@@ -62,7 +62,7 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bank_index(spark: SparkSession, d: str, kind: Callable = index.linker_index, keep: bool = True) -> index.Index:
-    return kind(bank(spark, d), K, 1, keep)
+    return kind(bank(spark, d), K, 1, keep).ready()
 
 
 def _pct(c: str = "pct"):
@@ -136,7 +136,7 @@ _register("nucleotide_code", f"WITH {B} SELECT id AS read_id, (ascii(seq) >> 1)
 _register("repeated_kmers", f"WITH {D} SELECT DISTINCT id AS read_id FROM (SELECT id, c FROM ({_kmers('d')}) GROUP BY id, c HAVING count(*) > 1)", lambda s, d: kmers.repeated_kmers(kmers.kmers(documents(s, d), K)).select("read_id"))
 _register("dust_score", f"WITH {D} SELECT id AS read_id, CAST(coalesce(score, 0) AS BIGINT) AS dust_score, CAST({BOUND} AS BIGINT) AS dust_bound FROM d LEFT JOIN {TRI.format('d')} AS t USING (id)", lambda s, d: complexity.dust_scores(documents(s, d)).select("read_id", "dust_score", "dust_bound"))
 _register("dust_filter", f"WITH {D} SELECT id AS read_id FROM ({_complex('d')})", lambda s, d: complexity.complex_reads(documents(s, d), K).select("read_id"))
-_register("inverted_index", f"WITH {B} SELECT DISTINCT {CODE} AS kmer, id AS target_id FROM ({_kmers('b')})", lambda s, d: bank_index(s, d).table)
+_register("inverted_index", f"WITH {B} SELECT DISTINCT {CODE} AS kmer, id AS target_id FROM ({_kmers('b')})", lambda s, d: index.linker_index(bank(s, d), K, 1, True).table)
 
 # --- linker -------------------------------------------------------------------------------------------------------------
 
@@ -147,7 +147,7 @@ def _links(s: SparkSession, d: str, **options) -> DataFrame:
 
 def _self(s: SparkSession, d: str, **options) -> DataFrame:
     reads = tiles(s, d)
-    return linker.links(reads, index.linker_index(reads, K, 1, True), 1e-6, keep_low_complexity=True, **options)
+    return linker.links(reads, index.linker_index(reads, K, 1, True).ready(), 1e-6, keep_low_complexity=True, **options)
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ _register(
 _register(
     "link_solid",
     f"WITH {D}, {B}, dk AS ({_kmers('d')}), bk AS (SELECT DISTINCT id, c FROM ({_kmers('b')}) WHERE c IN (SELECT c FROM dk GROUP BY c HAVING count(*) >= 2)), hits AS (SELECT DISTINCT read_set, bk.id AS q, dk.id AS t, bp.pos, n FROM (SELECT id, c, pos, n AS n FROM ({_kmers('b')})) bp JOIN bk USING (id, c) JOIN (SELECT DISTINCT read_set, id, c FROM dk) dk USING (c)), {FULL} SELECT q AS query_id, t AS target_id, span FROM spans",
-    lambda s, d: linker.links(bank(s, d), index.linker_index(documents(s, d), K, 2, True), 1e-6, keep_low_complexity=True).select("query_id", "target_id", "span"),
+    lambda s, d: linker.links(bank(s, d), index.linker_index(documents(s, d), K, 2, True).ready(), 1e-6, keep_low_complexity=True).select("query_id", "target_id", "span"),
 )
 _Z, _ZT = 60, 50
 _register(
@@ -212,7 +212,7 @@ _register("album_linker", f"WITH {DS}, {B}, {_hits('d', 'b')}, {FULL} SELECT rea
 def _conversations(s: SparkSession, d: str) -> DataFrame:
     """Turns of conversations that share a short k-mer with a benchmark item."""
     table = s.read.parquet(f"{d}/conversations.parquet")
-    return linker.any_links(text_reads(table, F.col("conv_id") * 1_000_000_000 + F.col("turn"), F.col("text")), index.linker_index(bank(s, d), SHORT, 1, True), True).select("query_id", "target_id")
+    return linker.any_links(text_reads(table, F.col("conv_id") * 1_000_000_000 + F.col("turn"), F.col("text")), index.linker_index(bank(s, d), SHORT, 1, True).ready(), True).select("query_id", "target_id")
 
 
 _register("link_conversations", f"WITH d AS (SELECT '' AS read_set, conv_id * 1000000000 + turn AS id, {SEQ} AS seq FROM conversations), {B}, {_hits('d', 'b', SHORT)} SELECT DISTINCT q AS query_id, t AS target_id FROM hits", _conversations)

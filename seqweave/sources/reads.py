@@ -69,7 +69,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(x) for x in self.parts]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no file
+            return
         name, path, kind, start, stop, number = partition.value
         rows: list[tuple] = []
         size = 0
@@ -104,7 +106,9 @@ class ReadSource(DataSource):
 
 def parts_of(spark: SparkSession, sets: list[tuple[str, str]], piece: int = PIECE) -> list[tuple]:
     """(name, path, kind, start, stop, first read id) of the pieces of (name, path) files, counted by a job over them."""
-    kinds = [pieces.kind_of(path) for _, path in sets]
+    listed = [file_system(path) for _, path in sets]
+    # a small file is one piece whatever its kind, so only large ones are opened here
+    kinds = [("whole", size) if (size := system.get_file_info(name).size) <= piece // 8 else pieces.kind_of(path) for (system, name), (_, path) in zip(listed, sets, strict=True)]
     # a block-gzipped piece is in memory as text, so it has fewer bytes
     sizes = [piece if not kind.startswith("blocks-") else max(1, piece // 8) for kind, _ in kinds]
     whole = {k for k, (kind, size) in enumerate(kinds) if kind == "whole" or size <= sizes[k]}
@@ -215,8 +219,9 @@ def album(path: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_album(spark: SparkSession, path: str) -> DataFrame:
-    return read_sets(spark, album(path))
+def read_album(spark: SparkSession, path: str, only: set[str] | None = None) -> DataFrame:
+    """The reads of an album's read sets, or of those that are asked for; the files of the others are not read."""
+    return read_sets(spark, [x for x in album(path) if only is None or x[0] in only])
 
 
 def read_bank(spark: SparkSession, path: str) -> DataFrame:

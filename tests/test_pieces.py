@@ -109,3 +109,16 @@ def test_few_reads_of_many_cost_few_bytes(spark, tmp_path):
     marks = {r["read_id"] // reads.STEP for r in chosen.collect()}
     size = sum(r["end"] - r["begin"] for r in index.collect() if r["mark"] in marks)
     assert size < 0.01 * len(open(path).read()) and reads.fetch(index, chosen).count() == 10
+
+
+def test_an_album_reads_only_the_sets_that_are_asked_for(spark, tmp_path):
+    paths = []
+    for k in range(6):
+        paths.append(tmp_path / f"{k}.fa")
+        paths[-1].write_text(f">r{k}\nACGT\n" * (400 if k == 3 else 1))
+    (tmp_path / "album").write_text("".join(f"{x}\n" for x in paths))
+    found = reads.read_album(spark, str(tmp_path / "album"), {str(paths[3]), str(paths[5])})
+    for k in (0, 1, 2, 4):
+        paths[k].unlink()
+    assert found.count() == 401 and {x["read_set"] for x in found.collect()} == {str(paths[3]), str(paths[5])}
+    assert reads.read_sets(spark, []).count() == 0
