@@ -56,11 +56,11 @@ def placed(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     return dealt.join(sent(runs, MOST_RUNS), [tree, "__run"]).select(*rows.columns, (F.col("__at") + F.col("__shift")).alias("at"), "n")
 
 
-def _buckets(leaves: DataFrame) -> DataFrame:
-    """One row for each bucket of FANOUT ** LEVELS leaves: its leaves in order and the levels that it has."""
-    size = FANOUT**LEVELS
+def _buckets(leaves: DataFrame, levels: int) -> DataFrame:
+    """One row for each bucket of FANOUT ** levels leaves: its leaves in order and the levels that it has."""
+    size = FANOUT**levels
     row = F.struct((F.col("at") % size).cast("int").alias("place"), "doc_id", "leaf", "now")
-    grouped = leaves.groupBy("tree", F.expr(f"at div {size}").alias("bucket"), F.least(_levels(F.col("n")), F.lit(LEVELS)).cast("int").alias("depth"))
+    grouped = leaves.groupBy("tree", F.expr(f"at div {size}").alias("bucket"), F.least(_levels(F.col("n")), F.lit(levels)).cast("int").alias("depth"))
     return grouped.agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
 
@@ -73,12 +73,12 @@ def _duck():
     return own["duck"]
 
 
-def _hashed(part: pa.RecordBatch):
+def _hashed(part: pa.RecordBatch, levels: int):
     """A connection with the tables level0, level1, ... of some buckets: level0 has the leaves, each other the nodes above, with the digests below one after another (run)."""
     duck = _duck()
     duck.register("part", pa.Table.from_batches([part]))
     duck.execute("CREATE OR REPLACE TEMP TABLE level0 AS SELECT tree, bucket, depth, r.place AS place, r.doc_id AS doc_id, r.leaf AS node, r.now AS now FROM (SELECT tree, bucket, depth, unnest(rows) AS r FROM part)")
-    for k in range(LEVELS):  # a tree of fewer levels has one node left, which goes up as it is
+    for k in range(levels):  # a tree of fewer levels has one node left, which goes up as it is
         duck.execute(f"""
             CREATE OR REPLACE TEMP TABLE level{k + 1} AS
             SELECT tree, bucket, depth, place, CASE WHEN depth > {k} THEN run ELSE '' END AS run, CASE WHEN depth > {k} THEN sha256(run) ELSE run END AS node
@@ -92,30 +92,37 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, BUCKETS)
 
 
-@tidy
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _parts(batches):
-        yield from _hashed(part).sql(f"SELECT tree, bucket, node FROM level{LEVELS}").to_arrow_table().to_batches()
+def _roots(levels: int):
+    @tidy
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            yield from _hashed(part, levels).sql(f"SELECT tree, bucket, node FROM level{levels}").to_arrow_table().to_batches()
 
+    return kernel
 
-@tidy
-def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _proofs(levels: int):
     sides = f"substr(run, 1, {HEX} * own) AS l, substr(run, {HEX} * (own + 1) + 1) AS r"
-    for part in _parts(batches):
-        duck = _hashed(part)
-        duck.execute("CREATE OR REPLACE TEMP TABLE fold AS SELECT tree, bucket, depth, place, doc_id, node AS leaf, coalesce(now, node) AS folded, '' AS proof FROM level0")
-        for k in range(LEVELS):
-            duck.execute(f"""
-                CREATE OR REPLACE TEMP TABLE fold AS
-                SELECT tree, bucket, depth, place // {FANOUT} AS place, doc_id, leaf, CASE WHEN depth > {k} THEN sha256(l || folded || r) ELSE folded END AS folded, proof || l || r AS proof
-                FROM (SELECT f.*, {sides} FROM (SELECT *, place % {FANOUT} AS own FROM fold) f JOIN level{k + 1} p ON f.tree = p.tree AND f.bucket = p.bucket AND f.place // {FANOUT} = p.place)""")
-        duck.execute('CREATE OR REPLACE TEMP TABLE fold AS SELECT f.*, "outer", subroot, root FROM fold f JOIN part USING (tree, bucket)')
-        for k in range(1, 1 + duck.execute('SELECT coalesce(max(len("outer")), 0) FROM part').fetchall()[0][0]):
-            duck.execute(f"""
-                CREATE OR REPLACE TEMP TABLE fold AS
-                SELECT doc_id, leaf, "outer", subroot, root, CASE WHEN step THEN sha256(l || folded || r) ELSE folded END AS folded, CASE WHEN step THEN proof || l || r ELSE proof END AS proof
-                FROM (SELECT *, {sides} FROM (SELECT *, len("outer") >= {k} AS step, "outer"[{k}].run AS run, "outer"[{k}].own AS own FROM fold))""")
-        yield from duck.sql("SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root FROM fold").to_arrow_table().to_batches()
+
+    @tidy
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            duck = _hashed(part, levels)
+            duck.execute("CREATE OR REPLACE TEMP TABLE fold AS SELECT tree, bucket, depth, place, doc_id, node AS leaf, coalesce(now, node) AS folded, '' AS proof FROM level0")
+            for k in range(levels):
+                duck.execute(f"""
+                    CREATE OR REPLACE TEMP TABLE fold AS
+                    SELECT tree, bucket, depth, place // {FANOUT} AS place, doc_id, leaf, CASE WHEN depth > {k} THEN sha256(l || folded || r) ELSE folded END AS folded, proof || l || r AS proof
+                    FROM (SELECT f.*, {sides} FROM (SELECT *, place % {FANOUT} AS own FROM fold) f JOIN level{k + 1} p ON f.tree = p.tree AND f.bucket = p.bucket AND f.place // {FANOUT} = p.place)""")
+            duck.execute('CREATE OR REPLACE TEMP TABLE fold AS SELECT f.*, "outer", subroot, root FROM fold f JOIN part USING (tree, bucket)')
+            for k in range(1, 1 + duck.execute('SELECT coalesce(max(len("outer")), 0) FROM part').fetchall()[0][0]):
+                duck.execute(f"""
+                    CREATE OR REPLACE TEMP TABLE fold AS
+                    SELECT doc_id, leaf, "outer", subroot, root, CASE WHEN step THEN sha256(l || folded || r) ELSE folded END AS folded, CASE WHEN step THEN proof || l || r ELSE proof END AS proof
+                    FROM (SELECT *, {sides} FROM (SELECT *, len("outer") >= {k} AS step, "outer"[{k}].run AS run, "outer"[{k}].own AS own FROM fold))""")
+            yield from duck.sql("SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root FROM fold").to_arrow_table().to_batches()
+
+    return kernel
 
 
 def _climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,6 +154,7 @@ class Manifest:
     buckets: DataFrame
     subroots: DataFrame
     outer: DataFrame
+    levels: int = LEVELS
 
     @property
     def root(self) -> str | None:
@@ -157,11 +165,11 @@ class Manifest:
     def proofs(self) -> DataFrame:
         """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified), one row a leaf: the digest of its siblings up to the root, and the root that its present digest folds to with them."""
         rows = self.buckets.join(self.outer, ["tree", "bucket"])
-        out = rows.mapInArrow(_proofs, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
+        out = rows.mapInArrow(_proofs(self.levels), "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
         return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-def build(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group_col: str = "lang", id_col: str = "doc_id", now: Column | None = None) -> Manifest:
+def build(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group_col: str = "lang", id_col: str = "doc_id", now: Column | None = None, levels: int = LEVELS) -> Manifest:
     """The manifest of docs: a tree for each value of group_col, its leaves in ascending order of ids (null first, ties by digest), and one over the subroots in ascending order of groups (null first, bytewise).
 
     A leaf is the digest of the row's fields, of which null and empty values are told apart. FANOUT consecutive nodes, the
@@ -169,15 +177,15 @@ def build(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group_col: str = "l
     its tree's root. now: the digest of the row as it is found later (null: unchanged), by which proofs() verifies it.
     Rows that repeat are leaves each. Other columns are not read; an empty table has no trees. Texts are read once and
     not moved: leaves of digests are dealt by ranges, so a group of any size spreads over tasks, and DuckDB hashes
-    buckets of FANOUT ** LEVELS leaves.
+    buckets of FANOUT ** levels leaves.
     """
     small_batches(docs.sparkSession)
     made = docs.select(_tree(F.col(group_col)).alias("tree"), F.col(id_col).cast("long").alias("doc_id"), leaf(*(F.col(c) for c in fields)).alias("leaf"), (F.lit(None) if now is None else now).cast("string").alias("now"))
     made = written(made.withColumn("row", F.monotonically_increasing_id()), "leaves")
     at = placed(made, "tree", ["doc_id", "leaf", "row"])
-    buckets = written(_buckets(at), "buckets")
+    buckets = written(_buckets(at, levels), "buckets")
     heights = buckets.groupBy("tree").agg(_levels(F.count("*")).cast("int").alias("left"))
-    tops = buckets.mapInArrow(_roots, "tree string, bucket long, node string").join(sent(written(heights, "heights"), MOST_RUNS), "tree").select("tree", F.col("bucket").alias("at"), "node", "left")
+    tops = buckets.mapInArrow(_roots(levels), "tree string, bucket long, node string").join(sent(written(heights, "heights"), MOST_RUNS), "tree").select("tree", F.col("bucket").alias("at"), "node", "left")
     subroots, paths = _climb(written(tops, "roots"))
     subroots = written(subroots.withColumnRenamed("root", "subroot").withColumn("all", F.lit("")), "subroots")
     ranked = placed(subroots, "all", ["tree"]).select(F.col("all").alias("tree"), "at", F.col("subroot").alias("node"), _levels(F.col("n")).cast("int").alias("left"), F.col("tree").alias("name"), "subroot")
@@ -186,4 +194,4 @@ def build(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group_col: str = "l
     names = ranked.join(above, ["tree", "at"]).join(F.broadcast(root), "tree").select(F.col("name").alias("tree"), "subroot", "root", F.col("outer").alias("above"))
     names = written(names, "names")
     outer = paths.withColumnRenamed("at", "bucket").join(sent(names, MOST_RUNS), "tree").select("tree", "bucket", "subroot", "root", F.concat("outer", "above").alias("outer"))
-    return Manifest(buckets, names.select("tree", "subroot", "root"), written(outer, "outer"))
+    return Manifest(buckets, names.select("tree", "subroot", "root"), written(outer, "outer"), levels)

@@ -58,10 +58,10 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], SCHEMA)
 
 
-def proofs(docs):
+def proofs(docs, **options):
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = manifest.leaf(*(low if c == "text" else F.col(c) for c in manifest.FIELDS))
-    return manifest.build(docs, now=F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, found)).proofs()
+    return manifest.build(docs, now=F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, found), **options).proofs()
 
 
 def some_rows(n: int) -> list[tuple]:
@@ -71,29 +71,16 @@ def some_rows(n: int) -> list[tuple]:
 
 
 @pytest.mark.parametrize("height", [1, 2, 4])
-def test_against_brute_force(spark, monkeypatch, height):
+def test_against_brute_force(spark, height):
     """Buckets of 8, 64 and 4,096 leaves; null fields, groups and ids, empty and long texts, repeated rows, extra columns of clashing names."""
     rows = some_rows(700)
-    monkeypatch.setattr(manifest, "LEVELS", height)
-    monkeypatch.setattr(manifest, "_proofs", with_height(manifest._proofs, height))
-    monkeypatch.setattr(manifest, "_roots", with_height(manifest._roots, height))
-    got = [tuple(r) for r in proofs(table(spark, rows)).collect()]
+    got = [tuple(r) for r in proofs(table(spark, rows), levels=height).collect()]
     want = brute(rows)
     assert sorted((r[:-1] for r in got), key=repr) == want
     assert all(verified == (folded == root) for *_, root, _, folded, verified in got)
     assert 0 < sum(not r[-1] for r in got) < len(got)
 
 
-def with_height(kernel, height):
-    def run(batches):
-        from seqweave.llm import manifest as own
-
-        own.LEVELS = height
-        yield from kernel(batches)
-
-    return run
-
-
 @pytest.mark.parametrize("n", [1, 2, 8, 9, 64, 65])
 def test_sizes_of_one_tree(spark, n):
     rows = [(k, "s", "en", 3, f"T{k}") for k in range(n)]
