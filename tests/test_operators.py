@@ -288,3 +288,15 @@ def test_runs_leave_columns_alone(spark):
 def test_uniform_keeps_lines_apart(spark):
     rows = spark.createDataFrame([(1, 7, 0, 3, 30), (1, 7, 1, 2, 20), (2, 7, 0, 3, 9)], "line long, query_id long, place int, target_id long, span long")
     assert sorted((r["line"], r["targets"]) for r in runs.uniform(rows, "place", ("line", "query_id")).collect()) == [(1, "2-20 3-30"), (2, "3-9")]
+
+
+@pytest.mark.parametrize(("a", "keep"), [(1, True), (2, True), (2, False)])
+def test_an_index_for_known_queries_holds_their_kmers_only(spark, bank, queries, a, keep):
+    asked = {i: s for i, s in queries.items() if i in (100, 101)}
+    every = {(r["kmer"], r["target_id"]) for r in index.linker_index(m.frame(spark, bank), K, a, keep).table.collect()}
+    made = index.linker_index(m.frame(spark, bank), K, a, keep, m.frame(spark, asked))
+    got = [(r["kmer"], r["target_id"]) for r in made.table.collect()]
+    own = {c for s in asked.values() for c in m.codes(s, K)}
+    assert set(got) == {x for x in every if x[0] in own} and len(set(got)) == len(got) < len(every)
+    found = linker.links(m.frame(spark, asked), made, 1, keep_low_complexity=keep).collect()
+    assert {(r["query_id"], r["target_id"]): (r["span"], r["pct"]) for r in found} == m.links(asked, bank, K, a, 1, 0, keep, 0, 40)
