@@ -153,3 +153,10 @@ def test_stream_of_queries(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("query_id", "target_id")
     want = linker.links(m.frame(spark, bank), made, 75, keep_low_complexity=True).select("query_id", "target_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_six_decimals_as_c_prints_them(spark):
+    values = [0.0, 1 / 128, 3 / 128, 5 / 128, 12.5, 99.9999999, 100.0, 1 / 3, 0.01, 254.9921875]
+    rows = spark.createDataFrame([(x,) for x in values], "mean float")
+    got = rows.select("mean", formats.six(F.col("mean")).alias("line")).collect()
+    assert [r["line"] for r in got] == [f"{r['mean']:.6f}" for r in got] and got[1]["line"] == "0.007812"
