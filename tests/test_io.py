@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqweave import cli, session
 from seqweave.functions import sequences as sq
-from seqweave.operators import index, linker
+from seqweave.operators import counter, index, linker
 from seqweave.plans import convert, formats
 from seqweave.sources import reads, results
 from seqweave.streaming.links import stream_links
@@ -160,3 +160,8 @@ def test_six_decimals_as_c_prints_them(spark):
     rows = spark.createDataFrame([(x,) for x in values], "mean float")
     got = rows.select("mean", formats.six(F.col("mean")).alias("line")).collect()
     assert [r["line"] for r in got] == [f"{r['mean']:.6f}" for r in got] and got[1]["line"] == "0.007812"
+
+
+def test_bounds_of_means_are_in_single_precision(spark):
+    rows = spark.createDataFrame([(0.01, 0.1), (0.02, 0.3)], "mean float, pct float")
+    assert counter.mean_between(rows, 0.01, 0.01).count() == 1 and counter.pct_at_least(rows, 0.3).count() == 1
