@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from seqweave.operators import index, superkmers
+from seqweave.operators import index, kmers, superkmers
 
 from . import model
 
@@ -71,3 +71,16 @@ def test_the_shuffle_is_a_third_at_most(spark):
 
 def test_an_empty_table(spark):
     assert superkmers.kmer_counts(model.frame(spark, {0: None}), 31).count() == 0 and superkmers.spectrum(model.frame(spark, {0: "ACG"}), 31).count() == 0
+
+
+def test_short_kmers_are_counted_without_a_shuffle_of_reads(spark):
+    reads = model.frame(spark, model.random_reads(5) | {900: None, 901: "", 902: "ACGNNACGTACGTTGCA"})
+    for k in (1, 4, 7, 9):
+        want = kmers.kmers(reads, k).where("kmer is not null").groupBy("kmer").count()
+        assert sorted(map(tuple, superkmers.kmer_counts(reads, k).collect())) == sorted(map(tuple, want.collect()))
+    assert "bases" not in superkmers.counted(reads, 7)._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_bucket_in_work_stays_small():
+    # 6 GB of bases over the buckets: a task holds one and expands a part of it
+    assert 6 * 10**9 / superkmers.BUCKETS < superkmers.DISTINCT and superkmers.CHUNK + superkmers.DISTINCT < 1 << 22
