@@ -300,3 +300,15 @@ def test_an_index_for_known_queries_holds_their_kmers_only(spark, bank, queries,
     assert set(got) == {x for x in every if x[0] in own} and len(set(got)) == len(got) < len(every)
     found = linker.links(m.frame(spark, asked), made, 1, keep_low_complexity=keep).collect()
     assert {(r["query_id"], r["target_id"]): (r["span"], r["pct"]) for r in found} == m.links(asked, bank, K, a, 1, 0, keep, 0, 40)
+
+
+def test_reads_with_repeats_need_no_shuffle_of_kmers(spark, queries):
+    seqs = queries | {200: "ACGTTGCAACGGTACGTTGCAACGG", 201: "NNNNNNNNNNNNNNNNNNNNNNNN", 202: "ACG", 203: None}
+    frame = m.frame(spark, seqs)
+    twice = frame.union(frame.where(f"read_id in ({min(queries)}, 202)"))
+    for reads in (frame, twice):
+        want = {r["read_id"] for r in kmers.repeated_kmers(kmers.kmers(reads, K)).collect()}
+        found = kmers.reads_with_repeats(reads, K)
+        got = [r["read_id"] for r in found.collect()]
+        assert sorted(got) == sorted(want) and 200 in want and 201 not in want
+    assert "hashpartitioning(kmer" not in kmers.reads_with_repeats(frame, K)._jdf.queryExecution().executedPlan().toString()
