@@ -312,3 +312,13 @@ def test_reads_with_repeats_need_no_shuffle_of_kmers(spark, queries):
         got = [r["read_id"] for r in found.collect()]
         assert sorted(got) == sorted(want) and 200 in want and 201 not in want
     assert "hashpartitioning(kmer" not in kmers.reads_with_repeats(frame, K)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_without_kmers_are_told_without_counting(spark, bank, queries):
+    seqs = queries | {200: "ACG", 201: "", 202: None}
+    frame = m.frame(spark, seqs)
+    every = counter.counts(frame, index.counter_index(m.frame(spark, bank), K, 1), 0, keep_low_complexity=True)
+    own = counter.uncounted(frame, K)
+    assert own.dtypes == every.dtypes
+    want = every.where("mean is null").collect()
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want)) and {r["query_id"] for r in want} >= {200, 201, 202}
