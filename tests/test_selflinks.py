@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from seqweave.operators import index, linker, membership, selflinks
+from seqweave.operators import index, linker, membership, selflinks, superkmers
 
 from . import model
 
@@ -122,6 +122,38 @@ def test_a_stretch_is_met_by_every_cover_that_is_large_enough():
         assert cost[low:high].sum() <= cost.sum()
 
 
+def test_the_rarest_places_are_met_by_every_cover_that_is_large_enough():
+    r = random.Random(3)
+    for _ in range(3000):
+        k, n = r.randint(1, 5), r.randint(5, 16)
+        cost = np.array([r.choice([0, 1, 16, 256]) for _ in range(n - k + 1)])
+        least = r.randint(1, n)
+        asked = selflinks.rarest(cost, least, k)
+        shared = [p for p in np.flatnonzero(cost).tolist() if r.random() < 0.7]
+        assert (cost[asked] > 0).all()
+        assert sum(model.covered(shared, n, k)) < least or set(asked.tolist()) & set(shared)
+
+
+def test_lines_that_cover_too_little_cost_few_pairs(spark, monkeypatch):
+    """Reads of their own text between eight lines that all have: no stretch is without a line, but the lines cover too little. Only where the filter errs on a read's own k-mers are any of the 9,900 pairs compared."""
+    tables = {}
+    monkeypatch.setattr(selflinks, "written", lambda df, name, own=selflinks.written: tables.setdefault(name, own(df, name)))
+    r = random.Random(8)
+    letter = lambda m: "".join(r.choice("ACGT") for _ in range(m))
+    lines = [letter(40) for _ in range(8)]
+    reads = {i: "".join(letter(40) + line for line in lines) for i in range(100)}
+    found = selflinks.self_links(model.frame(spark, reads), 31, 75)
+    assert tables["pairs"].count() < 1000 and found.pairs.count() == 0
+
+
+def test_a_kmer_that_a_read_repeats_is_its_own(spark):
+    """Counted once a read, the k-mers of a tandem repeat are those of no other read."""
+    reads = model.frame(spark, {0: "ACGTTGCA" * 40, 1: "GATTACAGG" * 30 + "ACGTTGCAACGTTGC", 2: None})
+    assert superkmers.kmer_counts(reads, 11, 2).count() > 0
+    assert {r["count"] for r in superkmers.kmer_counts(reads, 11, 1, once=True).collect()} <= {1, 2}
+    assert superkmers.kmer_counts(reads, 5, 3, once=True).count() == 0
+
+
 def test_a_line_that_thousands_share_costs_no_pairs(spark):
     """Ten thousand reads that share a line of 60 bases and nothing else: their own k-mers are looked up, not the line's, and no pair is compared."""
     r = random.Random(5)
