@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from seqweave.operators import index, linker, membership, selflinks, superkmers
@@ -182,3 +184,109 @@ def test_membership_misses_no_kmer(spark, monkeypatch):
     assert not membership.membership(table.where("false")).test()(np.arange(1000)).any()
 
 
+def in_process(reads: dict, k: int, parts: int = 3) -> dict:
+    """(read, place) to (colour, reads, first) of the shared k-mers, by the kernels alone, and the number of runs; runs as they leave their stretch."""
+    m, table = min(superkmers.MINIMIZER, k), pa.table({"node": pa.array(list(reads), pa.int64()), "seq": pa.array([s.upper() for s in reads.values()])})
+    made = pa.Table.from_batches(list(selflinks._stretches(k, m, 8)(iter(table.to_batches(max_chunksize=7)))))
+    made = made.take(pa.array(np.argsort(made.column("bucket").to_numpy(), kind="stable"))).combine_chunks()
+    out, runs = {}, 0
+    for batch in selflinks._runs(k, m, parts, 0, 64)(iter(made.to_batches(max_chunksize=5))):
+        rows = batch.filter(pa.compute.equal(batch.column("kind"), 1))
+        whole = {c: selflinks._whole(rows.column(c)).tolist() for c in ("node", "start", "reads", "first")}
+        length, colour = (selflinks._joined(rows.column(c), t).tolist() for c, t in (("length", np.uint8), ("colour", np.uint64)))
+        runs += len(length)
+        for i, n in enumerate(length):
+            for place in range(whole["start"][i], whole["start"][i] + n):
+                assert (whole["node"][i], place) not in out
+                out[whole["node"][i], place] = (colour[i], whole["reads"][i], whole["first"][i])
+    return out, runs
+
+
+def test_colours_are_the_sets_of_reads_that_have_a_kmer(monkeypatch):
+    """In pieces and passes of any size, with tandem repeats and minimizers that a stretch has twice, two k-mers have one colour just if the same reads have them."""
+    r = random.Random(11)
+    for k, seed in ((11, 1), (31, 2), (24, 3)):
+        reads = {i: s or "" for i, s in some_reads(seed, 30).items()}
+        unit = "".join(r.choice("ACGT") for _ in range(23))
+        reads |= {100: unit * 6, 101: model.rc(unit * 5), 102: "A" * 50 + unit * 3, 103: (unit[:12] * 8)[5:], 104: "C" + (unit[:12] * 7)}
+        having: dict = {}
+        for i, s in reads.items():
+            for c in model.codes(s, k):
+                having.setdefault(c, set()).add(i)
+        want = {(i, p): having[c] for i, s in reads.items() for p, c in enumerate(model.codes(s, k)) if c is not None and len(having[c]) > 1}
+        for small in (False, True):
+            if small:
+                for name, value in (("STRETCHES", 50), ("PIECE", 100), ("KMERS", 64), ("RUNS", 20), ("NEAR", 300)):
+                    monkeypatch.setattr(selflinks, name, value)
+            found, _ = in_process(reads, k)
+            assert found.keys() == want.keys()
+            assert all(found[x][1:] == (len(want[x]), min(want[x])) for x in want)
+            names = {(found[x][0], frozenset(want[x])) for x in want}
+            assert len(names) == len({a for a, _ in names}) == len({b for _, b in names})
+        monkeypatch.undo()
+
+
+def test_near_copies_move_as_few_runs():
+    """Two hundred copies of a text with a base changed in each: what is left of 394,000 k-mers are runs, one for each stretch that an edit cuts."""
+    r = random.Random(12)
+    text = "".join(r.choice("ACGT") for _ in range(2000))
+    reads = {i: text[: 10 * i] + r.choice("ACGT") + text[10 * i + 1 :] for i in range(200)}
+    found, runs = in_process(reads, 31)
+    assert len(found) > 380_000 and runs < len(found) / 4
+
+
+def test_stretches_of_their_own_fall_out():
+    r = random.Random(13)
+    reads = {i: "".join(r.choice("ACGT") for _ in range(3000)) for i in range(20)}
+    made = pa.Table.from_batches(list(selflinks._stretches(31, 11, 1)(iter(pa.table({"node": pa.array(list(reads), pa.int64()), "seq": list(reads.values())}).to_batches()))))
+    rows = made.filter(pa.compute.greater_equal(made.column("bucket"), 0)).combine_chunks().to_batches()[0]
+    anchor, sizes, bases = (selflinks._joined(rows.column(c), np.uint8) for c in ("anchor", "sizes", "bases"))
+    filled = -(-sizes.astype(np.int64) // 4) * 4
+    keep = selflinks.may_share(anchor, sizes, superkmers.unpacked(bases), np.cumsum(filled) - filled, 31, 11)
+    assert len(keep) > 3000 and keep.mean() < 0.3
+
+
+def test_names_that_clash_are_made_anew(spark, monkeypatch):
+    """Where two sets of reads have one name of four bits, all get names of 64; links are never made by a name alone."""
+    reads = some_reads(14, 40)
+    monkeypatch.setattr(selflinks, "BITS", (4, 64))
+    assert expanded(spark, reads, 11, 60)[0] == brute(reads, 11, 60)
+    monkeypatch.setattr(selflinks, "BITS", (4,))
+    with pytest.raises(RuntimeError):
+        selflinks.self_links(model.frame(spark, reads), 11, 60)
+
+
+def test_numbers_travel_whole():
+    r = random.Random(15)
+    for most in (200, 60_000, 1 << 31):
+        for size in (1, 5, 3000):
+            x = np.unique(np.array([r.randrange(most) for _ in range(size)]))
+            assert (selflinks.unpacked_numbers(selflinks.packed_numbers(x)) == x).all()
+    x = np.array([r.randrange(1 << 32) for _ in range(100)], np.uint32)
+    column = selflinks._planes(x, np.array([0, 3, 3, 60, 100]))
+    assert (selflinks._whole(column) == x).all() and (selflinks._whole(column.slice(2, 2)) == x[3:]).all()
+
+
+def test_spans_of_targets_in_parts(monkeypatch):
+    """However few targets are looked at together, a query's spans are those of the places it shares with each."""
+    r = random.Random(16)
+    k, colours = 5, 12
+    having = [sorted(r.sample(range(40), r.randint(2, 30))) for _ in range(colours)]
+    start, length, at = [], [], 0
+    for _ in range(25):
+        at += r.choice([0, 0, 1, 9])
+        start.append(at)
+        length.append(r.randint(1, 4))
+        at += length[-1]
+    start, length, which = np.array(start), np.array(length), np.array([r.randrange(colours) for _ in start])
+    asked = np.array([c < 4 for c in range(colours)])
+    for cells in (1 << 20, 30):
+        monkeypatch.setattr(selflinks, "CELLS", cells)
+        targets = selflinks._Targets([(c, selflinks.packed_numbers(np.array(having[c]))) for c in range(4)])
+        for c in range(4, colours):
+            targets.add(c, selflinks.packed_numbers(np.array(having[c])))
+        nodes, spans = targets.spans(7, start, length, which, list(range(colours)), asked, k)
+        assert nodes.tolist() == sorted({t for c in range(4) for t in having[c]} - {7})
+        for t, span in zip(nodes.tolist(), spans.tolist(), strict=True):
+            places = [p for a, n, c in zip(start.tolist(), length.tolist(), which.tolist(), strict=True) if t in having[c] for p in range(a, a + n)]
+            assert span == sum(model.covered(places, at + k, k))
