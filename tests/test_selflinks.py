@@ -268,7 +268,7 @@ def test_numbers_travel_whole():
 
 
 def test_spans_of_targets_in_parts(monkeypatch):
-    """However few targets are looked at together, a query's spans are those of the places it shares with each."""
+    """However few targets are looked at together, by a table or by lists, a query's spans are those of the places it shares with each."""
     r = random.Random(16)
     k, colours = 5, 12
     having = [sorted(r.sample(range(40), r.randint(2, 30))) for _ in range(colours)]
@@ -280,8 +280,9 @@ def test_spans_of_targets_in_parts(monkeypatch):
         at += length[-1]
     start, length, which = np.array(start), np.array(length), np.array([r.randrange(colours) for _ in start])
     asked = np.array([c < 4 for c in range(colours)])
-    for cells in (1 << 20, 30):
+    for cells, table in ((1 << 20, 0), (30, 0), (1 << 20, 1 << 20), (30, 1 << 20)):
         monkeypatch.setattr(selflinks, "CELLS", cells)
+        monkeypatch.setattr(selflinks, "TABLE", table)
         targets = selflinks._Targets([(c, selflinks.packed_numbers(np.array(having[c]))) for c in range(4)])
         for c in range(4, colours):
             targets.add(c, selflinks.packed_numbers(np.array(having[c])))
